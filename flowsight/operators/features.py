@@ -128,9 +128,12 @@ def global_rate_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def with_global_stats(df: DataFrame) -> DataFrame:
-    """Every row with the table-wide mean and deviation, computed once as a scalar subquery."""
-    stats = global_rate_stats(df).select(F.struct("rate_mean", "rate_std").alias("g")).scalar()
+def with_global_stats(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Every row with the table-wide mean and deviation, computed once as a scalar subquery.
+
+    ``source`` holds the same rows before joins that the statistics do not need.
+    """
+    stats = global_rate_stats(df if source is None else source).select(F.struct("rate_mean", "rate_std").alias("g")).scalar()
     return df.withColumns({"rate_mean": stats["rate_mean"], "rate_std": stats["rate_std"]})
 
 
@@ -138,10 +141,10 @@ def detection_features(df: DataFrame) -> DataFrame:
     """Features the detectors use: measures coerced to numbers, the spike score signed and global."""
     present = set(df.columns)
     measures = {c: number_or_zero(c) if c in present else F.lit(0.0) for c in DETECTION_MEASURES}
-    rows = unique_ports(df.withColumns(measures))
+    rows = df.withColumns(measures)
     attempts = F.greatest(F.col("login_attempts"), F.lit(1.0))
     failed = F.when(S.auth_failure(), 1).otherwise(0)
-    scored = with_global_stats(rows).withColumns(
+    scored = with_global_stats(unique_ports(rows), rows).withColumns(
         {
             "failed_logins": failed,
             "total_attempts": attempts,

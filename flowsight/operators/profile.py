@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import is_blank
 from ..schema import detect_profile, profile_columns, quoted
 from .clean import any_null
-from .ranks import exact_quantiles, value_positions
+from .ranks import exact_quantiles, sorted_values
 
 
 def top_values(df: DataFrame, column: str, n: int = 8) -> DataFrame:
@@ -32,25 +32,18 @@ def quantile_histogram(df: DataFrame, column: str, q: int = 5) -> DataFrame:
     minimum, and a column with fewer than two distinct values gives no bins. With fewer than ``q``
     distinct values there are as many bins as values.
     """
-    positions = value_positions(df.select(F.col(f"`{column}`").try_cast("double").alias("v")), "v")
-    distinct = positions.select("value").limit(q).count()
-    if distinct < 2:
-        return positions.limit(0).select(
-            F.lit(0).alias("bin"), F.col("value").alias("lower"), F.col("value").alias("upper"), F.lit(0).cast("bigint").alias("count")
-        )
+    values = sorted_values(df, column)
+    total, distinct = values.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
     q = min(q, distinct)
-    edges = exact_quantiles(positions, [i / q for i in range(q + 1)]).agg(
-        F.array_sort(F.collect_set("value")).alias("edges")
-    )
-    at = edges.scalar()
-    # the bin of a value is the number of edges strictly below it, the minimum joining bin 1
-    number = F.greatest(F.size(F.filter(at, lambda e: e < F.col("value"))), F.lit(1))
-    counted = positions.select(number.alias("bin"), "rows").groupBy("bin").agg(F.sum("rows").alias("count"))
+    edges = sorted(set(exact_quantiles(values, [i / q for i in range(q + 1)], total))) if distinct > 1 else []
+    if len(edges) < 2:
+        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, count bigint")
+    # the bin of a value is the number of inner edges strictly below it
+    number = sum((F.when(F.col("value") > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    counted = values.select(number.alias("bin"), "rows").groupBy("bin").agg(F.sum("rows").alias("count"))
+    bounds = F.array(*[F.lit(e) for e in edges])
     return counted.select(
-        (F.col("bin") - 1).alias("bin"),
-        F.element_at(at, F.col("bin")).alias("lower"),
-        F.element_at(at, F.col("bin") + 1).alias("upper"),
-        "count",
+        "bin", F.get(bounds, F.col("bin")).alias("lower"), F.get(bounds, F.col("bin") + 1).alias("upper"), "count"
     )
 
 

@@ -7,6 +7,7 @@ into global positions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -54,56 +55,49 @@ def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "row_id")
     return joined.select(*[quoted(c) for c in df.columns], (F.col("_before") + F.col(PLACE)).alias(name))
 
 
-def value_positions(df: DataFrame, column: str) -> DataFrame:
-    """Each distinct value with its count and the number of smaller rows: (value, rows, below).
+def sorted_values(df: DataFrame, column: str) -> DataFrame:
+    """Distinct numeric values with their counts, sorted and written once: (value, rows, place).
 
-    Counting first folds repeated values before anything is sorted.
+    Counting first folds repeated values, however common, before anything is sorted.
     """
     counted = (
-        df.select(quoted(column).cast("double").alias("value"))
+        df.select(quoted(column).try_cast("double").alias("value"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    placed = _staged_order(counted, ["value"], "value-positions", ties=False)
-    parts = placed.groupBy(PART).agg(F.sum("rows").alias("_rows"))
+    return _staged_order(counted, ["value"], "sorted-values", ties=False)
+
+
+def value_positions(values: DataFrame) -> DataFrame:
+    """``sorted_values`` with the number of smaller rows: (value, rows, below)."""
+    parts = values.groupBy(PART).agg(F.sum("rows").alias("_rows"))
     running = F.sum("rows").over(W.partitionBy(PART).orderBy(PLACE).rowsBetween(W.unboundedPreceding, 0))
     return (
-        placed.withColumn("_upto", running)
+        values.withColumn("_upto", running)
         .join(F.broadcast(_offsets(parts, "_rows")), PART)
         .select("value", "rows", (F.col("_before") + F.col("_upto") - F.col("rows")).alias("below"))
     )
 
 
-def exact_quantiles(positions: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles: one row per probability (quantile_no, probability, value).
+def exact_quantiles(values: DataFrame, probabilities: Sequence[float], total: int) -> list[float]:
+    """Linearly interpolated quantiles of ``sorted_values`` holding ``total`` rows.
 
-    ``positions`` comes from ``value_positions``. For each probability two ranks are looked up; all
-    lookups share one aggregate that keeps a single value per rank.
+    The two ranks around each probability are looked up in one aggregate that keeps one value per rank.
     """
-    total = positions.agg(F.sum("rows")).scalar()
-    ranks = F.array(*[F.lit(float(p)) * (total - 1) for p in probabilities])
+    if not probabilities or not total:
+        return []
+    places = [p * (total - 1) for p in probabilities]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
 
-    def at(rank: Column) -> Column:
-        holds = (F.col("below") <= rank) & (rank < F.col("below") + F.col("rows"))
+    def at(rank: int) -> Column:
+        holds = (F.col("below") <= rank) & (F.col("below") + F.col("rows") > rank)
         return F.max(F.when(holds, F.col("value")))
 
-    picks = []
-    for i in range(len(probabilities)):
-        picks += [at(F.floor(ranks[i])).alias(f"lo{i}"), at(F.ceil(ranks[i])).alias(f"hi{i}")]
-    wide = positions.agg(*picks)
-    items = []
-    for i, p in enumerate(probabilities):
-        share = ranks[i] - F.floor(ranks[i])
-        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
-        items.append(
-            F.struct(
-                F.lit(i).alias("quantile_no"),
-                F.lit(float(p)).alias("probability"),
-                (low + (high - low) * share).alias("value"),
-            )
-        )
-    return wide.select(F.inline(F.array(*items)))
+    found = dict(zip(ranks, value_positions(values).agg(*[at(r) for r in ranks]).first()))
+    lows = [found[math.floor(p)] for p in places]
+    highs = [found[math.ceil(p)] for p in places]
+    return [low + (high - low) * (p - math.floor(p)) for low, high, p in zip(lows, highs, places)]
 
 
 def rolling_mean(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import FLOW_KEY
+
 # A key is hot when it owns more than 1/HOT_PARTS of all rows; there are fewer than HOT_PARTS such keys.
 HOT_PARTS = 1000
 SALTS = 64
@@ -12,8 +14,11 @@ SALTS = 64
 
 def hot_keys(per_key: DataFrame, key: str, weight: str) -> DataFrame:
     """Keys that own more than 1/1000 of the total weight: fewer than 1000 rows, by arithmetic."""
-    total = per_key.agg(F.sum(weight)).scalar()
-    return per_key.where(F.col(weight) * HOT_PARTS > total).select(key)
+    return per_key.where(_is_hot(per_key, weight)).select(key)
+
+
+def _is_hot(per_key: DataFrame, weight: str) -> Column:
+    return F.col(weight) * HOT_PARTS > per_key.agg(F.sum(weight)).scalar()
 
 
 def join_per_key(df: DataFrame, per_key: DataFrame, key: str, weight: str, salts: int = SALTS) -> DataFrame:
@@ -22,14 +27,19 @@ def join_per_key(df: DataFrame, per_key: DataFrame, key: str, weight: str, salts
     The rows of a hot key are spread over ``salts`` tasks, and that key's one row is repeated for
     each; all other keys meet in one place as usual. The list of hot keys is the only thing
     broadcast by hand and is bounded by HOT_PARTS. Rows without a key match nothing and are spread too.
+
+    The salt is a hash of the row and not a random number, so a re-run task sends its rows where the
+    first run did. Copies of one row share a salt; both join sides are plain shuffles, which lets
+    AQE split such a partition further.
     """
     hot = F.broadcast(hot_keys(per_key, key, weight).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts)).cast("int")
+    by = [c for c in FLOW_KEY if c in df.columns and c != key] or [c for c in df.columns if c != key]
+    spread = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     rows = (
         df.join(hot, key, "left")
         .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0))
         .drop("_hot")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    facts = per_key.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot", weight)
+    copies = F.when(_is_hot(per_key, weight), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    facts = per_key.withColumn("_salt", F.explode(copies)).drop(weight)
     return rows.join(facts, [key, "_salt"], "left").drop("_salt")

@@ -52,13 +52,16 @@ def build_features(clean: DataFrame) -> DataFrame:
 def run_batch(spark: SparkSession, dataset: str, out: BatchOutputs) -> DataFrame:
     """Run the job and return its one-row report.
 
-    The text is parsed once, into a staged columnar copy; counts, quarantine and features read that.
+    The text is parsed once, into a staged columnar copy that counts, quarantine and healing read.
+    The healed rows are staged as well: statistics then read three columns of them instead of
+    repeating the duplicate removal.
     """
     started = utc_now()
     flows = staged(canonical_flows(read_flows_csv(spark, dataset)), "canonical-flows")
     clean, corrupt = split_corrupt(flows)
     write_quarantine(corrupt, out.quarantine)
-    write_features(build_features(clean), out.features)
+    healed = staged(heal(clean), "healed-flows")
+    write_features(select_features(flow_features(healed)), out.features)
     report = quality_report(flows).select(
         F.lit(started).alias("run_timestamp_utc"),
         F.lit(dataset).alias("source_file"),

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import canonicalize, quoted, validate_schema
@@ -22,6 +22,16 @@ def utc_now() -> str:
     return datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
 
 
+def _csv(df: DataFrame) -> DataFrameWriter:
+    """Headed CSV that keeps blanks around values."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return df.write.options(header=True, **keep)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    _csv(df).csv(path)
+
+
 def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace a feature or prediction table, schema included; stamps ``processed_at``."""
     stamped = df.withColumn("processed_at", F.current_timestamp())
@@ -69,21 +79,21 @@ def append_log(spark: SparkSession, path: str, component: str, message: str) ->
 def write_actions_csv(df: DataFrame, folder: str) -> str:
     """Defence actions under a folder named by the time of the run."""
     path = f"{folder.rstrip('/')}/defense_actions_{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}"
-    df.write.option("header", True).csv(path)
+    _csv(df).csv(path)
     return path
 
 
 def write_normalized(df: DataFrame, path: str) -> dict[str, str]:
     """Accept an upload: check its columns, store it as headed CSV, return its schema."""
     schema = validate_schema(df)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    _csv(df).mode("overwrite").csv(path)
     return schema
 
 
 def write_canonical(df: DataFrame, path: str) -> None:
     """The canonical columns of any accepted upload as headed CSV."""
     validate_schema(df)
-    canonicalize(df).write.mode("overwrite").option("header", True).csv(path)
+    _csv(canonicalize(df)).mode("overwrite").csv(path)
 
 
 def write_uploaded(df: DataFrame, path: str, fmt: str = "parquet") -> tuple[int, list[str]]:
@@ -100,7 +110,7 @@ def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
 def write_previews(tables: Mapping[str, tuple[DataFrame, int]], folder: str) -> None:
     """CSV previews such as processed 50, removed 5, quarantined 3."""
     for name, (df, n) in tables.items():
-        preview(df, n).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
+        _csv(preview(df, n).coalesce(1)).mode("overwrite").csv(f"{folder.rstrip('/')}/{name}")
 
 
 def register_dataset(
