@@ -24,6 +24,12 @@ def rounded(df, places=6):
     return df.select(*[F.round(c, places).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
+def snapped(df, column):
+    """Six places by plain arithmetic: quotients such as 41/640 end in a 5 at the seventh place, where
+    the engines' own rounding functions part ways."""
+    return df.withColumn(column, F.floor(F.col(column) * 1e6 + 0.5) / 1e6)
+
+
 def _round_sql(names, places=6):
     return ", ".join(f"round({n}, {places}) AS {n}" for n in names)
 
@@ -297,7 +303,7 @@ def with_global_stats(spark, sf_dir):
     "detection_features",
     fx.with_fixtures(
         "SELECT event_id, failed_logins, total_attempts, round(detect_ratio, 6) AS failed_login_ratio, "
-        "round(detect_rate, 6) AS connection_rate, connection_duration AS session_duration, unique_ports_accessed, "
+        "floor(detect_rate * 1e6 + 0.5e0) / 1e6 AS connection_rate, connection_duration AS session_duration, unique_ports_accessed, "
         "unique_ports_accessed AS port_scan_score, round(z, 6) AS traffic_spike_score FROM fx_detect"
     ),
 )
@@ -306,14 +312,14 @@ def detection_features(spark, sf_dir):
         "event_id", "failed_logins", "total_attempts", "failed_login_ratio", "connection_rate", "session_duration",
         "unique_ports_accessed", "port_scan_score", "traffic_spike_score",
     )
-    return rounded(ft.detection_features(fx.healed(spark, sf_dir)).select(*columns))
+    return rounded(snapped(ft.detection_features(fx.healed(spark, sf_dir)), "connection_rate").select(*columns))
 
 
 @register(
     "assemble",
     fx.with_fixtures(
         "SELECT event_id, packet_size, connection_duration, login_attempts, request_rate, bytes_transferred, status_code, "
-        "round(detect_rate, 6) AS connection_rate, round(detect_ratio, 6) AS failed_login_ratio, "
+        "floor(detect_rate * 1e6 + 0.5e0) / 1e6 AS connection_rate, round(detect_ratio, 6) AS failed_login_ratio, "
         "cast(unique_ports_accessed AS double) AS port_scan_score, round(z, 6) AS traffic_spike_score, "
         "connection_duration AS session_duration, round(packet_entropy, 6) AS packet_entropy, "
         "cast(unique_ports_accessed AS double) AS unique_ports_accessed FROM fx_detect"
@@ -321,7 +327,7 @@ def detection_features(spark, sf_dir):
 )
 def assemble(spark, sf_dir):
     inputs = ft.model_inputs(ft.detection_features(fx.stored_features(spark, sf_dir)))
-    return rounded(inputs.select("event_id", *ft.MODEL_FEATURES))
+    return rounded(snapped(inputs, "connection_rate").select("event_id", *ft.MODEL_FEATURES))
 
 
 # --- rules -------------------------------------------------------------------

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -22,6 +24,7 @@ from .settings import PRESETS, Settings
 
 VECTOR = "features"
 MAX_CLASSES = 100
+PARALLEL_FITS = 4
 
 
 @dataclass(frozen=True)
@@ -90,9 +93,13 @@ def fit_boosted(vectors: DataFrame, label: str, settings: Settings = PRESETS["de
         seed=settings.seed,
     )
     name = F.coalesce(F.col(label), F.lit("normal"))
-    fitted = [
-        learner.fit(vectors.select(VECTOR, F.when(name == k, 1.0).otherwise(0.0).alias("label"))) for k in labels
-    ]
+
+    def fit(label_name: str) -> GBTClassificationModel:
+        return learner.fit(vectors.select(VECTOR, F.when(name == label_name, 1.0).otherwise(0.0).alias("label")))
+
+    # the fits are independent chains of short jobs; side by side they keep the executors busy
+    with ThreadPoolExecutor(min(PARALLEL_FITS, len(labels))) as pool:
+        fitted = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), labels))
     return Boosted(labels, tuple(fitted))
 
 
