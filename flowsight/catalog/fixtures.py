@@ -86,7 +86,8 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = flows(spark, sf_dir)
-    return once.unionAll(once.where(RESENT))
+    arrivals = F.explode(F.when(F.expr(RESENT), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return once.withColumn("arrival", arrivals).drop("arrival")
 
 
 def as_vendor_text(df: DataFrame) -> DataFrame:

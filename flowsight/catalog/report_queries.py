@@ -330,7 +330,7 @@ def top_k(spark, sf_dir):
 )
 def row_ids(spark, sf_dir):
     orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    return ranks.row_ids(orders, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+    return ranks.row_ids(orders, ["o_orderdate", "o_orderkey"], unique=True).drop("o_orderdate")
 
 
 @register(
@@ -350,7 +350,8 @@ def latest_n_per_key(spark, sf_dir):
 )
 def rolling_mean(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return rounded(ranks.rolling_mean(events, "user_id", ("ts", "event_id"), "value").select("event_id", "user_id", "rolling_mean"))
+    means = ranks.rolling_mean(events, "user_id", ("ts", "event_id"), "value", unique=True)
+    return rounded(means.select("event_id", "user_id", "rolling_mean"))
 
 
 # --- logs --------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators.features import stream_features as stream_formulas
 from ..schema import STREAM_COLUMNS
 from ..sources.scratch import scratch_path
@@ -118,4 +116,10 @@ def window_ip_stats_batch(spark, sf_dir):
     return rounded(st.window_ip_stats(st.clean_stream(fx.flows(spark, sf_dir))))
 
 
-__all__ = ["F"]
+@register(
+    "traffic_windows",
+    """SELECT cast(epoch(date_trunc('minute', ts)) AS bigint) AS minute_start, count(*) AS requests FROM events
+WHERE epoch(date_trunc('minute', ts)) + 60 <= (SELECT floor(epoch(max(ts))) - 600 FROM events) GROUP BY 1""",
+)
+def traffic_windows(spark, sf_dir):
+    return _table_of(spark, st.traffic_windows(event_stream(spark, sf_dir)))

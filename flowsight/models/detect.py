@@ -49,12 +49,17 @@ def labeled_flows(features: DataFrame) -> DataFrame:
 
 
 def fit_models(vectors: DataFrame, settings: Settings) -> tuple[Forest, Boosted]:
-    """Both classifiers over one cached projection; trees pass over it many times."""
-    training = vectors.select(VECTOR, RULE_LABEL).persist()
-    try:
-        return fit_forest(training, RULE_LABEL, settings), fit_boosted(training, RULE_LABEL, settings)
-    finally:
-        training.unpersist()
+    """Both classifiers. Each learner bins its input once and caches that, so nothing is cached here.
+
+    All rows are used unless ``fit_rows`` asks for fewer; scoring always covers every row.
+    """
+    training = vectors
+    if settings.fit_rows is not None:
+        rows = max(1, vectors.count())
+        draw = F.pmod(F.xxhash64(F.lit(settings.seed + 1), *FLOW_KEY), F.lit(1 << 30))
+        training = vectors.where(draw < int((1 << 30) * min(1.0, settings.fit_rows / rows)))
+    training = training.select(VECTOR, RULE_LABEL)
+    return fit_forest(training, RULE_LABEL, settings), fit_boosted(training, RULE_LABEL, settings)
 
 
 def detect_threats(features: DataFrame, settings: Settings = PRESETS["detection"]) -> DataFrame:

@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -161,6 +163,13 @@ def _kernel_mean(df: DataFrame, columns: Sequence[str], mean, scale, directions,
     return np.array([r["m"] for r in rows])
 
 
+def _components(df: DataFrame, columns: Sequence[str], mean, scale, settings: Settings) -> np.ndarray:
+    """Leading principal directions of the standardised features, one per column."""
+    scaled = F.array(*[(quoted(c) - float(m)) / float(s) for c, m, s in zip(columns, mean, scale)])
+    k = min(settings.components, len(columns))
+    return PCA(k=k, inputCol="x", outputCol="y").fit(df.select(array_to_vector(scaled).alias("x"))).pc.toArray()
+
+
 def fit_detectors(
     df: DataFrame,
     columns: Sequence[str] = MODEL_FEATURES,
@@ -173,21 +182,23 @@ def fit_detectors(
     rng = np.random.default_rng(settings.seed)
     directions = rng.normal(0.0, math.sqrt(2.0 / len(columns)), (len(columns), settings.kernel_features))
     phases = rng.uniform(0.0, 2.0 * math.pi, settings.kernel_features)
-    scaled = F.array(*[(quoted(c) - float(m)) / float(s) for c, m, s in zip(columns, mean, scale)])
-    components = min(settings.components, len(columns))
-    projection = PCA(k=components, inputCol="x", outputCol="y").fit(df.select(array_to_vector(scaled).alias("x")))
     sample = min(settings.isolation_sample, rows)
-    return Detectors(
-        columns=columns,
-        mean=mean,
-        scale=scale,
-        trees=_fit_trees(df, columns, key, rows, settings),
-        tree_norm=max(_expected_depth(sample), 1e-9),
-        directions=directions,
-        phases=phases,
-        kernel_mean=_kernel_mean(df, columns, mean, scale, directions, phases),
-        components=projection.pc.toArray(),
-    )
+    bound = inheritable_thread_target(df.sparkSession)
+    with ThreadPoolExecutor(3) as pool:  # three independent passes over the data
+        trees = pool.submit(bound(_fit_trees), df, columns, key, rows, settings)
+        kernel = pool.submit(bound(_kernel_mean), df, columns, mean, scale, directions, phases)
+        components = pool.submit(bound(_components), df, columns, mean, scale, settings)
+        return Detectors(
+            columns=columns,
+            mean=mean,
+            scale=scale,
+            trees=trees.result(),
+            tree_norm=max(_expected_depth(sample), 1e-9),
+            directions=directions,
+            phases=phases,
+            kernel_mean=kernel.result(),
+            components=components.result(),
+        )
 
 
 def _scorer(d: Detectors):

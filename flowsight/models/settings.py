@@ -21,6 +21,8 @@ class Settings:
     contamination: float = 0.1
     min_votes: int = 2
     seed: int = 42
+    # classifiers learn from about this many rows, chosen by hash; None: from all rows
+    fit_rows: int | None = None
 
 
 PRESETS: dict[str, Settings] = {

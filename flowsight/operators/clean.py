@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import CORRUPT, FLOW_DEFAULTS, FLOW_KEY, NUMERIC_COLUMNS, quoted
+from ..schema import CORRUPT, FLOW_DEFAULTS, FLOW_KEY, NUMERIC_COLUMNS, TEXT_COLUMNS, quoted
 
 
 def cast_flows(df: DataFrame) -> DataFrame:
-    """Measures to double in one projection; text that is no number becomes null."""
-    return df.select(
-        *[(F.col(c).try_cast("double").alias(c) if c in NUMERIC_COLUMNS else quoted(c)) for c in df.columns]
-    )
+    """Measures to double and text fields to text, in one projection; a measure that is no number becomes null."""
+    kinds = {**dict.fromkeys(NUMERIC_COLUMNS, "double"), **dict.fromkeys(TEXT_COLUMNS, "string")}
+    return df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else quoted(c) for c in df.columns])
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -70,6 +69,12 @@ def heal(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     return normalize_label(healed) if "anomaly" in healed.columns else healed
 
 
+def _filled(column: str) -> Column:
+    """The column with its default in place of null and NaN, as ``fill_defaults`` leaves it."""
+    default = F.lit(FLOW_DEFAULTS[column])
+    return F.coalesce(F.nanvl(column, default) if column in NUMERIC_COLUMNS else F.col(column), default)
+
+
 def quality_report(df: DataFrame) -> DataFrame:
     """One row of counts over canonical, cast, unfilled rows; a corrupt-record column is honoured.
 
@@ -79,7 +84,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     has_corrupt = CORRUPT in df.columns
     corrupt = F.col(CORRUPT).isNotNull() if has_corrupt else F.lit(False)
     data = [c for c in df.columns if c != CORRUPT]
-    filled = [F.coalesce(F.nanvl(c, F.lit(FLOW_DEFAULTS[c])) if c in NUMERIC_COLUMNS else F.col(c), F.lit(FLOW_DEFAULTS[c])) for c in FLOW_KEY]
+    filled = [_filled(c) for c in FLOW_KEY]
     counts = df.select(
         corrupt.alias("corrupt"),
         (any_null(data) & ~corrupt).alias("gap"),

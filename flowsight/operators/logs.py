@@ -52,13 +52,15 @@ def event_stats(events: DataFrame, order: Sequence[str] = LINE_ORDER, tail: int
     if tail is not None:
         events = tail_n(events, tail, order)
     known = ~F.col("malformed")
+    # broken lines form a group with 0 events; a condition on the count, unlike one on the group key,
+    # leaves the aggregate as the total reads it, so both share one pass
     per_type = events.groupBy(
         F.when(known, F.coalesce("event_type", F.lit("unknown"))).alias("event_type")
-    ).agg(F.count(F.lit(1)).alias("events"))
-    total = per_type.agg(F.sum("events")).scalar()
+    ).agg(F.count_if(known).alias("events"), F.count(F.lit(1)).alias("lines"))
+    total = per_type.agg(F.sum("lines")).scalar()
     dated = events.where(known & F.col("timestamp").isNotNull())
     last = dated.orderBy(*_descending(order)).limit(1).select("timestamp").scalar()
-    return per_type.where(F.col("event_type").isNotNull()).select(
+    return per_type.where(F.col("events") > 0).select(
         "event_type", "events", total.alias("total_events"), last.alias("last_event_at")
     )
 

@@ -47,9 +47,12 @@ def _offsets(parts: DataFrame, amount: str) -> DataFrame:
     return parts.select(PART, F.coalesce(F.sum(amount).over(before), F.lit(0)).alias("_before"))
 
 
-def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "row_id") -> DataFrame:
-    """Dense 0-based position of every row in the global order."""
-    placed = _staged_order(df, order, "row-ids")
+def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "row_id", unique: bool = False) -> DataFrame:
+    """Dense 0-based position of every row in the global order.
+
+    ``unique`` says that no two rows are equal in the order columns, which saves a copy of the data.
+    """
+    placed = _staged_order(df, order, "row-ids", ties=not unique)
     parts = placed.groupBy(PART).agg(F.count(F.lit(1)).alias("_rows"))
     joined = placed.join(F.broadcast(_offsets(parts, "_rows")), PART)
     return joined.select(*[quoted(c) for c in df.columns], (F.col("_before") + F.col(PLACE)).alias(name))
@@ -102,7 +105,7 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], total: in
 
 def rolling_mean(
     df: DataFrame, key: str, order: Sequence[str], score: str, size: int = 5, name: str = "rolling_mean",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, unique: bool = False,
 ) -> DataFrame:
     """Mean of the latest ``size`` scores of the same key, in order.
 
@@ -111,7 +114,7 @@ def rolling_mean(
     """
     if block_rows < size:
         raise ValueError("a block must hold at least one whole window")
-    numbered = row_ids(df, [key, *order], "_row")
+    numbered = row_ids(df, [key, *order], "_row", unique)
     block = F.floor(F.col("_row") / block_rows)
     last = F.pmod(F.col("_row"), F.lit(block_rows)) >= block_rows - (size - 1)
     homes = F.when(last, F.array(block, block + 1)).otherwise(F.array(block))

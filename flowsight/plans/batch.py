@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..operators.clean import cast_flows, heal, quality_report, split_corrupt
 from ..operators.features import flow_features, select_features
 from ..schema import CORRUPT, canonicalize
 from ..sources.files import read_flows_csv
-from ..sources.scratch import staged
+from ..sources.scratch import Workspace
 from ..sources.sinks import append_event, append_log, utc_now, write_audit, write_features, write_quarantine, write_report
 
 
@@ -56,22 +57,24 @@ def run_batch(spark: SparkSession, dataset: str, out: BatchOutputs) -> DataFrame
     The healed rows are staged as well: statistics then read three columns of them instead of
     repeating the duplicate removal.
     """
-    started = utc_now()
-    flows = staged(canonical_flows(read_flows_csv(spark, dataset)), "canonical-flows")
-    clean, corrupt = split_corrupt(flows)
-    write_quarantine(corrupt, out.quarantine)
-    healed = staged(heal(clean), "healed-flows")
-    write_features(select_features(flow_features(healed)), out.features)
-    report = quality_report(flows).select(
-        F.lit(started).alias("run_timestamp_utc"),
-        F.lit(dataset).alias("source_file"),
-        "rows_processed",
-        "duplicates_removed",
-        F.col("null_rows").alias("null_values_filled"),
-        "corrupted_rows_quarantined",
-        F.lit("completed").alias("status"),
-    )
-    write_report(report, out.report)
+    started, clock = utc_now(), time.monotonic()
+    with Workspace(spark, "batch") as work:
+        flows = work.stage(canonical_flows(read_flows_csv(spark, dataset)))
+        clean, corrupt = split_corrupt(flows)
+        write_quarantine(corrupt, out.quarantine)
+        healed = work.stage(heal(clean))
+        write_features(select_features(flow_features(healed)), out.features)
+        report = quality_report(flows).select(
+            F.lit(started).alias("run_timestamp_utc"),
+            F.lit(dataset).alias("source_file"),
+            "rows_processed",
+            "duplicates_removed",
+            F.col("null_rows").alias("null_values_filled"),
+            "corrupted_rows_quarantined",
+            F.lit(round(time.monotonic() - clock, 2)).alias("processing_time"),
+            F.lit("completed").alias("status"),
+        )
+        write_report(report, out.report)
     stored = spark.read.schema(report.schema).json(out.report)
     write_audit(spark, out.audit, dataset, out.features, out.quarantine)
     append_event(spark, out.events, "batch_report", stored.first().asDict())

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import CORRUPT
+from .scratch import path_exists
 
 DATASET_FORMATS = ("csv", "json", "parquet")
 NORMALIZED_NAME = "active_dataset_normalized.csv"
+LISTING_SCHEMA = "name string, path string, updated_at timestamp, size_bytes bigint, is_active boolean"
 
 
 def read_flows_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -42,13 +44,20 @@ def dataset_format(path: str) -> str:
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """CSV, JSON or Parquet by suffix. CSV stays text: ``cast_flows`` decides types, not a sampling pass."""
+    """CSV, JSON or Parquet by suffix. CSV stays text: ``cast_flows`` decides types, not a sampling pass.
+
+    JSON is one record per line, which can be split, or one array of records, told by its first line.
+    """
     fmt = dataset_format(path) if fmt is None else fmt
     if fmt not in DATASET_FORMATS:
         raise ValueError(f"unsupported dataset format {fmt!r}; expected one of {', '.join(DATASET_FORMATS)}")
     if fmt == "csv":
         return spark.read.option("header", True).csv(path)
-    return spark.read.format(fmt).load(path)
+    if fmt == "json":
+        first = spark.read.text(path).where(F.trim("value") != "").head()
+        array = first is not None and first["value"].lstrip().startswith("[")
+        return spark.read.option("multiLine", array).json(path)
+    return spark.read.parquet(path)
 
 
 def read_table(
@@ -68,12 +77,15 @@ def list_datasets(
 ) -> DataFrame:
     """The newest dataset files of several folders: name, path, size, time, active or not.
 
-    Only file listings are read; the content column is pruned away.
+    Only file listings are read; the content column is pruned away. Folders that do not exist are skipped.
     """
+    present = [folder for folder in dict.fromkeys(folders) if path_exists(spark, folder)]
+    if not present:
+        return spark.createDataFrame([], LISTING_SCHEMA)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.{csv,json,parquet}")
-        .load(list(folders))
+        .load(present)
         .select("path", "length", "modificationTime")
     )
     name = F.element_at(F.split("path", "/"), -1)

@@ -29,11 +29,9 @@ def parse_events(lines: DataFrame) -> DataFrame:
     """JSON lines -> event fields; blank lines are no events, broken ones are kept with ``malformed`` set."""
     event = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     others = [c for c in lines.columns if c != "value"]
-    return (
-        lines.where(F.trim("value") != "")
-        .select(event.alias("e"), *others)
-        .select("e.timestamp", "e.event_type", "e.details", F.col(f"e.{CORRUPT}").isNotNull().alias("malformed"), *others)
-    )
+    # inline() rather than struct access: later filters on the fields then do not parse the line again
+    parsed = lines.where(F.trim("value") != "").select(*others, F.inline(F.array(event)))
+    return parsed.select("timestamp", "event_type", "details", F.col(CORRUPT).isNotNull().alias("malformed"), *others)
 
 
 def parse_pipeline_log(lines: DataFrame) -> DataFrame:

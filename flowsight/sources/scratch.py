@@ -41,6 +41,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Staged tables of one job, removed together when the job has written its outputs."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self._count = spark, scratch_path(spark, label), 0
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        self._count += 1
+        path = f"{self.path}/{self._count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        fs, target = hadoop_path(self.spark, self.path)
+        fs.delete(target, True)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) for checks that no DataFrame reader offers."""
     jvm = spark.sparkContext._jvm

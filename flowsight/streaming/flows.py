@@ -67,9 +67,15 @@ def dedupe_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(list(FLOW_KEY))
 
 
-def enrich_stream(df: DataFrame, static: DataFrame, key: str) -> DataFrame:
-    """LEFT join of a stream (or batch) with a static table holding one row per key."""
-    return df.join(static, key, "left")
+def enrich_stream(df: DataFrame, static: DataFrame, key: str, salts: int = 8) -> DataFrame:
+    """LEFT join of a stream (or batch) with a static table holding one row per key.
+
+    Counting keys on a stream is not possible before the join, so every key is salted: the static
+    rows are repeated ``salts`` times and a key's stream rows go to that many tasks.
+    """
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts)).cast("int")
+    copies = static.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", spread).join(copies, [key, "_salt"], "left").drop("_salt")
 
 
 def high_spike(df: DataFrame, threshold: float = SPIKE_FROM) -> DataFrame:
@@ -109,6 +115,13 @@ def window_ip_stats(
     )
 
 
+def traffic_windows(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Requests per minute of a stream, one row per minute once the watermark has passed it."""
+    timed = df.withColumn("event_ts", event_time("timestamp")).withWatermark("event_ts", delay)
+    counted = timed.groupBy(F.window("event_ts", "1 minute")).agg(F.count(F.lit(1)).alias("requests"))
+    return counted.select(F.unix_seconds("window.start").alias("minute_start"), "requests")
+
+
 def write_stream_features(df: DataFrame, path: str, options: StreamOptions, fmt: str = "parquet") -> StreamingQuery:
     """Append a stream to a table, exactly once by the sink's own log."""
     return options.apply(df.writeStream.format(fmt).outputMode("append").option("path", path)).start()

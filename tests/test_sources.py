@@ -38,7 +38,8 @@ def test_datasets_by_suffix(spark, tmp_path):
     spark.range(3).selectExpr("cast(id AS string) AS x").write.parquet(str(tmp_path / "d.parquet"))
     spark.range(3).selectExpr("cast(id AS string) AS x").write.json(str(tmp_path / "d.json"))
     csv = write(tmp_path / "d.csv", "x\n0\n1\n2\n")
-    for path in (str(tmp_path / "d.parquet"), str(tmp_path / "d.json"), csv):
+    array = write(tmp_path / "a.json", '[\n {"x": "0"},\n {"x": "1"}, {"x": "2"}\n]\n')
+    for path in (str(tmp_path / "d.parquet"), str(tmp_path / "d.json"), csv, array):
         assert sorted(r["x"] for r in files.read_dataset(spark, path).collect()) == ["0", "1", "2"]
     for call in (lambda: files.read_dataset(spark, "x.orc"), lambda: files.read_dataset(spark, "x.csv", "orc")):
         with pytest.raises(ValueError):
@@ -115,7 +116,8 @@ def test_dataset_listing(spark, tmp_path):
         write(tmp_path / "raw" / name, "x")
     os.utime(tmp_path / "raw" / "b.json", (1, 1))
     folder = str(tmp_path / "raw")
-    rows = files.list_datasets(spark, [folder, folder], active="raw/a.csv").collect()
+    rows = files.list_datasets(spark, [folder, folder, str(tmp_path / "absent")], active="raw/a.csv").collect()
+    assert files.list_datasets(spark, [str(tmp_path / "absent")]).count() == 0
     assert {r["name"] for r in rows} == {"a.csv", "b.json", "c.parquet"} and rows[-1]["name"] == "b.json"
     assert [r["name"] for r in rows if r["is_active"]] == ["a.csv"] and rows[0]["size_bytes"] == 1
     assert files.list_datasets(spark, [folder], limit=1).count() == 1
