@@ -12,13 +12,14 @@ all rows, the sole Python in the data path.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,9 @@ from ..schema import FLOW_KEY, quoted
 from ..sources.scratch import staged
 from .settings import PRESETS, Settings
 
+# Ship this module's functions with the tasks: executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCORES = ("isolation_score", "kernel_score", "autoencoder_error")
 NODE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, depth double"
 HASH_SPAN = float(2**63)

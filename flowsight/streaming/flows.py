@@ -97,9 +97,13 @@ def window_ip_stats(
     """Per-source statistics of event-time windows.
 
     On a stream a window is emitted once the watermark passes its end and later rows are dropped.
-    Distinct ports are a set per (window, source): exact, and no larger than the port range.
+    Streams cannot count distinct values, so there the ports are kept as a set per (window, source):
+    exact, and no larger than the port range. A batch counts them in two steps as usual.
     """
-    ports = F.approx_count_distinct("port") if approximate_ports else F.size(F.collect_set("port")).cast("bigint")
+    if approximate_ports:
+        ports = F.approx_count_distinct("port")
+    else:
+        ports = F.size(F.collect_set("port")).cast("bigint") if df.isStreaming else F.count_distinct("port")
     timed = df.withColumn("event_ts", event_time("timestamp")).withWatermark("event_ts", delay)
     frame = F.window("event_ts", window, slide) if slide else F.window("event_ts", window)
     return timed.groupBy(frame, "src_ip").agg(

@@ -1,5 +1,9 @@
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from flowsight.catalog import fixtures as fx
@@ -85,3 +89,13 @@ def test_report_is_honest(spark, sf_dir):
     assert row["holdout_rows"] > 100 and row["training_rows"] + row["holdout_rows"] == 1000
     assert 0.8 <= row["accuracy"] <= 1.0 and row["training_time"] > 0
     assert len(row["feature_importance"]) == 13
+
+
+def test_task_functions_load_without_the_package(tmp_path):
+    fitted = outliers.Detectors(("a",), *[np.ones((1, 1))] * 2, tuple(np.full((1, 1), v) for v in (-1, 0, 0, 0, 1)), 1.0,
+                                np.ones((1, 2)), np.ones(2), np.ones(2), np.ones((1, 1)))
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps((outliers._grow(1, 8), outliers._scorer(fitted))))
+    code = f"import pickle; g, s = pickle.load(open({str(blob)!r}, 'rb')); import numpy as np; print(len(s(np.ones((3, 1)))))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert done.stdout.strip() == "3", done.stderr
