@@ -25,6 +25,7 @@ from .settings import PRESETS, Settings
 VECTOR = "features"
 MAX_CLASSES = 100
 PARALLEL_FITS = 4
+FEW_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,8 @@ def fit_forest(vectors: DataFrame, label: str, settings: Settings = PRESETS["det
 
 def fit_boosted(vectors: DataFrame, label: str, settings: Settings = PRESETS["detection"]) -> Boosted:
     """Boosted trees, one binary model per class."""
-    labels = tuple(class_counts(vectors, label))
+    counts = class_counts(vectors, label)
+    labels = tuple(counts)
     if len(labels) < 2:
         return Boosted(labels, ())
     learner = GBTClassifier(
@@ -97,8 +99,10 @@ def fit_boosted(vectors: DataFrame, label: str, settings: Settings = PRESETS["de
     def fit(label_name: str) -> GBTClassificationModel:
         return learner.fit(vectors.select(VECTOR, F.when(name == label_name, 1.0).otherwise(0.0).alias("label")))
 
-    # the fits are independent chains of short jobs; side by side they keep the executors busy
-    with ThreadPoolExecutor(min(PARALLEL_FITS, len(labels))) as pool:
+    # On few rows a fit is a chain of short jobs, and fits side by side keep the executors busy. On many
+    # rows each fit fills the cluster and caches its own binned input, so they go one after the other.
+    side_by_side = min(PARALLEL_FITS, len(labels)) if sum(counts.values()) <= FEW_ROWS else 1
+    with ThreadPoolExecutor(side_by_side) as pool:
         fitted = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), labels))
     return Boosted(labels, tuple(fitted))
 
