@@ -9,7 +9,7 @@ from ..functions import scores as S
 from ..functions.parsing import safe_int, to_float, to_int
 from ..operators import clean, features as ft
 from ..plans.batch import build_features
-from ..schema import FLOW_COLUMNS, FLOW_KEY, STREAM_ALIASES, STREAM_COLUMNS, canonicalize
+from ..schema import FLOW_COLUMNS, STREAM_ALIASES, STREAM_COLUMNS, canonicalize
 from ..sources import files, messages, scratch, sinks
 from ..streaming.flows import high_spike
 from . import fixtures as fx
@@ -454,5 +454,3 @@ def preview(spark, sf_dir):
 def list_datasets(spark, sf_dir):
     return files.list_datasets(spark, [sf_dir]).drop("updated_at")
 
-
-__all__ = ["FLOW_KEY", "rounded"]

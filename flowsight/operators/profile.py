@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import is_blank
 from ..schema import detect_profile, profile_columns, quoted
-from .clean import any_null
 from .ranks import exact_quantiles, sorted_values
 
 
@@ -128,8 +127,3 @@ def profile_sections(df: DataFrame) -> dict[str, DataFrame]:
     if roles["views"]:
         sections["views_distribution"] = quantile_histogram(df, roles["views"])
     return sections
-
-
-def gaps_per_row(df: DataFrame) -> DataFrame:
-    """Rows with at least one null, for a removed-rows preview."""
-    return df.where(any_null(df.columns))

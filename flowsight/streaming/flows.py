@@ -73,7 +73,7 @@ def enrich_stream(df: DataFrame, static: DataFrame, key: str, salts: int = 8) ->
     Counting keys on a stream is not possible before the join, so every key is salted: the static
     rows are repeated ``salts`` times and a key's stream rows go to that many tasks.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*([c for c in df.columns if c != key] or [key])), F.lit(salts)).cast("int")
     copies = static.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return df.withColumn("_salt", spread).join(copies, [key, "_salt"], "left").drop("_salt")
 

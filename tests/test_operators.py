@@ -82,10 +82,11 @@ def test_join_per_key_equals_a_plain_left_join(spark):
     rows = [(i, None if i % 11 == 0 else ("hot" if i % 2 else f"k{i % 1200}")) for i in range(4000)]
     df = spark.createDataFrame(rows, "i int, k string")
     per_key = df.where("k is not null and k <> 'k8'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top"))
-    hot = [r["k"] for r in skew.hot_keys(per_key, "k", "n").collect()]
-    assert "hot" in hot and len(hot) < skew.HOT_PARTS
-    for salts in (1, 16):
-        got = skew.join_per_key(df, per_key, "k", "n", salts)
+    hot = {r["k"]: r["_salts"] for r in skew.hot_keys(per_key, "k", "n", 64).collect()}
+    assert set(hot) == {"hot"} and 32 <= hot["hot"] <= 64
+    assert skew.hot_keys(per_key, "k", "n", 3000).count() < 3000
+    for parts in (1, 16, 3000, None):
+        got = skew.join_per_key(df, per_key, "k", "n", parts)
         assert got.columns == ["k", "i", "top"]
         want = df.join(per_key.select("k", "top"), "k", "left")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select("k", "i", "top").collect()))
@@ -107,6 +108,13 @@ def test_hot_rows_spread_over_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_join_of_bare_keys_and_of_nothing(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    per_key = df.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("x"))
+    assert sorted(map(str, (r["x"] for r in skew.join_per_key(df, per_key, "k", "n").collect()))) == ["1", "1", "None"]
+    assert skew.join_per_key(df.limit(0), per_key.limit(0), "k", "n").count() == 0
+
+
 def test_unique_ports_ignores_null_ports_and_sources(spark):
     rows = [("a", 1.0), ("a", None), ("a", 2.0), ("b", None), (None, 5.0)]
     got = features.unique_ports(spark.createDataFrame(rows, "src_ip string, port double")).collect()
