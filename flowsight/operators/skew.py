@@ -2,51 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FLOW_KEY
 
-FEWEST_PARTS, MOST_PARTS = 64, 100_000
+# Rows of one key that a single task should take. A key with more is hot, so there is fewer than one hot
+# key per TASK_ROWS rows of the table: under a quarter of a million short keys in 10**12 rows.
+TASK_ROWS = 4_000_000
+KEYLESS_SALTS = 4096
 
 
-def fair_parts(spark: SparkSession) -> int:
-    """Number of equal parts the rows should fall into: twice the shuffle partitions, within limits."""
-    return min(MOST_PARTS, max(FEWEST_PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def hot_keys(per_key: DataFrame, key: str, weight: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Keys with more rows than one task should take, and the number of tasks they fill."""
+    return per_key.where(F.col(weight) > task_rows).select(key, F.ceil(F.col(weight) / task_rows).cast("int").alias("_salts"))
 
 
-def _share(per_key: DataFrame, weight: str, parts: int) -> Column:
-    """How many fair parts a key fills."""
-    return F.col(weight).cast("double") * parts / per_key.agg(F.sum(weight)).scalar()
-
-
-def hot_keys(per_key: DataFrame, key: str, weight: str, parts: int) -> DataFrame:
-    """Keys that own more than one part, with the number of parts they fill.
-
-    Each owns more than 1/``parts`` of the total, so there are fewer than ``parts`` of them, by arithmetic.
-    """
-    share = _share(per_key, weight, parts)
-    return per_key.where(share > 1).select(key, F.ceil(share).cast("int").alias("_salts"))
-
-
-def join_per_key(df: DataFrame, per_key: DataFrame, key: str, weight: str, parts: int | None = None) -> DataFrame:
+def join_per_key(df: DataFrame, per_key: DataFrame, key: str, weight: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """LEFT join of a table with one row per key (``weight`` = rows of that key) onto the rows.
 
-    The rows of a hot key are spread over as many tasks as it fills parts, and its one row is repeated
-    for each; in all that adds fewer than 2 * ``parts`` rows. All other keys meet in one place as usual.
-    The list of hot keys is the only thing broadcast by hand and is bounded by ``parts``. Rows without a
-    key match nothing and are spread over all parts.
+    The rows of a hot key are spread over as many tasks as they fill, and its one row is repeated for
+    each, which adds less than two rows per ``task_rows``. All other keys meet in one place as usual.
+    The list of hot keys is the only thing broadcast by hand; see TASK_ROWS for its bound. Rows without
+    a key match nothing and are spread too.
 
     The salt is a hash of the row and not a random number, so a re-run task sends its rows where the
     first run did. Copies of one row share a salt; both join sides are plain shuffles, which lets
     AQE split such a partition further.
     """
-    parts = fair_parts(df.sparkSession) if parts is None else parts
-    hot = F.broadcast(hot_keys(per_key, key, weight, parts))
+    hot = F.broadcast(hot_keys(per_key, key, weight, task_rows))
     by = [c for c in FLOW_KEY if c in df.columns and c != key] or [c for c in df.columns if c != key] or [key]
-    salts = F.when(F.col(key).isNull(), parts).otherwise(F.coalesce("_salts", F.lit(1)))
+    salts = F.when(F.col(key).isNull(), KEYLESS_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
     rows = df.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("_salts")
-    share = _share(per_key, weight, parts)
-    last = F.when(share > 1, F.ceil(share).cast("int") - 1).otherwise(0)
+    last = F.greatest(F.ceil(F.col(weight) / task_rows).cast("int") - 1, F.lit(0))
     facts = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop(weight)
     return rows.join(facts, [key, "_salt"], "left").drop("_salt")
