@@ -18,7 +18,8 @@ no row that passes the base rules nothing is estimated. Repeated rows count as o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,21 +33,21 @@ from .common import byte_texts, words
 
 WINDOW = 8
 PRIOR_WORDS = 60.0
-STATS = ("word_length", "symbols", "upper", "letters", "distinct", "repeats", "dup_lines")
-# Least standard deviation of each statistic after its transformation.
-FLOORS = (0.08, 0.06, 0.06, 0.06, 0.15, 0.08, 0.08)
+STATS = ("word_length", "symbols", "upper", "letters", "bare", "distinct", "repeats", "dup_lines")
+# Least standard deviation of each statistic after its transformation. Repeats have a base rule; here they weigh little.
+FLOORS = (0.08, 0.06, 0.06, 0.06, 0.06, 0.15, 0.25, 0.25)
 SHARE = 0.75  # of a group's rows that the estimate rests on
 SAMPLE = 1500  # rows of a group in which starts are sought
 STARTS = 60
 STEPS = 3  # concentration steps over all rows
 LEAST_ROWS = 200
-CUTOFF = 60.0  # squared distance; 3e-10 of a chi-square with 7 degrees of freedom lies beyond
+CUTOFF = 60.0  # squared distance; 5e-10 of a chi-square with 8 degrees of freedom lies beyond
 BUCKETS = 128  # distance buckets per doubling
 
 _COUNTS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
     ("n_repeat_words", pa.int64()), ("n_lines", pa.int64()), ("n_upper", pa.int64()), ("n_letters", pa.int64()),
-    ("n_distinct", pa.int64()),
+    ("n_distinct", pa.int64()), ("n_bare", pa.int64()),
 ]
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\v\f\r"
@@ -94,9 +95,16 @@ def text_counts(text: bytes) -> tuple[int, ...]:
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
     upper = len(text) - len(text.translate(None, _CAPITALS))
     marks = len(text.translate(None, _LETTERS_OR_MORE))
-    return (len(ws), chars, symbols, dups, repeated_words(ws), lines, upper, len(decoded) - marks, len(set(ws)))
+    return (len(ws), chars, symbols, dups, repeated_words(ws), lines, upper, len(decoded) - marks, len(set(ws)), _bare(text))
 
 
+def _bare(text: bytes) -> int:
+    """Words without a letter or digit."""
+    return len(_BARE.findall(text))
+
+
+# A run of ASCII marks between blanks.
+_BARE = re.compile(rb"(?<![^ \t\n\v\f\r])[!-/:-@\[-`{-~]+(?![^ \t\n\v\f\r])")
 # Bytes that are no ASCII letter are marks, blanks or digits; what is beyond ASCII counts as letters.
 _LETTERS_OR_MORE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalpha())
 
@@ -124,7 +132,7 @@ def base_failed() -> Column:
 def _vectors(counts: DataFrame) -> DataFrame:
     """Add ``x``, the transformed statistics; the corpus rates are one row."""
     ratios = {
-        "symbols": ("n_symbols", "word_chars"), "upper": ("n_upper", "word_chars"), "letters": ("n_letters", "word_chars"),
+        "symbols": ("n_symbols", "word_chars"), "upper": ("n_upper", "word_chars"), "letters": ("n_letters", "word_chars"), "bare": ("n_bare", "n_words"),
         "distinct": ("n_distinct", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"),
     }
     of = {"word_chars": 6.0, "n_words": 1.0, "n_lines": 0.05}  # of each unit in a word
