@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, byte_texts
+from .common import FOLD, byte_texts, map_arrow
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -228,7 +228,7 @@ def find_leaks(
         F.lit(None).cast("long").alias("match_at"),
     )
     for block in [*blocks(benchmark, block_words)] or [[]]:
-        out = out.mapInArrow(_searcher(Queries(block, window), shard_words), _FOUND)
+        out = map_arrow(out, _searcher(Queries(block, window), shard_words), _FOUND)
     return out
 
 

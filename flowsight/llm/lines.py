@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .common import byte_texts
+from .common import byte_texts, map_arrow
 
 LEAST_WORDS = 5
 
@@ -62,7 +62,7 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             yield out()
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, start long, stop long, digest binary")
+    return map_arrow(texts, run, "doc_id long, start long, stop long, digest binary")
 
 
 def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     gone = removals(docs, least_words).withColumnRenamed("doc_id", "_gone")
     joined = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left")
     spans = F.coalesce("spans", F.expr("CAST(array() AS array<struct<start: bigint, stop: bigint>>)")).alias("spans")
-    return joined.select("doc_id", "text", spans).mapInArrow(_cut, "doc_id long, text string, spans array<struct<start: long, stop: long>>")
+    return map_arrow(joined.select("doc_id", "text", spans), _cut, "doc_id long, text string, spans array<struct<start: long, stop: long>>")
 
 
 SQL = r"""

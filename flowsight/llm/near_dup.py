@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .common import FOLD, byte_texts, words
+from .common import FOLD, byte_texts, map_arrow, words
 
 SHINGLE = 5
 K = 64
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
             arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _longs(bottom)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_digest", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, sketch array<long>")
+    return map_arrow(_texts(docs), run, "doc_id long, n_shingles long, set_digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -105,7 +105,7 @@ def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             values = _longs([shingle_set(text, shingle) for text in byte_texts(batch.column("text"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, shingles array<long>")
+    return map_arrow(_texts(docs), run, "doc_id long, shingles array<long>")
 
 
 def least_shared(size: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .common import byte_texts, words
+from .common import byte_texts, map_arrow, ship, words
 
 WINDOW = 4096
 END_ID = 1
@@ -99,7 +99,7 @@ _ARROW = pa.schema(
 def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Token pieces of every document; ``in_task`` counts the earlier pieces of the same length in the same task."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_cutter(path, window, end_id, keep_ids), _PIECES_IDS if keep_ids else _PIECES)
+    return map_arrow(texts, _cutter(path, window, end_id, keep_ids), _PIECES_IDS if keep_ids else _PIECES)
 
 
 def fullest(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -187,6 +187,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     pieces = staged(pieces, "pieces")
     tasks = staged(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = {row.length: row.n for row in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
+    ship(pieces.sparkSession)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = tasks.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(starts, ["task", "length"]).select(

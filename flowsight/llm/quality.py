@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .common import byte_texts, words
+from .common import byte_texts, map_arrow, ship, words
 
 WINDOW = 8
 PRIOR_WORDS = 60.0
@@ -122,7 +122,7 @@ def count_texts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row of ``docs``."""
     schema = ", ".join(f"{name} long" for name, _ in _COUNTS)
     rows = docs.select(F.col("doc_id").cast("long"), *(F.col(c).cast("string") for c in ("text", "lang", "source")))
-    return rows.mapInArrow(_count, f"doc_id long, lang string, source string, {schema}")
+    return map_arrow(rows, _count, f"doc_id long, lang string, source string, {schema}")
 
 
 def base_failed() -> Column:
@@ -258,6 +258,7 @@ def estimate(rows: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> DataF
         .where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < F.col("total") ** -1.0 * float(sample) * (1 << 30))
         .select("key", "x")
     )
+    ship(rows.sparkSession)
     fits = staged(picked.groupBy("key").applyInPandas(_start, _FIT), "mcd-start")
     p = len(STATS)
     products = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i, p)]

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, near_dup, packing, quality
-from .common import table
+from . import decontaminate, language, lines, near_dup, packing, pii, quality, urls
+from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +36,24 @@ def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(pii.find_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, docs.where(fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.leak_report(found)
@@ -49,7 +63,10 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op4_minhash_near_dup": op4_minhash_near_dup,
+    "op5_url_filter": op5_url_filter,
+    "op6_personal_data": op6_personal_data,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
