@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, near_dup, packing, pii, quality, urls
+from . import decontaminate, language, lines, lm, near_dup, packing, pii, quality, urls
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score_documents(docs, docs.where(fold("doc_id", 5) != 1))
+    return scored.withColumn("held_out", fold("doc_id", 5) == 1)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.leak_report(found)
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_personal_data": op6_personal_data,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
+    "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
 }
 
