@@ -72,7 +72,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.leak_report(found)
+    return decontaminate.leak_report(found).drop("longest", "match_item", "match_at")
 
 
 QUERIES: dict[str, Query] = {
@@ -91,4 +91,5 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op2_line_dedup": lines.SQL,
     "op4_minhash_near_dup": near_dup.SQL,
+    "op10_decontamination": decontaminate.SQL,
 }
