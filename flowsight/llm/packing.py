@@ -29,17 +29,16 @@ from .common import byte_texts, map_arrow, ship, words
 WINDOW = 4096
 END_ID = 1
 CACHED_WORDS = 400_000
-LONGEST_CACHED = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, in_task long"
 _PIECES_IDS = _PIECES + ", ids binary"
 
 
-class WordIds(dict):
-    """Ids of a blank-free chunk as little-endian bytes, remembered for up to CACHED_WORDS chunks.
+class WordIds:
+    """Ids of blank-free chunks as little-endian bytes, remembered for up to two generations of CACHED_WORDS chunks.
 
     Chunks end at ASCII blanks. The tokenizer's normaliser turns blanks into one space and its splitter never crosses
-    one, so the ids of a text are those of its chunks in order.
+    one, so the ids of a text are those of its chunks in order, and chunks can be encoded together.
     """
 
     def __init__(self, path: str):
@@ -47,17 +46,33 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks as one text and cut its ids where the chunks begin."""
+        texts = [c.decode() for c in chunks]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = (4 * np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)).tolist()
+        self.young.update(zip(chunks, (ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)), strict=True))
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, words(text)))
+        chunks = words(text)
+        missing = []
+        for chunk in set(chunks).difference(self.young):
+            ids = self.old.get(chunk)
+            if ids is None:
+                missing.append(chunk)
+            else:
+                self.young[chunk] = ids
+        if missing:
+            self.learn(missing)
+        out = b"".join(map(self.young.__getitem__, chunks))
+        if len(self.young) >= CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        return out
 
 
 @lru_cache(maxsize=2)
