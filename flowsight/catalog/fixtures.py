@@ -85,7 +85,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = flows(spark, sf_dir)
+    return resent(flows(spark, sf_dir))
+
+
+def resent(once: DataFrame) -> DataFrame:
+    """Flows, of a table or a stream, as they arrive."""
     arrivals = F.explode(F.when(F.expr(RESENT), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
     return once.withColumn("arrival", arrivals).drop("arrival")
 

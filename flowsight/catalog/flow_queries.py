@@ -103,7 +103,7 @@ def to_messages(spark, sf_dir):
     )).alias("m")).select("topic", "m.*")
 
 
-@register("read_flow_messages", fx.with_fixtures(_WIRE_SQL))
+@register("read_flow_messages", fx.with_fixtures(f"SELECT *, cast(NULL AS varchar) AS _corrupt_record FROM ({_WIRE_SQL}) w"))
 def read_flow_messages(spark, sf_dir):
     sent = messages.to_messages(fx.healed(spark, sf_dir))
     return messages.read_flow_messages(sent.select(F.col("value").cast("binary").alias("value")))
@@ -362,7 +362,8 @@ _VOTES = "CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 3
 @register(
     "outlier_vote",
     f"SELECT event_id, CASE WHEN {_VOTES} >= 2 THEN 'ANOMALY' ELSE 'NORMAL' END AS two_of_three, "
-    f"CASE WHEN {_VOTES} >= 1 THEN 'ANOMALY' ELSE 'NORMAL' END AS any_of_three FROM events",
+    f"CASE WHEN {_VOTES} >= 1 THEN 'ANOMALY' ELSE 'NORMAL' END AS any_of_three, "
+    "CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN 'ANOMALY' ELSE 'NORMAL' END AS any_of_two FROM events",
 )
 def outlier_vote(spark, sf_dir):
     flags = [F.col("event_id") % n == 0 for n in (2, 3, 5)]
@@ -370,6 +371,7 @@ def outlier_vote(spark, sf_dir):
         "event_id",
         R.outlier_vote(*flags).alias("two_of_three"),
         R.outlier_vote(*flags, min_votes=1).alias("any_of_three"),
+        R.outlier_vote(*flags[:2], min_votes=1).alias("any_of_two"),
     )
 
 
@@ -448,9 +450,3 @@ def write_features(spark, sf_dir):
 @register("preview", fx.with_fixtures("SELECT * FROM fx_raw ORDER BY event_id, timestamp LIMIT 50"))
 def preview(spark, sf_dir):
     return sinks.preview(fx.raw_flows(spark, sf_dir), 50, "event_id", "timestamp")
-
-
-@register("list_datasets")
-def list_datasets(spark, sf_dir):
-    return files.list_datasets(spark, [sf_dir]).drop("updated_at")
-

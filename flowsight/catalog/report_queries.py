@@ -188,8 +188,9 @@ def risk_metrics(spark, sf_dir):
 _TOTALS = """(SELECT coalesce(src_ip, 'UNKNOWN') AS src_ip, count(*) AS flows, sum(cast(request_rate AS double)) AS rate_sum,
   sum(cast(failed_logins AS double)) AS failed_sum,
   sum(CASE WHEN status_code IN (401, 403, 429, 500, 503) THEN 1e0 ELSE 0e0 END) AS risky FROM fx_typed GROUP BY 1)"""
-_RISK = f"""(SELECT *, greatest(0.05e0, least(0.99e0, rate_sum / flows / 1500e0 + failed_sum / flows / 8e0 + risky / flows * 0.9e0)) AS score
-  FROM (SELECT * FROM {_TOTALS} ORDER BY flows DESC, src_ip LIMIT 30) t)"""
+_ALL_RISK = f"""(SELECT *, greatest(0.05e0, least(0.99e0, rate_sum / flows / 1500e0 + failed_sum / flows / 8e0 + risky / flows * 0.9e0)) AS score
+  FROM {_TOTALS} t)"""
+_RISK = f"(SELECT * FROM {_ALL_RISK} a ORDER BY flows DESC, src_ip LIMIT 30)"
 
 
 def named(spark, sf_dir):
@@ -225,13 +226,33 @@ def ip_risk_table(spark, sf_dir):
       ELSE greatest(0.03e0, least(0.22e0, dense)) END, 3) AS score
   FROM (VALUES ('request_rate'), ('failed_login_ratio'), ('status_anomaly_ratio'), ('ip_distribution_score'), ('threat_density')) f(feature)
   CROSS JOIN (SELECT sum(rate_sum) AS rate, sum(failed_sum) AS failed, sum(risky) AS risky, cast(sum(flows) AS double) AS rows, count(*) AS ips FROM {_TOTALS} t) s
-  CROSS JOIN (SELECT avg(CASE WHEN score >= 0.65 THEN 1e0 ELSE 0e0 END) AS dense FROM {_RISK} r) d) p"""
+  CROSS JOIN (SELECT avg(CASE WHEN score >= 0.65 THEN 1e0 ELSE 0e0 END) AS dense FROM {_ALL_RISK} r) d) p"""
     ),
 )
 def feature_scores(spark, sf_dir):
     return it.feature_scores(named(spark, sf_dir))
 
 
+_FILE_LEVELS = (
+    "(SELECT CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END "
+    f"AS risk_level FROM {_ALL_RISK} r)"
+)
+
+
+@register(
+    "risk_distribution_files",
+    fx.with_fixtures(
+        f"""SELECT v.risk_level, t.n AS total_predictions, round(t.high / greatest(t.n, 1e0), 4) AS threat_detection_rate,
+  (SELECT count(*) FROM {_FILE_LEVELS} i WHERE i.risk_level = v.risk_level) AS records
+FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) v(risk_level)
+CROSS JOIN (SELECT count(*) AS n, cast(count(CASE WHEN risk_level IN ('HIGH', 'CRITICAL') THEN 1 END) AS double) AS high FROM {_FILE_LEVELS} l) t"""
+    ),
+)
+def risk_distribution_files(spark, sf_dir):
+    """Over every source of the file, not over the ones shown."""
+    return it.risk_distribution(it.source_risk(named(spark, sf_dir)))
+
+
 # --- profiling ---------------------------------------------------------------
 def _top_values_sql(source: str, column: str, n: int = 8) -> str:
     return (
@@ -306,7 +327,7 @@ def file_stats(spark, sf_dir):
     "ingest_summary",
     fx.with_fixtures(
         f"""SELECT n AS message_count, cast(greatest(1, n // 10) AS double) AS throughput_rps, n AS rows_processed, gaps AS quarantined_rows,
-  gaps AS missing_rows_corrected, CASE WHEN key_extra > 0 THEN key_extra ELSE row_extra END AS duplicates_removed, 'generic' AS profile
+  gaps AS missing_rows_corrected, CASE WHEN key_extra > 0 THEN key_extra ELSE row_extra END AS duplicates_removed, 'generic' AS profile, '' AS top_channels
 FROM (SELECT count(*) AS n, count(CASE WHEN {_GAPS} > 0 THEN 1 END) AS gaps, {_KEY_EXTRA} AS key_extra, {_ROW_EXTRA} AS row_extra FROM fx_raw) t"""
     ),
 )
@@ -314,6 +335,20 @@ def ingest_summary(spark, sf_dir):
     return pf.ingest_summary(fx.raw_flows(spark, sf_dir), ["timestamp", "src_ip"])
 
 
+@register(
+    "ingest_channels",
+    """SELECT n AS message_count, cast(greatest(1, n // 10) AS double) AS throughput_rps, n AS rows_processed, cast(0 AS bigint) AS quarantined_rows,
+  cast(0 AS bigint) AS missing_rows_corrected, n - names AS duplicates_removed, 'generic' AS profile, top.top_channels
+FROM (SELECT count(*) AS n, count(DISTINCT p_name) AS names FROM part) t
+CROSS JOIN (SELECT string_agg(p_brand || '=' || c, ';' ORDER BY c DESC, p_brand) AS top_channels
+  FROM (SELECT p_brand, count(*) AS c FROM part GROUP BY 1 ORDER BY c DESC, p_brand LIMIT 8) b) top""",
+)
+def ingest_channels(spark, sf_dir):
+    """Parts as videos, brands as channels."""
+    part = fx.table(spark, sf_dir, "part").selectExpr("p_name AS video_id", "p_brand AS channel_title", "p_size AS views")
+    return pf.ingest_summary(part, ["video_id"])
+
+
 @register(
     "top_k",
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30",

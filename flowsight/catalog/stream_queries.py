@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators.features import stream_features as stream_formulas
-from ..schema import STREAM_COLUMNS
+from ..plans.stream import StreamOutputs, run_stream_of
+from ..schema import CORRUPT, STREAM_COLUMNS
+from ..sources.messages import read_flow_messages
 from ..sources.scratch import scratch_path
 from ..streaming import flows as st
 from . import fixtures as fx
@@ -24,9 +28,12 @@ _FILLED = ", ".join(
 
 def event_stream(spark, sf_dir):
     """The events table read as a stream of flows."""
+    return fx.as_flows(raw_stream(spark, sf_dir))
+
+
+def raw_stream(spark, sf_dir):
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    events = st.stream_flows(spark, path, spark.read.parquet(path).schema, "parquet")
-    return fx.as_flows(events)
+    return st.stream_flows(spark, path, spark.read.parquet(path).schema, "parquet")
 
 
 def _options(spark) -> st.StreamOptions:
@@ -50,17 +57,38 @@ def clean_stream(spark, sf_dir):
     fx.with_fixtures(f"SELECT DISTINCT timestamp, src_ip, dst_ip, port, protocol FROM (SELECT {_FILLED} FROM fx_flows) f"),
 )
 def dedupe_stream(spark, sf_dir):
-    deduped = st.dedupe_stream(st.clean_stream(event_stream(spark, sf_dir)))
+    """Every fiftieth flow arrives twice."""
+    resent = fx.resent(event_stream(spark, sf_dir))
+    deduped = st.dedupe_stream(st.clean_stream(resent))
     return _table_of(spark, deduped.select("timestamp", "src_ip", "dst_ip", "port", "protocol"))
 
 
+@register(
+    "stream_quarantine",
+    fx.with_fixtures(
+        "SELECT 'kept' AS kind, cast(event_id AS varchar) AS what FROM fx_flows WHERE event_id % 37 <> 0 "
+        "UNION ALL SELECT 'rejected', 'broken ' || event_id FROM fx_flows WHERE event_id % 37 = 0"
+    ),
+)
+def stream_quarantine(spark, sf_dir):
+    """Flows as messages, some of them no JSON: every one ends in the feature table or in the quarantine."""
+    flows = event_stream(spark, sf_dir)
+    named = flows.withColumn("dst_ip", F.col("event_id").cast("string"))
+    text = F.when(F.col("event_id") % 37 == 0, F.concat(F.lit("broken "), F.col("event_id"))).otherwise(
+        F.to_json(F.struct(*[F.col(c) for c in STREAM_COLUMNS]))
+    )
+    out = StreamOutputs.below(scratch_path(spark, "stream-job"))
+    run_stream_of(read_flow_messages(named.select(text.alias("value"))), out, _options(spark))
+    kept = spark.read.parquet(out.features).select(F.lit("kept").alias("kind"), F.col("dst_ip").alias("what"))
+    return kept.unionByName(spark.read.parquet(out.quarantine).select(F.lit("rejected").alias("kind"), F.col(CORRUPT).alias("what")))
+
+
 @register(
     "enrich_stream",
     "SELECT f.event_id, f.user_id AS user_key, c.c_name, c.c_mktsegment FROM events f LEFT JOIN customer c ON c.c_custkey = f.user_id",
 )
 def enrich_stream(spark, sf_dir):
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    events = st.stream_flows(spark, path, spark.read.parquet(path).schema, "parquet")
+    events = raw_stream(spark, sf_dir)
     customers = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_key", "c_name", "c_mktsegment")
     return _table_of(spark, st.enrich_stream(events.selectExpr("event_id", "user_id AS user_key"), customers, "user_key"))
 

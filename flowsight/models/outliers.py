@@ -5,8 +5,8 @@
   a one-class SVM approaches as its outlier share goes to 1);
 * reconstruction error of a principal-component projection, in place of an autoencoder.
 
-Fitting moves only samples and small matrices to the driver; scoring is one vectorised pass over
-all rows, the sole Python in the data path.
+Fitting moves only samples and small matrices to the driver. Python runs in two full passes: one that averages the
+kernel features while fitting and one that scores, both vectorised.
 """
 
 from __future__ import annotations
@@ -242,12 +242,16 @@ def score_outliers(df: DataFrame, detectors: Detectors) -> DataFrame:
 
 
 def flag_outliers(scored: DataFrame, settings: Settings = PRESETS["detection"]) -> DataFrame:
-    """Cut each score at its upper ``contamination`` quantile and vote."""
+    """Cut each score at its upper ``contamination`` quantile and let the settings' detectors vote.
+
+    The quantile is approximate: its rank is right to one ten-thousandth of the rows.
+    """
     cuts = [F.percentile_approx(c, 1.0 - settings.contamination, 10_000).alias(c) for c in SCORES]
     at = scored.agg(*cuts).select(F.struct(*SCORES).alias("c")).scalar()
     flags = {f"{c}_flag": F.col(c) >= at[c] for c in SCORES}
     flagged = scored.withColumns(flags)
-    return flagged.withColumn("anomaly_flag", outlier_vote(*flags, min_votes=settings.min_votes))
+    voting = [f"{c}_flag" for c in settings.detectors]
+    return flagged.withColumn("anomaly_flag", outlier_vote(*voting, min_votes=settings.min_votes))
 
 
 def outlier_scores(

@@ -20,9 +20,14 @@ class Settings:
     components: int = 6
     contamination: float = 0.1
     min_votes: int = 2
+    # the scores that vote
+    detectors: tuple[str, ...] = ("isolation_score", "kernel_score", "autoencoder_error")
     seed: int = 42
     # classifiers learn from about this many rows, chosen by hash; None: from all rows
     fit_rows: int | None = None
+    # labels a classifier accepts, and one-against-rest fits that run side by side
+    most_classes: int = 100
+    parallel_fits: int = 4
 
 
 PRESETS: dict[str, Settings] = {
@@ -30,7 +35,9 @@ PRESETS: dict[str, Settings] = {
     "bundle": Settings(
         forest_trees=120, forest_depth=8, boost_rounds=120, boost_depth=6, isolation_trees=160, contamination=0.12
     ),
-    "legacy_outliers": Settings(isolation_trees=150, contamination=0.12, min_votes=1),
+    "legacy_outliers": Settings(
+        isolation_trees=150, contamination=0.12, min_votes=1, detectors=("isolation_score", "kernel_score")
+    ),
     "quick": replace(
         Settings(), forest_trees=20, forest_depth=6, boost_rounds=6, boost_depth=4, boost_step=0.3, isolation_trees=60
     ),

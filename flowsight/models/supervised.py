@@ -23,9 +23,6 @@ from ..operators.features import MODEL_FEATURES, model_inputs
 from .settings import PRESETS, Settings
 
 VECTOR = "features"
-MAX_CLASSES = 100
-PARALLEL_FITS = 4
-FEW_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -45,11 +42,11 @@ def assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol=VECTOR).transform(model_inputs(df))
 
 
-def class_counts(df: DataFrame, label: str) -> dict[str, int]:
-    """Label -> rows, in label order. Labels are a short fixed vocabulary; a long list is an error."""
-    rows = df.groupBy(F.coalesce(F.col(label), F.lit("normal")).alias("k")).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"column {label!r} has more than {MAX_CLASSES} classes")
+def class_counts(df: DataFrame, label: str, most: int = 100) -> dict[str, int]:
+    """Label -> rows, in label order. Labels are a short fixed vocabulary; more than ``most`` are an error."""
+    rows = df.groupBy(F.coalesce(F.col(label), F.lit("normal")).alias("k")).count().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"column {label!r} has more than {most} classes")
     return {r["k"]: r["count"] for r in sorted(rows, key=lambda r: r["k"])}
 
 
@@ -99,9 +96,8 @@ def fit_boosted(vectors: DataFrame, label: str, settings: Settings = PRESETS["de
     def fit(label_name: str) -> GBTClassificationModel:
         return learner.fit(vectors.select(VECTOR, F.when(name == label_name, 1.0).otherwise(0.0).alias("label")))
 
-    # On few rows a fit is a chain of short jobs, and fits side by side keep the executors busy. On many
-    # rows each fit fills the cluster and caches its own binned input, so they go one after the other.
-    side_by_side = min(PARALLEL_FITS, len(labels)) if sum(counts.values()) <= FEW_ROWS else 1
+    # A fit is a chain of short jobs, and fits side by side keep the executors busy; each caches its own binned input.
+    side_by_side = max(1, min(settings.parallel_fits, len(labels)))
     with ThreadPoolExecutor(side_by_side) as pool:
         fitted = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), labels))
     return Boosted(labels, tuple(fitted))

@@ -218,6 +218,11 @@ def top_sources(intel: DataFrame, n: int) -> DataFrame:
     return intel.orderBy(F.desc("risk_score"), "src_ip").limit(n)
 
 
+def with_time(df: DataFrame, column: str = "timestamp") -> DataFrame:
+    """The time of the report as ISO text in UTC, as the jobs store it beside alerts, attacks and the timeline."""
+    return df.withColumn(column, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"))
+
+
 def alerts(intel: DataFrame, n: int = 12) -> DataFrame:
     return top_sources(intel, n).select(
         F.concat(F.lit("alert_"), "src_ip").alias("id"),
@@ -267,18 +272,34 @@ def source_totals(df: DataFrame) -> DataFrame:
     )
 
 
+def source_risk(df: DataFrame) -> DataFrame:
+    """Every source with clamped risk score, level, stage, action and traffic profile."""
+    return _risk_of(source_totals(df))
+
+
+def busiest(risk: DataFrame, top: int = 30) -> DataFrame:
+    """The ``top`` busiest sources, to be shown."""
+    return risk.orderBy(F.desc("flows"), "src_ip").limit(top)
+
+
 def ip_risk_table(df: DataFrame, top: int = 30) -> DataFrame:
-    """The ``top`` busiest sources with clamped risk score, level, stage, action and traffic profile."""
-    return _risk_of(source_totals(df).orderBy(F.desc("flows"), "src_ip").limit(top))
+    return busiest(source_risk(df), top)
+
+
+def _score_of_totals() -> Column:
+    n = F.col("flows")
+    raw = F.col("rate_sum") / n / F.lit(1500.0) + F.col("failed_sum") / n / F.lit(8.0) + F.col("risky_rows") / n * F.lit(0.9)
+    return clamp(raw, 0.05, 0.99)
+
+
+def _level_of_totals() -> Column:
+    return R.risk_band(_score_of_totals(), R.MEDIUM_FROM_IP)
 
 
 def _risk_of(totals: DataFrame) -> DataFrame:
     n = F.col("flows")
     rate, failed, risky = F.col("rate_sum") / n, F.col("failed_sum") / n, F.col("risky_rows") / n
-    raw = rate / F.lit(1500.0) + failed / F.lit(8.0) + risky * F.lit(0.9)
-    scored = totals.withColumn("score", clamp(raw, 0.05, 0.99)).withColumn(
-        "risk_level", R.risk_band("score", R.MEDIUM_FROM_IP)
-    )
+    scored = totals.withColumn("score", _score_of_totals()).withColumn("risk_level", _level_of_totals())
     return scored.select(
         "src_ip",
         "flows",
@@ -292,12 +313,17 @@ def _risk_of(totals: DataFrame) -> DataFrame:
     )
 
 
-def feature_scores(df: DataFrame, top: int = 30) -> DataFrame:
-    """Five dataset-level importances: clamped, rounded, normalised to sum 1, largest first."""
-    totals = source_totals(df)
-    dense = ip_risk_table(df, top).agg(indicator_share(R.high_risk()).alias("share")).scalar()
+def feature_scores(df: DataFrame) -> DataFrame:
+    """Five dataset-level importances over all sources: clamped, rounded, normalised to sum 1, largest first."""
+    return scores_of_totals(source_totals(df))
+
+
+def scores_of_totals(totals: DataFrame) -> DataFrame:
+    """``feature_scores`` of one row per source, as ``source_totals`` gives them."""
     rows = F.sum("flows")
-    sums = totals.agg(
+    risk = totals.withColumn("risk_level", _level_of_totals())
+    sums = risk.agg(
+        indicator_share(R.high_risk()).alias("dense"),
         (F.sum("rate_sum") / rows / F.lit(1200.0)).alias("rate"),
         (F.sum("failed_sum") / rows / F.lit(4.0)).alias("failed"),
         (F.sum("risky_rows") / rows).alias("risky"),
@@ -308,7 +334,7 @@ def feature_scores(df: DataFrame, top: int = 30) -> DataFrame:
         ("failed_login_ratio", clamp(F.col("failed"), 0.04, 0.3)),
         ("status_anomaly_ratio", clamp(F.col("risky"), 0.03, 0.26)),
         ("ip_distribution_score", clamp(F.col("spread"), 0.03, 0.2)),
-        ("threat_density", clamp(F.coalesce(dense, F.lit(0.0)), 0.03, 0.22)),
+        ("threat_density", clamp(F.coalesce("dense", F.lit(0.0)), 0.03, 0.22)),
     ]
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.round(s, 3).alias("score")) for n, s in scores])
     total = F.aggregate("pairs", F.lit(0.0), lambda acc, p: acc + p["score"])

@@ -12,7 +12,7 @@ from ..functions.parsing import clock_label
 from ..functions.rules import contains_any
 from ..schema import quoted
 from ..sources.logs import LINE_ORDER, read_lines
-from ..sources.scratch import path_exists
+from ..sources.scratch import path_exists, pattern_exists
 
 SPARK_KEYWORDS = ("spark", "threat_detection")
 
@@ -47,10 +47,8 @@ def component_log(
     return tail_n(log_filter(tail_n(lines, window, order), keywords), n, order)
 
 
-def event_stats(events: DataFrame, order: Sequence[str] = LINE_ORDER, tail: int | None = None) -> DataFrame:
+def event_stats(events: DataFrame, order: Sequence[str] = LINE_ORDER) -> DataFrame:
     """Events per type with, on every row, the total (broken lines included) and the last timestamp."""
-    if tail is not None:
-        events = tail_n(events, tail, order)
     known = ~F.col("malformed")
     # broken lines form a group with 0 events; a condition on the count, unlike one on the group key,
     # leaves the aggregate as the total reads it, so both share one pass
@@ -108,11 +106,11 @@ def traffic_series(df: DataFrame, at: str = "event_ts", points: int = 36) -> Dat
 
 
 def table_ready(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
-    """Has the table been committed, and does it hold a row?"""
+    """Has the table been committed, and does it hold a row? The batches of a stream lie in folders of their own."""
     if not path_exists(spark, path):
         return False
-    marks = ("_SUCCESS", "_spark_metadata", "_delta_log")
-    if not any(path_exists(spark, f"{path.rstrip('/')}/{m}") for m in marks):
+    marks = ("_SUCCESS", "_spark_metadata", "_delta_log", "batch_id=*/_SUCCESS")
+    if not any(pattern_exists(spark, f"{path.rstrip('/')}/{m}") for m in marks):
         return False
     return not spark.read.format(fmt).load(path).isEmpty()
 

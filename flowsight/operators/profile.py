@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import is_blank
@@ -46,9 +46,37 @@ def quantile_histogram(df: DataFrame, column: str, q: int = 5) -> DataFrame:
     )
 
 
-def _copies(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies, folded per map task before the shuffle."""
-    return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of the columns' values, nulls kept apart from texts; -0.0 counts as 0.0, as in a group."""
+    floating = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    values = [(quoted(c) + F.lit(0.0) if c in floating else quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]
+    return F.unhex(F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).cast("binary"), 256))
+
+
+def _copies(df: DataFrame, keys: Sequence[str] = (), **counts: Column) -> DataFrame:
+    """Distinct rows with their number of copies, folded per map task; only digests and ``counts`` are shuffled."""
+    key = _digest(df, keys) if keys else F.lit(None).cast("binary")
+    rows = df.select(_digest(df, df.columns).alias("_row"), key.alias("_key"), *[c.alias(n) for n, c in counts.items()])
+    once = [F.first(n).alias(n) for n in ("_key", *counts)]  # the same in every copy of a row
+    return rows.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"), *once)
+
+
+def _known_keys(df: DataFrame, keys: Sequence[str] | None) -> list[str]:
+    if keys is None:
+        roles = profile_columns(df)
+        keys = [c for c in (roles["key"], roles["key_date"]) if c]
+    return [k for k in keys if k in df.columns]
+
+
+def _extra() -> Column:
+    return F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))
+
+
+def _key_extra(copies: DataFrame, keys: Sequence[str]) -> Column:
+    """Rows beyond the first of each key, as a scalar over the counted distinct rows."""
+    if not keys:
+        return F.lit(0).cast("bigint")
+    return copies.groupBy("_key").agg(F.sum("_copies").alias("_copies")).agg(_extra()).scalar()
 
 
 def duplicate_stats(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -57,63 +85,66 @@ def duplicate_stats(df: DataFrame, keys: Sequence[str] | None = None) -> DataFra
     Without ``keys`` the profile's own key columns are used. Key counts are taken from the counted
     distinct rows, so the table is grouped once.
     """
-    if keys is None:
-        roles = profile_columns(df)
-        keys = [c for c in (roles["key"], roles["key_date"]) if c]
-    keys = [k for k in keys if k in df.columns]
-    copies = _copies(df)
-    extra = F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))
-    if not keys:
-        return copies.agg(extra.alias("duplicate_rows"), F.lit(0).cast("bigint").alias("duplicate_key_rows"))
-    per_key = copies.groupBy(*[quoted(k) for k in keys]).agg(F.sum("_copies").alias("_copies"))
-    return copies.agg(extra.alias("duplicate_rows")).select(
-        "duplicate_rows", per_key.agg(extra).scalar().alias("duplicate_key_rows")
-    )
+    keys = _known_keys(df, keys)
+    copies = _copies(df, keys)
+    return copies.agg(_extra().alias("duplicate_rows")).select("duplicate_rows", _key_extra(copies, keys).alias("duplicate_key_rows"))
 
 
-def missing_stats(df: DataFrame) -> DataFrame:
-    """Missing cells and rows with at least one; NaN counts as missing in floating columns."""
+def _gaps(df: DataFrame) -> Column:
+    """Missing cells of a row; NaN counts as missing in floating columns."""
     floating = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    gaps = {
-        c: (quoted(c).isNull() | F.isnan(quoted(c))) if c in floating else quoted(c).isNull() for c in df.columns
-    }
-    cells = sum((g.cast("int") for g in gaps.values()), F.lit(0))
-    counted = df.select(cells.alias("n"))
+    gaps = [(quoted(c).isNull() | F.isnan(quoted(c))) if c in floating else quoted(c).isNull() for c in df.columns]
+    return sum((g.cast("int") for g in gaps), F.lit(0))
+
+
+def missing_stats(df: DataFrame) -> DataFrame:
+    """Missing cells and rows with at least one."""
+    counted = df.select(_gaps(df).alias("n"))
     return counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("missing_values_count"), F.count_if(F.col("n") > 0).alias("missing_row_count")
     )
 
 
-def file_stats(df: DataFrame, sample_limit: int | None = None) -> DataFrame:
-    """Rows, full-row duplicates and blank cells. All rows count unless a sample limit is asked for."""
-    rows = df if sample_limit is None else df.limit(sample_limit)
+def file_stats(df: DataFrame) -> DataFrame:
+    """Rows, full-row duplicates and blank cells over all rows; ``sampled`` is always false."""
     blank = sum((is_blank(quoted(c)).cast("int") for c in df.columns), F.lit(0))
-    copies = _copies(rows)
-    stats = copies.agg(
+    return _copies(df, blank=blank).agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_processed"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates_removed"),
-        F.coalesce(F.sum(F.col("_copies") * blank), F.lit(0)).alias("null_cells"),
+        _extra().alias("duplicates_removed"),
+        F.coalesce(F.sum(F.col("_copies") * F.col("blank")), F.lit(0)).alias("null_cells"),
+        F.lit(False).alias("sampled"),
     )
-    if sample_limit is None:
-        return stats.withColumn("sampled", F.lit(False))
-    beyond = df.limit(sample_limit + 1).agg(F.count(F.lit(1)) > sample_limit).scalar()
-    return stats.withColumn("sampled", beyond)
 
 
 def ingest_summary(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """One row: message count, throughput figure, quarantined and duplicate rows, column family."""
-    missing = missing_stats(df).select(F.struct("missing_row_count").alias("m")).scalar()
-    doubled = duplicate_stats(df, keys).select(F.struct("duplicate_rows", "duplicate_key_rows").alias("d")).scalar()
-    by_key, by_row = doubled["duplicate_key_rows"], doubled["duplicate_rows"]
-    n = F.col("message_count")
-    return df.agg(F.count(F.lit(1)).alias("message_count")).select(
+    """One row: message count, throughput figure, quarantined and duplicate rows, column family, top channels.
+
+    All counts come from one aggregate of distinct rows. ``throughput_rps`` is a formula of the row count, no
+    measurement. ``top_channels`` lists the commonest values of the channel column as ``name=count``.
+    """
+    keys = _known_keys(df, keys)
+    copies = _copies(df, keys, gap=(_gaps(df) > 0).cast("int"))
+    channel = profile_columns(df)["channel"]
+    top = F.lit("")
+    if channel:
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), "name")))  # eight rows
+        pairs = F.transform(listed, lambda p: F.concat(p["name"], F.lit("="), -p["order"]))
+        top = top_values(df, channel).agg(F.array_join(pairs, ";")).scalar()
+    counted = copies.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("message_count"),
+        F.coalesce(F.sum(F.col("_copies") * F.col("gap")), F.lit(0)).alias("gaps"),
+        _extra().alias("by_row"),
+    )
+    n, by_key = F.col("message_count"), F.col("by_key")
+    return counted.withColumn("by_key", _key_extra(copies, keys)).select(
         "message_count",
         F.greatest(F.lit(1), F.floor(n / 10)).cast("double").alias("throughput_rps"),
         n.alias("rows_processed"),
-        missing["missing_row_count"].alias("quarantined_rows"),
-        missing["missing_row_count"].alias("missing_rows_corrected"),
-        F.when(by_key > 0, by_key).otherwise(by_row).alias("duplicates_removed"),
+        F.col("gaps").alias("quarantined_rows"),
+        F.col("gaps").alias("missing_rows_corrected"),
+        F.when(by_key > 0, by_key).otherwise(F.col("by_row")).alias("duplicates_removed"),
         F.lit("youtube" if detect_profile(df) == "youtube" else "generic").alias("profile"),
+        top.alias("top_channels"),
     )
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FLOW_KEY
-
 # Rows of one key that a single task should take. A key with more is hot, so there is fewer than one hot
 # key per TASK_ROWS rows of the table: under a quarter of a million short keys in 10**12 rows.
 TASK_ROWS = 4_000_000
@@ -26,12 +24,12 @@ def join_per_key(df: DataFrame, per_key: DataFrame, key: str, weight: str, task_
     The list of hot keys is the only thing broadcast by hand; see TASK_ROWS for its bound. Rows without
     a key match nothing and are spread too.
 
-    The salt is a hash of the row and not a random number, so a re-run task sends its rows where the
+    The salt is a hash of the whole row and not a random number, so a re-run task sends its rows where the
     first run did. Copies of one row share a salt; both join sides are plain shuffles, which lets
     AQE split such a partition further.
     """
     hot = F.broadcast(hot_keys(per_key, key, weight, task_rows))
-    by = [c for c in FLOW_KEY if c in df.columns and c != key] or [c for c in df.columns if c != key] or [key]
+    by = [c for c in df.columns if c != key] or [key]
     salts = F.when(F.col(key).isNull(), KEYLESS_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
     rows = df.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("_salts")
     last = F.greatest(F.ceil(F.col(weight) / task_rows).cast("int") - 1, F.lit(0))

@@ -22,7 +22,8 @@ def read_flows_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Only an explicit schema with a corrupt-record column makes short and long rows visible, so the
     header is read first. Column pruning is off for the parse because a pruned parse skips the
-    check; stage the canonical columns as Parquet to get pruning back for everything after.
+    check; stage the canonical columns as Parquet to get pruning back for everything after. A file whose
+    header differs from the first one's fails the read, so no column is taken for another.
     """
     header = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
@@ -32,6 +33,7 @@ def read_flows_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("columnPruning", False)
+        .option("enforceSchema", False)
         .csv(path)
     )
 
@@ -43,29 +45,33 @@ def dataset_format(path: str) -> str:
     return suffix
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV, JSON or Parquet by suffix. CSV stays text: ``cast_flows`` decides types, not a sampling pass.
 
-    JSON is one record per line, which can be split, or one array of records, told by its first line.
+    JSON is one record per line, which can be split; with ``multi_line`` every file is one array or record
+    of its own. Rows that do not parse, such as those of an array file read by lines or of a CSV row that is short or
+    long, come back with their text in the corrupt-record column (JSON has it only where there are such rows).
     """
     fmt = dataset_format(path) if fmt is None else fmt
     if fmt not in DATASET_FORMATS:
         raise ValueError(f"unsupported dataset format {fmt!r}; expected one of {', '.join(DATASET_FORMATS)}")
     if fmt == "csv":
-        return spark.read.option("header", True).csv(path)
+        return read_flows_csv(spark, path)
     if fmt == "json":
-        first = spark.read.text(path).where(F.trim("value") != "").head()
-        array = first is not None and first["value"].lstrip().startswith("[")
-        return spark.read.option("multiLine", array).json(path)
+        return spark.read.option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return spark.read.parquet(path)
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str = "src_ip string", fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: T.StructType | str = "src_ip string", fmt: str = "parquet",
+    merge_schema: bool = False,
 ) -> DataFrame:
-    """A stored table; an empty one of ``schema`` where nothing has been written yet."""
+    """A stored table; an empty one of ``schema`` where nothing has been written yet.
+
+    ``merge_schema`` opens every file's footer; only tables whose runs differ, as quarantine, need it.
+    """
     try:
-        return spark.read.format(fmt).option("mergeSchema", True).load(path)
+        return spark.read.format(fmt).option("mergeSchema", merge_schema).load(path)
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

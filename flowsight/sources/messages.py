@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.parsing import first_non_blank
 from ..schema import (
     CANONICAL_MESSAGE_HEADER,
+    CORRUPT,
     MESSAGE_ALIASES,
     STREAM_COLUMNS,
     TEXT_DEFAULTS,
@@ -55,12 +56,15 @@ def to_messages(df: DataFrame, topic: str = TOPIC) -> DataFrame:
 def read_flow_messages(messages: DataFrame) -> DataFrame:
     """Decode ``value`` (bytes or text) of a batch or a stream into canonical flow fields.
 
-    Fields are taken as text and cast afterwards, so 22, 22.0 and "22" all decode and a malformed
-    message becomes a row of nulls instead of an error.
+    Fields are taken as text and cast afterwards, so 22, 22.0 and "22" all decode. A malformed message keeps its text in
+    the corrupt-record column, which ``clean_stream`` leaves out and the quarantine takes.
     """
-    wire = T.StructType([T.StructField(c, T.StringType()) for c in STREAM_COLUMNS])
-    decoded = messages.select(F.from_json(F.col("value").cast("string"), wire).alias("m"))
-    return decoded.select(*[_typed(c, F.col(f"m.{c}")).alias(c) for c in STREAM_COLUMNS])
+    wire = T.StructType([T.StructField(c, T.StringType()) for c in (*STREAM_COLUMNS, CORRUPT)])
+    text = F.col("value").cast("string")
+    decoded = messages.select(F.from_json(text, wire, {"columnNameOfCorruptRecord": CORRUPT}).alias("m"), text.alias("_text"))
+    # an empty or null message parses to no record at all
+    corrupt = F.when(F.col("m").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.col(f"m.{CORRUPT}"))
+    return decoded.select(*[_typed(c, F.col(f"m.{c}")).alias(c) for c in STREAM_COLUMNS], corrupt.alias(CORRUPT))
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str = TOPIC) -> DataFrame:

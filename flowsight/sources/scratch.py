@@ -11,20 +11,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's work tables, below ``spark.checkpoint.dir``.
 
-    A local folder stands in only under a local master with nothing configured (tests).
+    Where nothing is configured, as in tests, a folder is set as the checkpoint folder once, and only under a local
+    master: on a cluster a machine's own folder would not be seen by the others.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = _LOCAL_ROOTS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="flowsight-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="flowsight-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/flowsight-{context.applicationId}"
 
 
@@ -73,6 +72,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(target))
 
 
+def pattern_exists(spark: SparkSession, pattern: str) -> bool:
+    """Is there a path that matches?"""
+    fs, target = hadoop_path(spark, pattern)
+    return bool(fs.globStatus(target))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove this application's work tables; call it when no staged frame is needed any more."""
     fs, target = hadoop_path(spark, scratch_root(spark))

@@ -64,10 +64,13 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def append_event(spark: SparkSession, path: str, event_type: str, details: Mapping[str, Any]) -> None:
-    payload = {k: str(v) for k, v in details.items()}
-    row = spark.createDataFrame(
-        [(utc_now(), event_type, payload)], "timestamp string, event_type string, details map<string,string>"
-    )
+    """Append one event; numbers and truth values among its details keep their types, anything else is text."""
+    typed = {k: v if isinstance(v, (bool, int, float, str)) or v is None else str(v) for k, v in details.items()}
+    columns = [F.lit(v).alias(k) for k, v in typed.items()]
+    row = spark.range(1).select(
+        F.lit(utc_now()).alias("timestamp"), F.lit(event_type).alias("event_type"),
+        (F.struct(*columns) if columns else F.create_map().cast("map<string,string>")).alias("details"),
+    )
     append_events(row, path)
 
 
@@ -77,15 +80,18 @@ def append_log(spark: SparkSession, path: str, component: str, message: str) ->
 
 
 def write_actions_csv(df: DataFrame, folder: str) -> str:
-    """Defence actions under a folder named by the time of the run."""
+    """Defence actions, stamped with the time of the run, under a folder named by it."""
+    df = df.select(F.lit(utc_now()).alias("timestamp"), *[quoted(c) for c in df.columns if c != "timestamp"])
     path = f"{folder.rstrip('/')}/defense_actions_{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}"
     _csv(df).csv(path)
     return path
 
 
 def write_normalized(df: DataFrame, path: str) -> dict[str, str]:
-    """Accept an upload: check its columns, store it as headed CSV, return its schema."""
+    """Accept an upload: check its columns and that it has rows, store it as headed CSV, return its schema."""
     schema = validate_schema(df)
+    if df.isEmpty():
+        raise ValueError("the dataset has no rows")
     _csv(df).mode("overwrite").csv(path)
     return schema
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from ..functions.parsing import event_time
 from ..operators.clean import cast_flows, fill_defaults
 from ..operators.features import STREAM_FEATURE_COLUMNS, select_features, stream_features
+from ..operators.skew import TASK_ROWS, join_per_key
 from ..schema import CORRUPT, FLOW_KEY, STREAM_ALIASES, canonicalize
 
 SPIKE_FROM = 2.0
@@ -40,6 +41,7 @@ class StreamOptions:
 
 def stream_path(path: str) -> str:
     """A pattern matching exactly ``path``: a table kept as one file then streams like a folder does."""
+    path = path.rstrip("/") or path
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
@@ -67,17 +69,29 @@ def dedupe_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(list(FLOW_KEY))
 
 
+def corrupt_rows(df: DataFrame) -> DataFrame:
+    """What ``clean_stream`` leaves out, for the quarantine."""
+    return df.where(F.col(CORRUPT).isNotNull()) if CORRUPT in df.columns else df.limit(0)
+
+
 def enrich_stream(df: DataFrame, static: DataFrame, key: str, salts: int = 8) -> DataFrame:
     """LEFT join of a stream (or batch) with a static table holding one row per key.
 
     Counting keys on a stream is not possible before the join, so every key is salted: the static
-    rows are repeated ``salts`` times and a key's stream rows go to that many tasks.
+    rows are repeated ``salts`` times and a key's stream rows go to that many tasks. ``enrich_batch`` counts the keys of
+    a micro-batch instead and repeats only the rows of hot ones.
     """
     spread = F.pmod(F.xxhash64(*([c for c in df.columns if c != key] or [key])), F.lit(salts)).cast("int")
     copies = static.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return df.withColumn("_salt", spread).join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def enrich_batch(batch: DataFrame, static: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """LEFT join of a micro-batch, or any table, with one row per key; keys are spread by their rows in this batch."""
+    counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_flows"))
+    return join_per_key(batch, counts.join(static, key), key, "_flows", task_rows)
+
+
 def high_spike(df: DataFrame, threshold: float = SPIKE_FROM) -> DataFrame:
     return df.where(F.col("traffic_spike_score") > threshold)
 
@@ -96,22 +110,25 @@ def window_ip_stats(
 ) -> DataFrame:
     """Per-source statistics of event-time windows.
 
-    On a stream a window is emitted once the watermark passes its end and later rows are dropped.
-    Streams cannot count distinct values, so there the ports are kept as a set per (window, source):
-    exact, and no larger than the port range. A batch counts them in two steps as usual.
+    On a stream a window is emitted once the watermark passes its end and later rows are dropped. Rows are first
+    summed per (window, source, port) and the sums then per (window, source): state holds numbers and no sets, distinct
+    ports are counted exactly, and a source with many rows is spread over its ports.
     """
-    if approximate_ports:
-        ports = F.approx_count_distinct("port")
-    else:
-        ports = F.size(F.collect_set("port")).cast("bigint") if df.isStreaming else F.count_distinct("port")
     timed = df.withColumn("event_ts", event_time("timestamp")).withWatermark("event_ts", delay)
     frame = F.window("event_ts", window, slide) if slide else F.window("event_ts", window)
-    return timed.groupBy(frame, "src_ip").agg(
-        F.count(F.lit(1)).alias("flows"),
+    rate = F.col("request_rate")
+    per_port = timed.groupBy(frame, "src_ip", "port").agg(
+        F.count(F.lit(1)).alias("flows"), F.count(rate).alias("rates"), F.sum(rate).alias("rate_sum"),
+        F.sum(rate * rate).alias("square_sum"), F.max("connection_duration").alias("longest"),
+    )
+    ports = F.approx_count_distinct("port") if approximate_ports else F.count("port")
+    mean = F.sum("rate_sum") / F.sum("rates")
+    return per_port.groupBy("window", "src_ip").agg(
+        F.sum("flows").alias("flows"),
         ports.alias("unique_ports_accessed"),
-        F.avg("request_rate").alias("avg_request_rate"),
-        F.stddev_pop("request_rate").alias("std_request_rate"),
-        F.max("connection_duration").alias("session_duration"),
+        mean.alias("avg_request_rate"),
+        F.sqrt(F.greatest(F.sum("square_sum") / F.sum("rates") - mean * mean, F.lit(0.0))).alias("std_request_rate"),
+        F.max("longest").alias("session_duration"),
     ).select(
         F.unix_seconds("window.start").alias("window_start"),
         F.unix_seconds("window.end").alias("window_end"),
@@ -131,13 +148,17 @@ def write_stream_features(df: DataFrame, path: str, options: StreamOptions, fmt:
     return options.apply(df.writeStream.format(fmt).outputMode("append").option("path", path)).start()
 
 
-def _write_batch(path: str, reports: str, transform: Callable[[DataFrame], DataFrame]):
+def _write_batch(path: str, reports: str, transform: Callable[[DataFrame], DataFrame], quarantine: str | None = None):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"{path.rstrip('/')}/batch_id={batch_id}"
         rows = batch.persist()
         try:
-            features = select_features(transform(rows), STREAM_FEATURE_COLUMNS)
+            if quarantine is not None:
+                rejected = corrupt_rows(rows).withColumn("quarantined_at", F.current_timestamp())
+                rejected.write.mode("overwrite").parquet(f"{quarantine.rstrip('/')}/batch_id={batch_id}")
+            clean = rows if quarantine is None else clean_stream(rows)
+            features = select_features(transform(clean), STREAM_FEATURE_COLUMNS)
             features.withColumn("processed_at", F.current_timestamp()).write.mode("overwrite").parquet(folder)
         finally:
             rows.unpersist()
@@ -151,14 +172,16 @@ def _write_batch(path: str, reports: str, transform: Callable[[DataFrame], DataF
 
 def start_feature_stream(
     df: DataFrame, path: str, reports: str, options: StreamOptions,
-    transform: Callable[[DataFrame], DataFrame] = stream_features,
+    transform: Callable[[DataFrame], DataFrame] = stream_features, quarantine: str | None = None,
 ) -> StreamingQuery:
     """Features and metrics of every micro-batch of clean flows, in one query.
 
+    With a ``quarantine`` folder ``df`` holds raw flows: each batch is cleaned here, and its corrupt rows are kept there.
+
     Each batch goes to a folder of its own number and replaces it when replayed after a failure, so
     every row is in the table exactly once. The metrics read the written batch, not the source again.
     """
-    return options.apply(df.writeStream.foreachBatch(_write_batch(path, reports, transform))).start()
+    return options.apply(df.writeStream.foreachBatch(_write_batch(path, reports, transform, quarantine))).start()
 
 
 def run_bounded(query: StreamingQuery, options: StreamOptions) -> None:

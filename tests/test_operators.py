@@ -196,11 +196,9 @@ def test_profile_of_a_video_table(spark):
     assert (summary["profile"], summary["duplicates_removed"], summary["throughput_rps"]) == ("youtube", 2, 1.0)
 
 
-def test_file_stats_sampling(spark):
+def test_file_stats_count_all_rows(spark):
     df = spark.createDataFrame([("a", " "), ("a", " "), ("b", None)], "x string, y string").coalesce(1)
     assert tuple(profile.file_stats(df).first()) == (3, 1, 3, False)
-    assert tuple(profile.file_stats(df, 2).first()) == (2, 1, 2, True)
-    assert tuple(profile.file_stats(df, 3).first()) == (3, 1, 3, False)
     assert tuple(profile.file_stats(df.limit(0)).first()) == (0, 0, 0, False)
 
 

@@ -1,17 +1,22 @@
 """Whole jobs, and the shape of their plans."""
 
+import json
 import re
 
 import pytest
-from conftest import FLOW_DDL
+from conftest import FLOW_DDL, flow
+from pyspark.sql.types import StructType
 
 import __spark_entry__ as contract
 from flowsight.catalog import fixtures as fx
 from flowsight.models.settings import PRESETS
 from flowsight.plans.batch import BatchOutputs, run_batch
-from flowsight.plans.detection import build_intelligence, run_defense, run_detection
-from flowsight.plans.upload import run_upload
+from flowsight.plans.detection import build_intelligence, run_dashboard, run_defense, run_detection, run_intelligence
+from flowsight.operators.logs import table_ready
+from flowsight.plans.stream import StreamOutputs, run_stream
+from flowsight.plans.upload import report_tables, run_upload
 from flowsight.sources import sinks
+from flowsight.streaming.flows import StreamOptions
 
 
 @pytest.fixture(scope="module")
@@ -50,8 +55,16 @@ def test_detection_to_defence(spark, folder, outputs):
     intel = build_intelligence(spark, predictions)
     sources = spark.read.parquet(out.features).select("src_ip").distinct().count()
     assert intel.count() == sources and intel.where("risk_score NOT BETWEEN 0 AND 1").count() == 0
-    actions = spark.read.option("header", True).csv(run_defense(spark, predictions, str(folder / "actions")))
-    assert actions.count() == sources
+    intelligence, decisions = str(folder / "intelligence"), str(folder / "decisions")
+    run_intelligence(spark, predictions, intelligence, decisions)
+    assert spark.read.parquet(decisions).count() == sources
+    actions = spark.read.option("header", True).csv(run_defense(spark, intelligence, str(folder / "actions")))
+    assert actions.count() == sources and actions.where("timestamp IS NULL").count() == 0
+    run_dashboard(spark, intelligence, str(folder / "dashboard"))
+    stamps = {"alerts": "timestamp", "timeline": "time", "attacks": "timestamp"}
+    for name, column in stamps.items():
+        shown = spark.read.json(str(folder / "dashboard" / name))
+        assert 0 < shown.count() <= 12 and shown.where(f"{column} NOT RLIKE '^20..-..-..T'").count() == 0
 
 
 def test_upload(spark, folder):
@@ -60,11 +73,39 @@ def test_upload(spark, folder):
     sinks.write_csv(df, str(folder / "up.csv"))
     reports = run_upload(spark, str(folder / "up.csv"), str(folder / "norm"), str(folder / "registry"), 12)
     assert tuple(reports["file_stats"].first()) == (3, 1, 2, False)
+    assert reports["corrupt_rows"].count() == 0
     assert {r["src_ip"] for r in reports["ip_risk"].collect()} == {"a", "c"}
     assert reports["risk_metrics"].first()["activeThreats"] == 1
     assert spark.read.parquet(str(folder / "registry")).first()["row_count"] == 3
 
 
+def test_upload_totals_count_every_source(spark, folder):
+    rows = [(f"s{k}", "b", "9000", "503") for k in range(100)]
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, request_rate string, status_code string")
+    reports = report_tables(df)
+    assert reports["ip_risk"].count() == 30
+    assert reports["risk_distribution"].first()["total_predictions"] == 100
+    assert reports["risk_metrics"].first()["activeThreats"] == 100
+
+
+def test_stream_job_quarantines_and_reports(spark, folder):
+    source = folder / "arriving"
+    source.mkdir()
+    names = [n.strip().split(" ")[0] for n in FLOW_DDL.split(",")]
+    for k in range(3):  # three micro-batches
+        good = "\n".join(json.dumps(dict(zip(names, flow(port=float(p), packet_size=100.0 + k), strict=True))) for p in range(4))
+        (source / f"{k}.json").write_text(f"{good}\nnonsense {k}\n")
+    out = StreamOutputs.below(str(folder / "stream"))
+    schema = StructType.fromDDL(f"{FLOW_DDL}, _corrupt_record string")
+    run_stream(spark, str(source), schema, out, StreamOptions(str(folder / "ck"), trigger_seconds=None), max_files=1)
+    assert spark.read.parquet(out.features).count() == 12
+    kept = spark.read.option("mergeSchema", True).parquet(out.quarantine)
+    assert sorted(r["_corrupt_record"] for r in kept.collect()) == ["nonsense 0", "nonsense 1", "nonsense 2"]
+    assert table_ready(spark, out.features)
+    assert spark.read.json(out.reports).agg({"records": "sum"}).first()[0] == 12
+    assert "stream completed" in "\n".join(r["value"] for r in spark.read.text(out.log).collect())
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

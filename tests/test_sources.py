@@ -34,13 +34,31 @@ def test_pruned_query_on_raw_parse_still_sees_corrupt_rows(spark, tmp_path):
     assert rows.first()["n"] == 1
 
 
+def test_no_record_is_dropped_or_swapped_silently(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    write(folder / "array.json", '[{"x": 1},\n{"x": 2}]')
+    write(folder / "lines.json", '{"x": 3}\n')
+    rows = files.read_dataset(spark, str(folder)).collect()
+    assert sorted(r["x"] for r in rows if r["x"] is not None) == [2, 3]
+    assert [r["_corrupt_record"] for r in rows if r["x"] is None] == ['[{"x": 1},']
+    ragged = files.read_dataset(spark, write(tmp_path / "r.csv", "a,b,c\n1,2,3\n1,2\n1,2,3,4\n")).collect()
+    assert sorted(str(r["_corrupt_record"]) for r in ragged) == ["1,2", "1,2,3,4", "None"]
+    headers = tmp_path / "headers"
+    headers.mkdir()
+    write(headers / "a.csv", "src_ip,dst_ip,port\na,b,1\n")
+    write(headers / "b.csv", "dst_ip,src_ip,port\nb,a,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_flows_csv(spark, str(headers)).collect()
+
+
 def test_datasets_by_suffix(spark, tmp_path):
     spark.range(3).selectExpr("cast(id AS string) AS x").write.parquet(str(tmp_path / "d.parquet"))
     spark.range(3).selectExpr("cast(id AS string) AS x").write.json(str(tmp_path / "d.json"))
     csv = write(tmp_path / "d.csv", "x\n0\n1\n2\n")
     array = write(tmp_path / "a.json", '[\n {"x": "0"},\n {"x": "1"}, {"x": "2"}\n]\n')
     for path in (str(tmp_path / "d.parquet"), str(tmp_path / "d.json"), csv, array):
-        assert sorted(r["x"] for r in files.read_dataset(spark, path).collect()) == ["0", "1", "2"]
+        assert sorted(r["x"] for r in files.read_dataset(spark, path, multi_line=path == array).collect()) == ["0", "1", "2"]
     for call in (lambda: files.read_dataset(spark, "x.orc"), lambda: files.read_dataset(spark, "x.csv", "orc")):
         with pytest.raises(ValueError):
             call()
@@ -60,7 +78,7 @@ def test_tables_and_quarantine(spark, tmp_path):
     assert logs.table_ready(spark, table)
     sinks.write_quarantine(spark.range(1), quarantine)
     sinks.write_quarantine(spark.range(1).withColumn("more", F.lit("x")), quarantine)
-    kept = files.read_table(spark, quarantine)
+    kept = files.read_table(spark, quarantine, merge_schema=True)
     assert set(kept.columns) == {"id", "more", "quarantined_at"} and kept.count() == 2
     ready = logs.components_ready(spark, {"features": table, "stream": str(tmp_path / "no")})
     assert {r["component"]: r["ready"] for r in ready.collect()} == {"features": True, "stream": False}
@@ -79,7 +97,7 @@ def test_audit_report_events_and_log(spark, tmp_path):
     parts = [p for p in os.listdir(report) if p.endswith(".json")]
     assert len(parts) == 1 and json.loads((tmp_path / "report" / parts[0]).read_text()) == {"id": 0, "status": "ok"}
     read = log_source.read_event_log(spark, events).collect()
-    assert len(read) == 2 and json.loads(read[0]["details"]) == {"rows": "3"} and not read[0]["malformed"]
+    assert len(read) == 2 and json.loads(read[0]["details"]) == {"rows": 3} and not read[0]["malformed"]
     line = log_source.read_pipeline_log(spark, log).first()
     assert (line["component"], line["message"]) == ("spark_job", "done | really")
 
@@ -91,8 +109,6 @@ def test_event_statistics(spark, tmp_path):
     events = log_source.read_event_log(spark, write(tmp_path / "e.jsonl", text))
     got = {r["event_type"]: (r["events"], r["total_events"], r["last_event_at"]) for r in logs.event_stats(events).collect()}
     assert got == {"a": (2, 4, "t2"), "unknown": (1, 4, "t2")}
-    tail = {r["event_type"]: r["total_events"] for r in logs.event_stats(events, tail=1).collect()}
-    assert tail == {"a": 1}
 
 
 def test_tails_of_files(spark, tmp_path):
@@ -145,6 +161,7 @@ def test_messages_decode_what_producers_send(spark):
     values = ['{"src_ip": "a", "port": 22.0, "request_rate": 5}', '{"src_ip": "b", "port": "443", "request_rate": "x"}', "nonsense"]
     got = messages.read_flow_messages(spark.createDataFrame([(v,) for v in values], "value string")).collect()
     assert [(r["src_ip"], r["port"], r["request_rate"]) for r in got] == [("a", 22, 5.0), ("b", 443, None), (None, None, None)]
+    assert [r["_corrupt_record"] for r in got] == [None, None, "nonsense"]
     row = messages.canonicalize_message(spark.createDataFrame([(" ", "9", "7.9")], ["timestamp", "bytes", "dst_port"])).first()
     assert (row["timestamp"], row["packet_size"], row["port"], row["bytes_transferred"]) == ("1970-01-01T00:00:00Z", 9.0, 7, 0.0)
 
