@@ -62,8 +62,10 @@ def fit_models(vectors: DataFrame, settings: Settings) -> tuple[Forest, Boosted]
     return fit_forest(training, RULE_LABEL, settings), fit_boosted(training, RULE_LABEL, settings)
 
 
-def detect_threats(features: DataFrame, settings: Settings = PRESETS["detection"]) -> DataFrame:
-    """Predictions for every row of a feature table.
+def detect_threats(
+    features: DataFrame, settings: Settings = PRESETS["detection"], models: tuple[Forest, Boosted] | None = None
+) -> DataFrame:
+    """Predictions for every row of a feature table, with ``models`` or ones fitted on it.
 
     The labelled table is staged once; fitting, scoring and outlier detection all read that copy.
     """
@@ -71,7 +73,7 @@ def detect_threats(features: DataFrame, settings: Settings = PRESETS["detection"
     if labeled.isEmpty():
         raise ValueError("no feature rows to detect threats in")
     vectors = assemble(labeled)
-    forest, boosted = fit_models(vectors, settings)
+    forest, boosted = fit_models(vectors, settings) if models is None else models
     scored = score_threats(vectors, forest, boosted).drop(VECTOR)
     judged = outlier_scores(scored, MODEL_FEATURES, FLOW_KEY, settings)
     return judged.withColumn("risk_level", risk_band("threat_score")).select(*PREDICTION_COLUMNS, *FLOW_EXTRAS)
