@@ -8,6 +8,7 @@ from ..models.detect import detect_threats
 from ..models.settings import PRESETS, Settings
 from ..operators.intel import agent_decisions, alerts, attacks, defense_actions, threat_intelligence, timeline, with_time
 from ..sources.files import read_table
+from ..sources.scratch import Workspace
 from ..sources.sinks import write_actions_csv, write_features, write_report
 
 PREDICTION_SCHEMA = (
@@ -19,7 +20,8 @@ PREDICTION_SCHEMA = (
 
 def run_detection(spark: SparkSession, features: str, predictions: str, settings: Settings = PRESETS["detection"]) -> str:
     """Write the prediction table of a stored feature table."""
-    write_features(detect_threats(spark.read.parquet(features), settings), predictions)
+    with Workspace(spark, "detection"):
+        write_features(detect_threats(spark.read.parquet(features), settings), predictions)
     return predictions
 
 

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folder of the innermost open Workspace.
+_OPEN: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's work tables, below ``spark.checkpoint.dir``.
 
@@ -28,8 +33,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A path nobody has used yet, below the open Workspace where there is one."""
+    return f"{_OPEN.get() or scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -41,7 +46,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 class Workspace:
-    """Staged tables of one job, removed together when the job has written its outputs."""
+    """All work tables of one job, also those its operators stage, removed together when its outputs are written."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path, self._count = spark, scratch_path(spark, label), 0
@@ -53,9 +58,11 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Workspace:
+        self._outer = _OPEN.set(self.path)
         return self
 
     def __exit__(self, *_: object) -> None:
+        _OPEN.reset(self._outer)
         fs, target = hadoop_path(self.spark, self.path)
         fs.delete(target, True)
 

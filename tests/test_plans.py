@@ -44,7 +44,9 @@ def test_batch_job(spark, sf_dir, outputs):
     assert {r["src_ip"]: r["unique_ports_accessed"] for r in table.collect()} == {r["src_ip"]: r["unique_ports_accessed"] for r in direct.collect()}
     assert spark.read.parquet(out.quarantine).first()["_corrupt_record"] == "2024-01-01,only,three"
     assert spark.read.parquet(out.audit).first()["audit_status"] == "success"
-    assert spark.read.text(out.log).count() == 1 and spark.read.text(out.events).count() == 1
+    assert spark.read.json(out.audit_report).first()["audit_status"] == "success"
+    kinds = {r["event_type"] for r in spark.read.json(out.events).collect()}
+    assert spark.read.text(out.log).count() == 1 and kinds == {"batch_report", "batch_security_pipeline_completed"}
 
 
 def test_detection_to_defence(spark, folder, outputs):

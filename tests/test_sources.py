@@ -172,3 +172,11 @@ def test_scratch_follows_the_session(spark):
     assert base is None or root.startswith(base)
     staged = scratch.staged(spark.range(3), "x")
     assert staged.count() == 3 and scratch.path_exists(spark, root)
+
+
+def test_a_workspace_takes_what_operators_stage_and_leaves_nothing(spark):
+    with scratch.Workspace(spark, "job") as work:
+        inner = scratch.staged(spark.range(2), "y")
+        assert inner.inputFiles()[0].split("://")[-1].find(work.path.split("://")[-1].lstrip("/")) >= 0 and inner.count() == 2
+    assert not scratch.path_exists(spark, work.path)
+    assert work.path not in scratch.scratch_path(spark, "z")
