@@ -177,7 +177,7 @@ def labelled_samples(labelled: DataFrame, chars: int = CHARS) -> tuple[tuple[str
     """(lang, text) pairs: hash-chosen lines of rows (text, lang), about ``chars`` characters for each language."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     lines = rows.select("lang", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"\p{L}"))
-    totals = lines.groupBy("lang").agg(F.sum(F.length("line") + 1).alias("total"))
+    totals = staged(lines.groupBy("lang").agg(F.sum(F.length("line") + 1).alias("total")), "language-totals")
     langs = totals.count()
     if not langs:
         return ()
