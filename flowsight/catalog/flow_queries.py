@@ -8,7 +8,7 @@ from ..functions import rules as R
 from ..functions import scores as S
 from ..functions.parsing import safe_int, to_float, to_int
 from ..operators import clean, features as ft
-from ..plans.batch import build_features
+from ..plans.batch import build_features, canonical_flows
 from ..schema import FLOW_COLUMNS, STREAM_ALIASES, STREAM_COLUMNS, canonicalize
 from ..sources import files, messages, scratch, sinks
 from ..streaming.flows import high_spike
@@ -424,6 +424,28 @@ _LINE = (
 )
 
 
+def _broken_csv(spark, sf_dir):
+    """The parse of a file in which some lines are short and some long."""
+    path = scratch.scratch_path(spark, "broken-csv")
+    lines = fx.raw_flows(spark, sf_dir).select(F.expr(_LINE).alias("timestamp,dst_ip,port"))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return scratch.staged(files.read_flows_csv(spark, path), "parsed-csv")
+
+
+@register(
+    "quality_report_corrupt",
+    fx.with_fixtures(
+        """SELECT h.n AS rows_processed, t.n - h.n AS duplicates_removed, t.n AS null_rows, t.bad AS corrupted_rows_quarantined
+FROM (SELECT count(*) AS n FROM (SELECT DISTINCT timestamp, dst_ip, port FROM fx_raw WHERE event_id % 59 <> 0 AND event_id % 61 <> 0) d) h,
+  (SELECT count(CASE WHEN event_id % 59 <> 0 AND event_id % 61 <> 0 THEN 1 END) AS n,
+    count(CASE WHEN event_id % 59 = 0 OR event_id % 61 = 0 THEN 1 END) AS bad FROM fx_raw) t"""
+    ),
+)
+def quality_report_corrupt(spark, sf_dir):
+    """Every good row lacks the columns that the file doesn't have, so each has a null."""
+    return clean.quality_report(canonical_flows(_broken_csv(spark, sf_dir)))
+
+
 @register(
     "split_corrupt",
     fx.with_fixtures(
@@ -431,10 +453,7 @@ _LINE = (
     ),
 )
 def split_corrupt(spark, sf_dir):
-    path = scratch.scratch_path(spark, "broken-csv")
-    lines = fx.raw_flows(spark, sf_dir).select(F.expr(_LINE).alias("timestamp,dst_ip,port"))
-    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
-    good, bad = clean.split_corrupt(scratch.staged(files.read_flows_csv(spark, path), "parsed-csv"))
+    good, bad = clean.split_corrupt(_broken_csv(spark, sf_dir))
     return good.select(F.concat_ws(",", "timestamp", "dst_ip", "port").alias("line"), F.lit(0).alias("corrupt")).unionAll(
         bad.select("_corrupt_record", F.lit(1))
     )
