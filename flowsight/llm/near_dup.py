@@ -3,17 +3,19 @@
 A document's set holds its distinct word shingles as 64-bit hashes; its sketch is the ``k`` smallest of them. Documents
 with equal sets form a class that its smallest id represents; only representatives are compared.
 
-Candidates come from inverted lists of retained values. Two documents with Jaccard similarity ``t`` share about
-``t * k`` of the ``k`` smallest values of their union; a pair that shares fewer than ``least_shared(k)`` is no candidate
-(a miss has a chance below 1e-7 for a link at the threshold, and none for sets of at most ``k`` shingles). So each
-document enters only the lists of its rarest values, as many as such a pair cannot avoid: passages that many
-documents have in common are its most frequent values and stay out unless they are most of the document. Pairs from
-the lists are filtered by size and by the estimate from the union's sketch; what is left is confirmed on the full sets.
+Candidates come from inverted lists of retained values. Of a set of ``n`` shingles the first ``n - ceil(0.75 n) + 1`` in the
+order of the hash are retained, which no link can avoid: two sets that share enough have a common value among them, at
+places that their sizes bound (``_placed``). One order for all documents is enough for that, so the most
+frequent shingles, counted in a sample of the documents, come last in it: passages that many documents have in common are
+only retained where they are most of a document. Pairs from the lists are filtered by size and by the estimate from
+the union's sketch (a link at the threshold fails it with a chance below 1e-7, and none does whose sets have at most
+``k`` shingles); what is left is confirmed on the full sets.
 
 Pairs within a list are not all formed. In each of ``rounds`` rounds every list compares its members with one
-pivot, and confirmed links merge components; a last round forms the pairs of members that are still in different
-components, so a group of any number of copies costs a few comparisons a member and no link between components is
-left untested. Components are found by alternating large-star and small-star steps on written tables.
+pivot, first the member whose values have the longest lists, and confirmed links merge components; a last round forms
+the pairs of members that are still in different components, so a group of any number of copies costs a few
+comparisons a member and no link between components is left untested. Components are found by alternating
+large-star and small-star steps on written tables.
 
 Texts are lower-cased in A-Z. With fewer words than a shingle the whole word sequence is the one shingle. Null or
 wordless texts have an empty set and are linked with nothing. Rows that share an id and a text give equal rows.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
@@ -35,8 +37,11 @@ from .common import FOLD, byte_texts, map_arrow, words
 SHINGLE = 5
 K = 64
 PERCENT = 75
-ROUNDS = 3
+ROUNDS = 2
 CACHED_WORDS = 300_000
+FREQUENT = 200_000  # values that the order puts last, at most
+SAMPLED = 16  # frequencies are counted in one of so many documents
+LEAST_SAMPLED = 4  # and such a value is in so many of them at least
 
 
 class WordHashes(dict):
@@ -80,21 +85,59 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, set_digest (of the whole set) and sketch (its k smallest values)."""
+def frequent_values(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """The most frequent shingles of a hash-chosen sample of the documents, by rising frequency; at most FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, bottom = [], [], []
+            for text in byte_texts(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle), pa.int64())], ["value"])
+
+    sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SAMPLED)) == 0)
+    counts = map_arrow(sample, run, "value long").groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SAMPLED)
+    top = counts.orderBy(F.desc("n"), "value").limit(FREQUENT).collect()
+    return np.array([r.value for r in reversed(top)], np.int64)
+
+
+def retained(values: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first values of a sorted set that a link cannot avoid, and how many of them are not ``frequent``.
+
+    The frequent values (sorted) come last, by ``place``.
+    """
+    take = len(values) - -(-PERCENT * len(values) // 100) + 1
+    at = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
+    late = frequent[at] == values if len(frequent) else np.zeros(len(values), bool)
+    first = values[~late][:take]
+    if len(first) < take:
+        last = values[late][np.argsort(place[at[late]])][: take - len(first)]
+        return np.concatenate([first, last]), len(first)
+    return first.copy(), take
+
+
+def sketches(docs: DataFrame, frequent: np.ndarray, shingle: int = SHINGLE, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, set_digest (of the whole set), sketch (its k smallest values), the retained values and how many
+    of them come ``first``, before the frequent ones."""
+    order = np.argsort(frequent)
+    by_value, place = frequent[order], order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, bottom, kept, firsts = [], [], [], [], []
             for text in byte_texts(batch.column("text")):
                 values = shingle_set(text, shingle)
                 sizes.append(len(values))
                 digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 bottom.append(values[:k].copy())
-            arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _longs(bottom)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_digest", "sketch"])
+                mine, first = retained(values, by_value, place) if len(values) else (values, 0)
+                kept.append(mine)
+                firsts.append(first)
+            arrays = [
+                batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _longs(bottom), _longs(kept),
+                pa.array(firsts, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_digest", "sketch", "retained", "first"])
 
-    return map_arrow(_texts(docs), run, "doc_id long, n_shingles long, set_digest binary, sketch array<long>")
+    return map_arrow(_texts(docs), run, "doc_id long, n_shingles long, set_digest binary, sketch array<long>, retained array<long>, first int")
 
 
 def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -114,20 +157,28 @@ def least_shared(size: Column) -> Column:
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(value, node, n): each representative in the lists of its rarest shared values, as many as a link cannot avoid."""
-    entries = reps.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    shared = staged(entries.groupBy("value").agg(F.count("*").alias("members")).where("members > 1"), "shared-values")
-    found = entries.join(shared, "value").groupBy("node", "n", "size")
-    ranked = found.agg(F.array_sort(F.collect_list(F.struct("members", "value"))).alias("rarest"))
-    # Values nobody shares come first in the order; they take places of the prefix but have no list.
-    alone = F.col("size") - F.size("rarest")
-    take = F.col("size") - least_shared(F.col("size")) + 1 - alone
-    return ranked.where(take > 0).select(F.explode(F.slice("rarest", F.lit(1), take)).alias("e"), "node", "n").select("e.value", "node", "n")
-
-
-def _fits(a: Column, b: Column) -> Column:
-    """The smaller set is large enough for a link."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+    """(value, node, n, place, weight): the retained values that others retain too, with their place among them.
+
+    The members of a list are counted where its rows meet, except for the frequent values, whose lists are long: those are
+    counted by an aggregate first. ``weight`` is the mean size of a node's lists: the centre of a group of edited
+    copies has the largest.
+    """
+    entries = reps.select("node", "n", "first", F.posexplode("retained").alias("place", "value"))
+    entries = entries.withColumn("frequent", F.col("place") >= F.col("first")).drop("first")
+    rare = entries.where(~F.col("frequent")).withColumn("members", F.count("*").over(Window.partitionBy("value")))
+    often = entries.where("frequent")
+    counts = staged(often.groupBy("value").agg(F.count("*").alias("members")), "frequent-values")
+    lists = rare.unionByName(often.join(counts, "value")).where("members > 1").drop("frequent")
+    lists = staged(lists, "lists")
+    weights = staged(lists.groupBy("node").agg(F.avg("members").alias("weight")), "weights")
+    return staged(lists.drop("members").join(weights, "node"), "weighted-lists")
+
+
+def _placed(a: str, b: str) -> Column:
+    """A value two linked sets have in common lies within these places of both, counted from 0; the sizes fit too."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    overlap = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
+    return (F.col(f"place{a}") <= na - overlap) & (F.col(f"place{b}") <= nb - overlap)
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -143,8 +194,11 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return kept.select("a", "b", (F.col("common") / F.size("union")).alias("estimate"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets meet the threshold."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs whose full sets meet the threshold; sets are made of the documents in a pair only."""
+    pairs = staged(pairs.select("a", "b").distinct(), "candidates")
+    wanted = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    sets = staged(full_sets(_texts(docs).join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "sets")
     both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -168,59 +222,58 @@ def components(edges: DataFrame) -> DataFrame:
         stars = staged(moved.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "small-star")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("comp", F.col("node"))
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _pivot_pairs(lists: DataFrame, seed: int) -> DataFrame:
     """(a, b): the pivot of a list with each member of another component."""
-    order = F.xxhash64("node", F.lit(seed)) if seed else F.col("node")
+    order = F.struct(F.xxhash64("node", F.lit(seed))) if seed else F.struct(-F.col("weight"), "node")
     pivots = lists.groupBy("value").agg(
-        F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), order).alias("p"),
-        F.min("comp").alias("least"), F.max("comp").alias("most"),
-    )
-    pivots = staged(pivots.where("least < most").select("value", "p.*"), "pivots")
-    pairs = lists.join(pivots, "value").where((F.col("comp") != F.col("ac")) & _fits(F.col("n"), F.col("an")))
-    return pairs.select("a", F.col("node").alias("b")).distinct()
+        F.min_by(F.struct("node", "n", "place", "comp"), order).alias("p"), F.min("comp").alias("least"), F.max("comp").alias("most")
+    )
+    pivots = pivots.where("least < most").select("value", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("node", "n", "place", "comp")))
+    pairs = lists.join(staged(pivots, "pivots"), "value").where((F.col("comp") != F.col("comp2")) & _placed("", "2"))
+    return pairs.select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _best(likely: DataFrame) -> DataFrame:
+    """For each member the pivot that it most likely links to."""
+    return likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
 
 
 def _rest_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): members of a list in different components; lists within one component form none."""
     mixed = lists.groupBy("value").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
     open_ = staged(lists.join(staged(mixed.select("value"), "mixed"), "value"), "open-lists")
-    other = open_.select("value", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")))
-    pairs = open_.join(other, "value").where((F.col("comp") < F.col("comp2")) & _fits(F.col("n"), F.col("n2")))
+    other = open_.select("value", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "comp")))
+    pairs = open_.join(other, "value").where((F.col("comp") < F.col("comp2")) & _placed("", "2"))
     return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for every row of ``docs``."""
-    sketched = staged(sketches(docs, shingle, k), "sketches")
+    sketched = staged(sketches(docs, frequent_values(docs, shingle), shingle, k), "sketches")
     filled = sketched.where("n_shingles > 0")
-    classes = staged(filled.groupBy("set_digest", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    reps = filled.join(classes.select("set_digest", F.col("n_shingles").alias("n"), "node"), "set_digest").where(
-        (F.col("doc_id") == F.col("node")) & (F.col("n_shingles") == F.col("n"))
-    )
-    reps = staged(reps.select("node", "n", "sketch").dropDuplicates(["node"]), "representatives")
-    lists = staged(inverted_lists(reps), "lists")
-    listed = lists.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(full_sets(_texts(docs).join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
+    ids = filled.select("doc_id", "set_digest", "n_shingles")
+    classes = staged(ids.groupBy("set_digest", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
+    # Copies are few, or as many as they are: Spark sees the size of this table and broadcasts it or not.
+    copies = staged(ids.join(classes, ["set_digest", "n_shingles"]).where("doc_id > node").select("doc_id").distinct(), "copies")
+    reps = filled.join(copies, "doc_id", "left_anti").withColumnsRenamed({"doc_id": "node", "n_shingles": "n"})
+    lists = inverted_lists(reps.select("node", "n", "retained", "first"))
+    sketch = reps.select("node", "sketch")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for seed in range(rounds + 1):
-        now = staged(_labelled(lists, labels), "labelled") if labels is not None else _labelled(lists, None)
+        now = lists.withColumn("comp", F.col("node")) if labels is None else staged(_labelled(lists, labels), "labelled")
         if seed < rounds:
-            likely = _estimated(_pivot_pairs(now, seed), reps, k)
-            best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-            new = staged(_confirmed(best, sets), "links")
+            new = _confirmed(_best(_estimated(_pivot_pairs(now, seed), sketch, k)), docs, shingle)
         else:
-            new = staged(_confirmed(_estimated(_rest_pairs(now), reps, k), sets), "links")
+            new = _confirmed(_estimated(_rest_pairs(now), sketch, k), docs, shingle)
+        new = staged(new, "links")
         links = new if links is None else links.union(new)
         labels = components(links)
-    joined = sketched.join(classes.select("set_digest", F.col("n_shingles").alias("n"), "node"), "set_digest", "left")
-    joined = joined.where("n_shingles = 0 OR n_shingles = n").join(labels, "node", "left")
+    joined = sketched.select("doc_id", "n_shingles", "set_digest").join(classes, ["set_digest", "n_shingles"], "left").join(labels, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "node"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
