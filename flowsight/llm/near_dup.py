@@ -12,7 +12,7 @@ the union's sketch (a link at the threshold fails it with a chance below 1e-7, a
 ``k`` shingles); what is left is confirmed on the full sets.
 
 Pairs within a list are not all formed. In each of ``rounds`` rounds every list compares its members with one
-pivot, first the member whose values have the longest lists, and confirmed links merge components; a last round forms
+pivot, first the member that is in the most lists, and confirmed links merge components; a last round forms
 the pairs of members that are still in different components, so a group of any number of copies costs a few
 comparisons a member and no link between components is left untested. Components are found by alternating
 large-star and small-star steps on written tables.
@@ -160,8 +160,8 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     """(value, node, n, place, weight): the retained values that others retain too, with their place among them.
 
     The members of a list are counted where its rows meet, except for the frequent values, whose lists are long: those are
-    counted by an aggregate first. ``weight`` is the mean size of a node's lists: the centre of a group of edited
-    copies has the largest.
+    counted by an aggregate first. ``weight`` is the number of a node's lists: the centre of a group of edited copies,
+    which has the fewest values of its own, has the most.
     """
     entries = reps.select("node", "n", "first", F.posexplode("retained").alias("place", "value"))
     entries = entries.withColumn("frequent", F.col("place") >= F.col("first")).drop("first")
@@ -170,7 +170,7 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     counts = staged(often.groupBy("value").agg(F.count("*").alias("members")), "frequent-values")
     lists = rare.unionByName(often.join(counts, "value")).where("members > 1").drop("frequent")
     lists = staged(lists, "lists")
-    weights = staged(lists.groupBy("node").agg(F.avg("members").alias("weight")), "weights")
+    weights = staged(lists.groupBy("node").agg(F.count("*").alias("weight")), "weights")
     return staged(lists.drop("members").join(weights, "node"), "weighted-lists")
 
 
