@@ -43,6 +43,7 @@ STEPS = 3  # concentration steps over all rows
 LEAST_ROWS = 200
 CUTOFF = 60.0  # squared distance; 5e-10 of a chi-square with 8 degrees of freedom lies beyond
 BUCKETS = 128  # distance buckets per doubling
+SALTS, SALT_ROWS = 8, 250_000  # a group is spread over so many tasks, and one more for so many rows
 
 _COUNTS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
@@ -208,11 +209,11 @@ def _next(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["key", "centre", "inverse"])
 
 
-def _with_distance(rows: DataFrame, fits: DataFrame) -> DataFrame:
+def _with_distance(rows: DataFrame, fits: DataFrame, by: tuple[str, ...] = ("key",)) -> DataFrame:
     p = len(STATS)
     y = [F.col("x")[i] - F.col("centre")[i] for i in range(p)]
     lines = [reduce(lambda a, b: a + b, [F.col("inverse")[i * p + j] * F.col(f"_y{j}") for j in range(p)]) * F.col(f"_y{i}") for i in range(p)]
-    joined = rows.join(fits, "key").withColumns({f"_y{i}": c for i, c in enumerate(y)})
+    joined = rows.join(fits, list(by)).withColumns({f"_y{i}": c for i, c in enumerate(y)})
     return joined.withColumn("d2", F.greatest(reduce(lambda a, b: a + b, lines), F.lit(0.0))).drop(*(f"_y{i}" for i in range(p)))
 
 
@@ -252,25 +253,31 @@ def _levels(vectors: DataFrame, least_rows: int) -> DataFrame:
 
 def estimate(rows: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
     """(key, centre, inverse, scale): the MCD estimate of every key over all of its rows."""
-    chance = rows.groupBy("key").agg(F.count("*").alias("total"))
-    picked = (
-        rows.join(chance, "key")
-        .where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < F.col("total") ** -1.0 * float(sample) * (1 << 30))
-        .select("key", "x")
-    )
+    sizes = rows.groupBy("key").agg(F.count("*").alias("total"))
+    sizes = staged(sizes.withColumn("salts", (SALTS + F.floor(F.col("total") / SALT_ROWS)).cast("int")), "group-sizes")
+    salt = F.pmod(F.xxhash64("doc_id", "x", F.lit(1)), F.col("salts")).cast("int")
+    rows = staged(rows.join(sizes, "key").withColumn("salt", salt).drop("salts"), "group-rows")
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < float(sample) / F.col("total") * (1 << 30)).select("key", "x")
     ship(rows.sparkSession)
     fits = staged(picked.groupBy("key").applyInPandas(_start, _FIT), "mcd-start")
     p = len(STATS)
     products = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i, p)]
+
+    def near() -> DataFrame:
+        """Rows with the bucket of their distance; a group's rows are spread by salt, so sums are formed in many tasks."""
+        spread = fits.join(sizes.select("key", "salts"), "key").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+        return staged(_with_distance(rows, spread, ("key", "salt")).select("key", "x", "salt", _bucket().alias("bucket")), "distances")
+
     for step in range(steps):
-        near = _with_distance(rows, fits).withColumn("bucket", _bucket())
-        core = near.join(_cut(near, SHARE), "key").where(F.col("bucket") <= F.col("cut"))
+        found = near()
+        cuts = _cut(found, SHARE).join(sizes.select("key", "salts"), "key")
+        cuts = cuts.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+        core = found.join(cuts, ["key", "salt"]).where(F.col("bucket") <= F.col("cut"))
         sums = core.groupBy("key").agg(
             F.count("*").alias("n"), F.array(*(F.sum(F.col("x")[i]) for i in range(p))).alias("sums"), F.array(*products).alias("products")
         )
         fits = staged(sums.mapInPandas(_next, _FIT), f"mcd-{step}")
-    near = _with_distance(rows, fits).withColumn("bucket", _bucket())
-    middle = _cut(near, 0.5).select("key", (F.pow(F.lit(2.0), F.col("cut") / BUCKETS) / chi_square_median(p)).alias("scale"))
+    middle = _cut(near(), 0.5).select("key", (F.pow(F.lit(2.0), F.col("cut") / BUCKETS) / chi_square_median(p)).alias("scale"))
     return staged(fits.join(middle, "key").withColumn("scale", F.greatest("scale", F.lit(1.0))), "mcd")
 
 
