@@ -8,7 +8,8 @@ logistic function of the expected number of toxic tokens and the largest margina
 offending offsets are the runs of tokens with a marginal of at least ``SPAN_AT``.
 
 It learns from a hash-chosen sample of at most about ``TOXIC`` toxic and ``CLEAN`` clean documents; their ids are few
-enough to be sent to every task, so the texts of the others are not moved. Fitting runs in one task over that sample.
+enough to be sent to every task, so the texts of the others are not moved. Fitting runs in one task over about ``FIT_DOCS``
+documents of that sample.
 
 Null and empty texts have no token and get the score of a document with nothing toxic in it. Words are kept whole
 however long. Without a label of either kind every score is the share of toxic labels, 0 without any. A document labelled
@@ -33,8 +34,10 @@ TOXIC, CLEAN = 6_000, 12_000
 BITS = 18
 LIFT, LEAST = 12.0, 3
 STEPS, RATE, PENALTY = 60, 0.5, 1e-4
+CHAIN = 200  # tokens of the chains that a training text is cut into
 SPAN_AT = 0.5
-POOL_BYTES = 16 << 20
+FIT_DOCS = 3_000  # of the sample, in expectation, that the field is fitted on; all of it gives the token labels
+POOL_BYTES = 6 << 20
 CACHED_WORDS = 400_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -70,9 +73,9 @@ class Chains:
         self.place = np.zeros(len(lane), np.int64)  # of every token of the texts in their own order
         self.place[np.repeat(starts[self.order], sorted_) + time] = self.at[time] + lane
 
-    def marginals(self, odds: np.ndarray, step: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
-        """(marginal of label 1 of every packed token, expected transitions) for exp potentials: ``odds`` of the tokens,
-        ``step[i, j]`` from label i to j, ``first`` of label 1 at the start."""
+    def marginals(self, odds: np.ndarray, step: np.ndarray, first: float, transitions: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(marginal of label 1 of every packed token, expected transitions if wanted) for exp potentials: ``odds`` of the
+        tokens, ``step[i, j]`` from label i to j, ``first`` of label 1 at the start."""
         forward, back = np.zeros(len(odds)), np.ones(len(odds))
         for t, n in enumerate(self.live):
             now = slice(self.at[t], self.at[t] + n)
@@ -90,7 +93,7 @@ class Chains:
         joint = forward * back
         marginal = joint / (joint + 1 - forward)
         pairs = np.zeros((2, 2))
-        for t in range(1, len(self.live)):
+        for t in range(1, len(self.live) if transitions else 0):
             n = self.live[t]
             p = forward[self.at[t - 1] : self.at[t - 1] + n]
             r = odds[self.at[t] : self.at[t] + n] * back[self.at[t] : self.at[t] + n]
@@ -132,7 +135,7 @@ class Field:
         chains = Chains(sizes)
         packed = np.empty(len(flat))
         packed[chains.place] = flat
-        marginal = chains.marginals(packed, self.step, self.first)[0][chains.place]
+        marginal = chains.marginals(packed, self.step, self.first, transitions=False)[0][chains.place]
         each = np.split(marginal, np.cumsum(sizes)[:-1])
         return each, np.array([(np.log1p(m.sum()), m.max()) if len(m) else (0.0, 0.0) for m in each])
 
@@ -157,7 +160,8 @@ def fit_field(texts: list[list[bytes]], toxic: np.ndarray, lexicon: set[str], pr
     bad = np.array([known[w][1] for w in listed], bool)
     flat = np.fromiter((index[w] for t in texts for w in t), np.int64, int(sizes.sum()))
     label = bad[flat] & np.repeat(toxic, sizes)
-    chains = Chains(sizes)
+    # Chains of bounded length, so that a few long texts don't set the number of time steps.
+    chains = Chains(np.array([min(CHAIN, n - at) for n in sizes.tolist() for at in range(0, n, CHAIN)], np.int64))
     packed_words, packed_label = np.empty_like(flat), np.empty(len(flat))
     packed_words[chains.place], packed_label[chains.place] = flat, label
     seen = np.zeros((2, 2))
@@ -232,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
         field = fit_field(texts, np.array(marks, bool), lexicon, prior)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], ["field"])
 
-    part = sample.where(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(3)) == 0) if totals[1] >= 900 else sample
+    chance = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_003))
+    part = staged(sample.where(chance < 1_000_003 * FIT_DOCS / sum(totals.values())), "toxic-fit")
     return pickle.loads(map_arrow(part.coalesce(1), fit, "field binary").first().field)
 
 
