@@ -7,8 +7,10 @@ the last class words have their add-half unigram probability from the full count
 over the same V + 1 words as the base score, and what it learns from grows with the corpus.
 
 The unit is trained in numpy by backpropagation truncated at ``UNROLL`` tokens, with the state carried from one window
-to the next within a document. Each training task takes its part of a hash-chosen share of the training documents,
-starts from the common weights and returns its own; Spark averages them block by block, for ``ROUNDS`` rounds.
+to the next within a document. Every token of every training document is trained on once in each of ``ROUNDS`` rounds. The
+documents are dealt to tasks and into ``PARTS`` parts; for each part every task starts from the common weights, streams its
+documents of that part and returns its own weights, which Spark averages block by block. A step counts by the share of
+its window that is filled, so that the last stream to end doesn't outweigh the others.
 Output biases start at the unigram logarithms. Scoring runs over whole documents, many side by side, one token a step.
 
 A task knows the ``KNOWN`` most frequent words (a proven bound); occurrences of rarer words are joined with the table of counts,
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -39,11 +41,11 @@ CLASSES = 45
 HIDDEN = 24
 KNOWN = 200_000
 UNROLL = 16
-STREAMS = 64
-ROUNDS = 2
-TRAIN_SHARE = 1 / 32
-LEAST_TOKENS = 400_000  # a smaller corpus is trained on whole, or on a larger share
-TASK_TOKENS = 250_000
+STREAMS = 128
+LEAST_STEPS = 100  # a small corpus is trained on in fewer streams, so that a pass has about so many steps
+ROUNDS = 1
+PARTS = 2
+TASK_TOKENS = 2_000_000
 RATE = 0.01
 POOL_BYTES = 16 << 20
 _FLUSH = 300_000
@@ -188,11 +190,13 @@ def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np
 
 
 class Trainer:
-    """Adam steps over windows of UNROLL tokens of STREAMS texts side by side."""
+    """Adam steps over windows of UNROLL tokens of ``streams`` texts side by side."""
 
-    def __init__(self, weights: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float = RATE):
+    def __init__(self, weights: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float = RATE, streams: int = STREAMS):
+        self.streams = streams
         self.w = {k: v.copy() for k, v in weights.items()}
         self.vocabulary, self.rate, self.t = vocabulary, rate, 0
+        self.fill = 1.0  # share of a full window that the present step rests on
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
 
@@ -226,20 +230,21 @@ class Trainer:
             back[rows] += d @ w["O"][part]
         back = back.reshape(len(x), -1, h)
         carried = np.zeros_like(state)
+        dxs, dis = np.empty((2, *x.shape, 3 * h), flat.dtype)
         for t in reversed(range(len(x))):
             before, update, reset, new, inner = tape[t]
             dh = back[t] + carried
             dn = dh * (1 - update) * (1 - new * new)
             du = dh * (before - new) * update * (1 - update)
             dr = dn * inner * reset * (1 - reset)
-            dx = np.concatenate([du, dr, dn], 1)
-            di = np.concatenate([du, dr, dn * reset], 1)
-            g["U"] += before.T @ di
-            g["b"] += dx.sum(0)
-            seen = x[t] >= 0
-            g["W"] += w["E"][x[t][seen]].T @ dx[seen]
-            np.add.at(g["E"], x[t][seen], dx[seen] @ w["W"].T)
-            carried = dh * update + di @ w["U"].T
+            np.concatenate([du, dr, dn], 1, out=dxs[t])
+            np.concatenate([du, dr, dn * reset], 1, out=dis[t])
+            carried = dh * update + dis[t] @ w["U"].T
+        dx, given = dxs.reshape(-1, 3 * h), x.ravel()
+        g["U"], g["b"] = np.concatenate([b for b, *_ in tape]).T @ dis.reshape(-1, 3 * h), dx.sum(0)
+        dx, given = dx[given >= 0], given[given >= 0]
+        g["W"] = w["E"][given].T @ dx
+        np.add.at(g["E"], given, dx @ w["W"].T)
         self.apply(g)
         return state
 
@@ -251,23 +256,23 @@ class Trainer:
             x = x * scale
             self.m[k] += np.float32(0.1) * (x - self.m[k])
             self.v[k] += np.float32(0.005) * (x * x - self.v[k])
-            rate = self.rate * math.sqrt(1 - 0.995**self.t) / (1 - 0.9**self.t)
+            rate = self.rate * self.fill * math.sqrt(1 - 0.995**self.t) / (1 - 0.9**self.t)
             self.w[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
 
-    def texts(self, texts: list[np.ndarray]) -> None:
+    def texts(self, texts: Iterable[np.ndarray]) -> None:
         """Truncated backpropagation over whole texts; a stream that ends takes up the next text with a fresh state."""
-        waiting = list(reversed([t for t in texts if len(t)]))
+        waiting = (t for t in texts if len(t))
         h = self.w["U"].shape[0]
-        state = np.zeros((STREAMS, h), np.float32)
-        now: list[np.ndarray | None] = [None] * STREAMS
-        at = [0] * STREAMS
+        state = np.zeros((self.streams, h), np.float32)
+        now: list[np.ndarray | None] = [None] * self.streams
+        at = [0] * self.streams
         while True:
-            x = np.full((UNROLL, STREAMS), -1, np.int64)
-            y = np.zeros((UNROLL, STREAMS), np.int64)
-            live = np.zeros((UNROLL, STREAMS), bool)
-            for s in range(STREAMS):
-                if now[s] is None and waiting:
-                    now[s], at[s] = waiting.pop(), 0
+            x = np.full((UNROLL, self.streams), -1, np.int64)
+            y = np.zeros((UNROLL, self.streams), np.int64)
+            live = np.zeros((UNROLL, self.streams), bool)
+            for s in range(self.streams):
+                if now[s] is None:
+                    now[s], at[s] = next(waiting, None), 0
                     state[s] = 0
                 if now[s] is not None:
                     part = now[s][at[s] : at[s] + UNROLL]
@@ -277,9 +282,11 @@ class Trainer:
                     at[s] += UNROLL
                     if at[s] >= len(now[s]):
                         now[s] = None
-            if not live.any():
+            on = np.flatnonzero(live.any(0))
+            if not len(on):
                 return
-            state = self.window(x, y, live, state)
+            self.fill = live.sum() / live.size
+            state[on] = self.window(x[:, on], y[:, on], live[:, on], state[on])
 
 
 def pack_weights(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -294,33 +301,46 @@ def unpack_weights(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, n
     return out
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, tokens_here: float, rounds: int = ROUNDS, pool_bytes: int = POOL_BYTES) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` rounds: every task trains on its documents, Spark averages the results."""
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, pool_bytes: int = POOL_BYTES) -> dict[str, np.ndarray]:
+    """Weights after ``rounds`` passes over all rows of ``docs``: every task trains on its documents, Spark averages the results."""
     weights = first_weights(vocabulary)
-    tasks = max(1, math.ceil(tokens_here / TASK_TOKENS))
-    parts = staged(docs.select(F.col("text").cast("string").alias("text")).repartition(tasks), "lm-train")
+    tasks = max(1, math.ceil(vocabulary.n / TASK_TOKENS))
+    streams = max(8, min(STREAMS, vocabulary.n // (UNROLL * LEAST_STEPS)))
+    dealt = docs.select(F.col("text").cast("string").alias("text")).repartition(tasks)
+    parts = staged(dealt.withColumn("part", F.monotonically_increasing_id() % PARTS), "lm-train")
 
     def trainer(start: dict[str, np.ndarray], rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine, seen = Trainer(start, vocabulary, rate), 0
-            for pool in pooled(batches, pool_bytes):
-                texts = [vocabulary.encode(tokens(t)) for t in byte_texts(pool.column("text").combine_chunks())]
-                seen += sum(map(len, texts))
-                mine.texts(texts)
+            mine, seen = Trainer(start, vocabulary, rate, streams), 0
+
+            def texts() -> Iterator[np.ndarray]:
+                """All texts of the task, the longest of a pool first, so that few streams end late."""
+                nonlocal seen
+                for pool in pooled(batches, pool_bytes):
+                    coded = [vocabulary.encode(tokens(t)) for t in byte_texts(pool.column("text").combine_chunks())]
+                    seen += sum(map(len, coded))
+                    yield from sorted(coded, key=len, reverse=True)
+
+            mine.texts(texts())
             flat = pack_weights(mine.w)
             blocks = [flat[at : at + _BLOCK] for at in range(0, len(flat), _BLOCK)] if seen else []
-            arrays = [pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([float(seen)] * len(blocks))]
-            yield pa.RecordBatch.from_arrays(arrays, ["block", "weights", "n"])
+            salt = TaskContext.get().partitionId() % salts
+            arrays = [pa.array(range(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([float(seen)] * len(blocks), pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "salt", "weights", "n"])
 
         return run
 
     def mean(group: pd.DataFrame) -> pd.DataFrame:
         each = np.stack([np.frombuffer(b, np.float32) for b in group["weights"]])
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "weights": [np.average(each, 0, group["n"]).astype(np.float32).tobytes()]})
-
-    for k in range(rounds):
-        each = map_arrow(parts, trainer(weights, RATE / (k + 1)), "block int, weights binary, n double")
-        found = each.groupBy("block").applyInPandas(mean, "block int, weights binary").collect()  # the weights once, in blocks
+        flat = np.average(each, 0, group["n"]).astype(np.float32)
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "weights": [flat.tobytes()], "n": [group["n"].sum()]})
+
+    salts = math.isqrt(tasks)  # no group of blocks has more than about that many rows
+    averaged = "block int, weights binary, n double"
+    for k in range(rounds * PARTS):
+        each = map_arrow(parts.where(F.col("part") == k % PARTS).select("text"), trainer(weights, RATE / (1 + k / PARTS)), "block int, salt int, weights binary, n double")
+        some = each.groupBy("block", "salt").applyInPandas(mean, averaged)
+        found = some.groupBy("block").applyInPandas(mean, averaged).collect()  # the weights once, in blocks
         if found:
             flat = np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(found, key=lambda r: r.block)])
             weights = unpack_weights(flat, weights)
@@ -370,9 +390,7 @@ def score_documents(docs: DataFrame, training: DataFrame, known: int = KNOWN, ro
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(known).collect()  # at most `known` words
     vocabulary = Vocabulary([(bytes(r.word), r.c) for r in top], total.n, total.v)
-    share = min(1.0, max(TRAIN_SHARE, LEAST_TOKENS / max(total.n, 1)))
-    chosen = training.where(F.pmod(F.xxhash64(F.col("text").cast("string"), F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
-    weights = train(chosen, vocabulary, share * total.n, rounds, pool_bytes)
+    weights = train(training, vocabulary, rounds, pool_bytes)
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = staged(map_arrow(texts, _scorer(vocabulary, weights, pool_bytes), _SCORED), "lm-scores")

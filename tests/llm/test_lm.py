@@ -87,6 +87,32 @@ def test_state_is_carried_across_windows(small):
     assert np.allclose([lm.score_texts(w, small, [t])[0] for t in texts], whole, rtol=1e-5)
 
 
+def test_every_training_document_is_trained_on(make_docs, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(300, size=2000)) for _ in range(260)] + ["copy of one text"] * 60
+    docs, given = make_docs(list(enumerate(texts))), Counter()
+    map_arrow = lm.map_arrow
+
+    def seen(df, function, schema):
+        if schema.startswith("block int"):  # the input of a round's trainer
+            given.update(r.text for r in df.collect())
+        return map_arrow(df, function, schema)
+
+    monkeypatch.setattr(lm, "map_arrow", seen)
+    assert lm.score_documents(docs, docs).first().train_tokens == 260 * 2001 + 60 * 5
+    assert given == Counter(texts)
+
+
+def test_texts_of_unequal_length_are_trained_on_whole(small):
+    texts = [np.random.default_rng(k).integers(0, small.rare + 1, n).astype(np.int32) for k, n in enumerate((700, 1, 33, 0, *[50] * 90))]
+    trainer, seen = lm.Trainer(lm.first_weights(small, hidden=6), small), []
+    window = trainer.window
+    trainer.window = lambda x, y, live, state: seen.append((int(live.sum()), trainer.fill)) or window(x, y, live, state)
+    trainer.texts(iter(texts))
+    assert sum(n for n, _ in seen) == sum(map(len, texts))
+    assert all(fill == n / (lm.UNROLL * lm.STREAMS) for n, fill in seen)
+
+
 def test_empty_tables(make_docs):
     docs = make_docs([(1, "a")])
     row = lm.score_documents(docs, docs.limit(0)).first()
