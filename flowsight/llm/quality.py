@@ -11,7 +11,8 @@ Rates are drawn towards the corpus rate by ``PRIOR_WORDS`` words, so that short
 not outliers for being short; ``FLOORS`` is the least standard deviation that counts, so that a statistic which most rows
 share exactly doesn't make every other value infinitely far.
 
-Groups with fewer than ``least_rows`` rows use the estimate of their language, then of the whole corpus. A null
+Groups with fewer than ``least_rows`` rows use the estimate of their language, then of the whole corpus; these rest on
+all rows of the language or corpus, those of large groups included. A null
 lang or source is a group value like any other. Null and empty texts have no words and fail the base rules. With
 no row that passes the base rules nothing is estimated. Repeated rows count as often as they occur.
 """
@@ -238,16 +239,17 @@ def _cut(rows: DataFrame, share: float) -> DataFrame:
 
 
 def _levels(vectors: DataFrame, least_rows: int) -> DataFrame:
-    """Give every row the key of the finest level with enough rows: language and source, language, corpus."""
+    """Give every row ``key``, the finest level with enough rows (language and source, language, corpus), and ``keys``, the
+    levels whose estimates rest on it: language and source if large enough, and each coarser level that some small group needs."""
     name = lambda *cols: F.to_json(F.struct(*(F.col(c) for c in cols)), {"ignoreNullFields": "false"})
     keyed = vectors.withColumns({"fine": name("lang", "source"), "mid": name("lang")})
     sizes = keyed.where(~base_failed()).groupBy("mid", "fine").agg(F.count("*").alias("n_fine"))
-    mids = sizes.groupBy("mid").agg(F.sum("n_fine").alias("n_mid"))
-    chosen = (
-        sizes.join(mids, "mid")
-        .withColumn("key", F.when(F.col("n_fine") >= least_rows, F.col("fine")).when(F.col("n_mid") >= least_rows, F.col("mid")).otherwise(""))
-        .select("fine", "key")
-    )
+    mids = sizes.groupBy("mid").agg(F.sum("n_fine").alias("n_mid"), F.min("n_fine").alias("smallest"))
+    whole = mids.agg(F.coalesce(F.max(F.col("n_mid") < least_rows), F.lit(False)).alias("whole"))
+    fine = F.when(F.col("n_fine") >= least_rows, F.col("fine"))
+    mid = F.when(F.col("n_mid") >= least_rows, F.col("mid"))
+    needed = [fine, F.when(F.col("smallest") < least_rows, mid), F.when(F.col("whole"), F.lit(""))]
+    chosen = sizes.join(mids, "mid").crossJoin(whole).select("fine", F.coalesce(fine, mid, F.lit("")).alias("key"), F.array_compact(F.array(*needed)).alias("keys"))
     return keyed.join(chosen, "fine", "left").drop("fine", "mid")
 
 
@@ -290,7 +292,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS,
     """doc_id, the counts, ``base_failed``, ``distance`` (squared, scaled; null if the base rules failed) and ``kept``."""
     counts = staged(count_texts(docs), "text-counts")
     rows = staged(_levels(_vectors(counts), least_rows), "text-vectors")
-    passed = rows.where(~base_failed()).select("doc_id", "key", "x")
+    passed = rows.where(~base_failed()).select("doc_id", F.explode("keys").alias("key"), "x")
     fits = estimate(passed, sample, steps)
     near = _with_distance(rows.where(~base_failed()), fits).withColumn("distance", F.col("d2") / F.col("scale"))
     names = [n for n, _ in _COUNTS]

@@ -47,6 +47,16 @@ def test_outliers_go_and_clean_documents_stay(make_docs):
     assert all(rows[k].base_failed and not rows[k].kept and rows[k].distance is None for k, *_ in short)
 
 
+def test_small_groups_are_judged_by_their_whole_language_or_corpus(make_docs):
+    rng = np.random.default_rng(5)
+    docs = [(k, prose(rng, int(rng.integers(25, 400))), "fr", "hot") for k in range(400)]
+    alone = [(1000, prose(rng, 80), "fr", "a"), (1001, prose(rng, 200), "fr", "b"), (1002, prose(rng, 90), "de", "a")]
+    junk = [(2000 + k, " ".join(f"{w}%%%" for w in prose(rng, 80).split()), lang, source) for k, (lang, source) in enumerate([("fr", "c"), ("de", "c"), (None, None)])]
+    rows = {r.doc_id: r for r in q.judge(make_docs([*docs, *alone, *junk])).collect()}
+    assert all(rows[k].kept for k, *_ in [*docs, *alone])
+    assert not any(rows[k].kept or rows[k].base_failed for k, *_ in junk)
+
+
 def test_estimate_resists_contamination(spark):
     rng = np.random.default_rng(4)
     p = len(q.STATS)
