@@ -6,8 +6,8 @@ number of phrases, times the logarithm of the labelled text's length over the te
 entropy; the language with the least wins. The score is the runner-up's share of the two least entropies, so from
 0.5 (no difference) towards 1.
 
-Labelled text is a hash-chosen sample of lines of about ``CHARS`` characters for each language, less where there are so many
-languages that all automata together would have more than ``STATES`` states; it is all a task is sent, and each
+Labelled text is a hash-chosen sample of ``CHARS`` characters of the distinct lines of each language, all of them if they are
+shorter, and less where there are so many languages that all automata together would have more than ``STATES`` states; it is all a task is sent, and each
 Python worker builds the automata once. All whole texts are parsed, many side by side, one character a step.
 
 Before parsing letters are lower-cased and runs of anything else become one blank. Texts that are null or have no
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
@@ -32,6 +32,7 @@ from .common import map_arrow, pooled
 CHARS = 40_000
 STATES = 400_000
 MOST_LETTERS = 96
+_CANDIDATES = 4
 POOL_BYTES = 24 << 20
 _STEPS = 256
 _LETTER = re.compile(r"[^\W\d_]")
@@ -174,19 +175,25 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def labelled_samples(labelled: DataFrame, chars: int = CHARS) -> tuple[tuple[str, str], ...]:
-    """(lang, text) pairs: hash-chosen lines of rows (text, lang), about ``chars`` characters for each language."""
+    """(lang, text) pairs: hash-chosen distinct lines of rows (text, lang), ``chars`` characters of each language or all it has."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    lines = rows.select("lang", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"\p{L}"))
-    totals = staged(lines.groupBy("lang").agg(F.sum(F.length("line") + 1).alias("total")), "language-totals")
-    langs = totals.count()
+    langs = rows.where(F.col("text").rlike(r"\p{L}")).select("lang").distinct().count()
     if not langs:
         return ()
     each = min(chars, STATES // (2 * langs))
-    chance = F.pmod(F.xxhash64("line", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
+    lines = rows.select("lang", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"\p{L}"))
     # A line longer than a tenth of the sample is taken in pieces, so that no single one fills it.
     piece = max(each // 10, 1)
     pieces = lines.select("lang", F.explode(F.expr(f"transform(sequence(0, (length(line) - 1) div {piece}), i -> substring(line, i * {piece} + 1, {piece}))")).alias("line"))
-    picked = staged(pieces.join(totals, "lang").where(chance * F.col("total") < each).select("lang", "line"), "language-samples")
+    pieces = pieces.withColumns({"hash": F.xxhash64("line", F.lit(3)), "size": F.length("line") + 1})
+    once = pieces.groupBy("lang", "hash").agg(F.max("size").alias("size"))
+    totals = staged(once.groupBy("lang").agg(F.sum("size").alias("total")), "language-totals")
+    # Candidates of several times the size, a bounded number; the first of them by hash fill the sample.
+    chance = F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)
+    some = pieces.join(totals, "lang").where(chance * F.col("total") < _CANDIDATES * each).select("lang", "hash", "size", "line").distinct()
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy(chance, "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = some.withColumn("before", before).where(F.col("before") < each)
+    picked = picked.select("lang", F.col("line").substr(F.lit(1), F.lit(each) - F.col("before").cast("int")).alias("line"))
     found = picked.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("line")), " ").alias("text"))
     return tuple((r.lang, r.text) for r in found.orderBy("lang").collect())
 

@@ -45,6 +45,18 @@ def test_each_text_gets_its_language(make_docs):
     assert all(found[k] == lang for k, _, lang, _ in test)
 
 
+def test_copies_do_not_shrink_the_labelled_sample(make_docs):
+    rng = np.random.default_rng(4)
+    one = prose(rng, "bb", 12).strip()
+    aa = [prose(rng, "aa", 8).strip() for _ in range(300)]
+    docs = [*((k, one, "bb", "s") for k in range(4000)), *((k, aa[0], "aa", "s") for k in range(4000)), *((k, line, "aa", "s") for k, line in enumerate(aa))]
+    found = dict(g.labelled_samples(make_docs(docs), chars=2000))
+    assert found["bb"] == one
+    assert 1990 <= len(found["aa"]) <= 2000
+    few = dict(g.labelled_samples(make_docs(docs), chars=10**6))
+    assert few == {"aa": " ".join(sorted(set(aa))), "bb": one}
+
+
 def test_without_labels_or_rows(make_docs):
     docs = make_docs([(1, "katu", None, "s")])
     assert g.identify(docs, docs).first().lang_pred == "und"
