@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, lm, near_dup, packing, pii, quality, toxicity, urls
+from . import decontaminate, language, lines, lm, near_dup, packing, periods, phrases, pieces, pii, quality, toxicity, urls
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(found).drop("longest", "match_item", "match_at")
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by the checksum of their id, repeat a stretch of their words to the end."""
+    h, n = crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return periods.run_report(periods.find_runs(docs, planted))
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -86,10 +111,14 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_piece_encoding": op12_piece_encoding,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
     "op2_line_dedup": lines.SQL,
     "op4_minhash_near_dup": near_dup.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op13_collocations": phrases.SQL,
 }
