@@ -42,11 +42,11 @@ TOP = 2000
 COVERED = 80  # a candidate goes if a longer one has this many percent of its occurrences
 SCALE = 2_000_000
 
-POOL_BYTES = 4 << 20
-ROUTE_BYTES = 8 << 20
+POOL_BYTES = 2 << 20
+ROUTE_BYTES = 4 << 20
 ROW_WINDOWS = 200_000
-BOUND_SAMPLES = 64  # sampled windows a route
-THIN = 16  # of a sampled document's windows one in so many
+BOUND_SAMPLES = 128  # sampled windows a route
+THIN = 128  # of a sampled document's windows one in so many
 
 MARKS = b".,;:!?\n\v\f\r"
 _TO_LINES = FOLD.translate(bytes.maketrans(MARKS, b"\n" * len(MARKS)))
@@ -114,9 +114,9 @@ def _route(bounds: list[Bound]):
                 counted = Counter(chain.from_iterable(map(document_windows, texts)))
                 ordered = sorted(counted)
                 counts = np.fromiter(map(counted.__getitem__, ordered), np.int32, len(ordered))
-                route, start = bisect_left(bounds, (lang, b"")), 0
+                route = start = 0
                 while start < len(ordered):
-                    route += (bisect_left(bounds, (lang, ordered[start] + b"\0"), route)) - route
+                    route = bisect_left(bounds, (lang, ordered[start] + b"\0"), route)
                     inside = route < len(bounds) and bounds[route][0] == lang
                     stop = bisect_left(ordered, bounds[route][1], start) if inside else len(ordered)
                     for a in range(start, stop, ROW_WINDOWS):
@@ -154,15 +154,15 @@ def frequent_prefixes(columns: list[np.ndarray], counts: np.ndarray, least: int)
 
     Multikey quicksort of pointers into the windows, three-way by one word at a time. Word 0 ends a window.
     """
-    todo = [(np.arange(len(counts)), 0)]
+    todo = [(np.arange(len(counts)), 0)] if counts.sum() >= least else []
     while todo:
         pointers, depth = todo.pop()
-        weights = counts[pointers]
-        if weights.sum() < least:
-            continue
-        words = columns[depth][pointers]
+        words, weights = columns[depth][pointers], counts[pointers]
         size = len(words)
         pivot = sorted((words[0], words[size // 2], words[-1]))[1]
+        for side in (words < pivot, words > pivot):
+            if weights[side].sum() >= least:
+                todo.append((pointers[side], depth))
         equal = words == pivot
         total = int(weights[equal].sum())
         if total >= least and pivot:
@@ -170,10 +170,6 @@ def frequent_prefixes(columns: list[np.ndarray], counts: np.ndarray, least: int)
             yield int(same[0]), depth + 1, total
             if depth + 1 < DEPTH:
                 todo.append((same, depth + 1))
-        if size > equal.sum():
-            small = words < pivot
-            todo.append((pointers[small], depth))
-            todo.append((pointers[~(small | equal)], depth))
 
 
 def _edges(bounds: list[Bound], route: int, lang: bytes) -> set[tuple[bytes, ...]]:
