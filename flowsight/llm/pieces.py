@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from pathlib import Path
@@ -36,7 +37,7 @@ from .common import map_arrow
 
 SPACE = "▁"
 BATCH_BYTES = 4 << 20  # texts encoded at a time
-MEMORY_CHARS = 4_000_000  # characters of remembered segments, about 100 MB; then they are forgotten and learned anew
+MEMORY_CHARS = 8_000_000  # characters of remembered segments, about 200 MB; then they are forgotten and learned anew
 LONG_SEGMENT = 64  # longer ones are hardly repeated and not remembered
 
 # Kinds of pieces in the model file, as its format defines them.
@@ -111,6 +112,8 @@ class Vocabulary:
 
     def merge(self, segment: str) -> list[int]:
         """Piece ids of one segment, by the agenda. An entry is the place of its score, then that of its left symbol."""
+        if len(segment) <= LONG_SEGMENT:
+            return self.merge_short(segment)
         place, symbols = self.place.get, list(segment)
         count = len(symbols)
         before, after = list(range(-1, count - 1)), list(range(1, count + 1))
@@ -134,16 +137,37 @@ class Vocabulary:
             earlier = before[left]
             if earlier >= 0 and (p := place(symbols[earlier] + pair)) is not None:
                 heapq.heappush(agenda, p << 32 | earlier)
+        return self.numbers(filter(None, symbols))
+
+    def merge_short(self, segment: str) -> list[int]:
+        """The same with the agenda as a list in order of place, one entry for each pair: quicker where there are few."""
+        place, never, symbols = self.place.get, len(self.place), list(segment)
+        agenda = [place(pair, never) for pair in map(str.__add__, segment, segment[1:])]
+        while agenda and (best := min(agenda)) < never:
+            left = agenda.index(best)
+            del agenda[left]
+            pair = symbols[left] = symbols[left] + symbols.pop(left + 1)
+            if left:
+                agenda[left - 1] = place(symbols[left - 1] + pair, never)
+            if left < len(agenda):
+                agenda[left] = place(pair + symbols[left + 1], never)
+        return self.numbers(symbols)
+
+    def numbers(self, symbols: Iterable[str]) -> list[int]:
+        """Ids of merged symbols; a character that is no piece gives its bytes."""
         found: list[int] = []
         for symbol in symbols:
             if symbol in self.ids:
                 found.append(self.ids[symbol])
-            elif symbol:
+            else:
                 found += [self.byte[b] for b in symbol.encode()]
         return found
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """Text of any ids: control pieces vanish, byte pieces that are no UTF-8 give replacement characters."""
+    def decode(self, ids: Iterable[int], opens: bool = True) -> str:
+        """Text of any ids: control pieces vanish, byte pieces that are no UTF-8 give replacement characters.
+
+        Where the ids open a text, the space that encoding has put before it vanishes too.
+        """
         shown: list[str] = []
         run = bytearray()
 
@@ -155,13 +179,14 @@ class Vocabulary:
                 at += size or 1
             run.clear()
 
-        first = True
+        first = opens
         for i in ids:
             if i in self.value:
                 run.append(self.value[i])
                 first = False
                 continue
-            flush()
+            if run:
+                flush()
             text = self.surface[i]
             if first and self.prefix and text[:1] == " " and i not in self.unknown:
                 text = text[1:]
@@ -179,7 +204,7 @@ def _is_character(part: bytes) -> bool:
 
 
 class _Segments(dict):
-    """Segment -> (its ids as little-endian 32-bit numbers, its decoded text), filled on demand."""
+    """Segment -> (its ids as little-endian 32-bit numbers, their decoded text), filled on demand."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -187,7 +212,7 @@ class _Segments(dict):
 
     def __missing__(self, segment: str) -> tuple[bytes, str]:
         ids = self.vocabulary.merge(segment)
-        made = struct.pack(f"<{len(ids)}I", *ids), _shown(self.vocabulary, ids)
+        made = struct.pack(f"<{len(ids)}I", *ids), self.vocabulary.decode(ids, opens=False)
         if len(segment) <= LONG_SEGMENT:
             if self.chars > MEMORY_CHARS:
                 self.clear()
@@ -197,13 +222,6 @@ class _Segments(dict):
         return made
 
 
-def _shown(vocabulary: Vocabulary, ids: list[int]) -> str:
-    """Decoded text of a segment, with the space that opens a text: the caller removes that once."""
-    if vocabulary.value.keys().isdisjoint(ids):
-        return "".join([vocabulary.surface[i] for i in ids])
-    return b"".join([bytes([vocabulary.value[i]]) if i in vocabulary.value else vocabulary.surface[i].encode() for i in ids]).decode()
-
-
 @cache
 def _segments(model: bytes) -> _Segments:
     return _Segments(Vocabulary(model))
@@ -224,7 +242,7 @@ def _encoded(texts: list[str], segments: _Segments) -> tuple[list[bytes], list[s
         parts = [segments[s] for s in vocabulary.segments.findall(vocabulary.marked(text))]
         ids.append(begin + b"".join([p[0] for p in parts]) + end)
         shown = "".join([p[1] for p in parts])
-        decoded.append(shown[1:] if vocabulary.prefix else shown)
+        decoded.append(shown[1:] if vocabulary.prefix and shown[:1] == " " else shown)
     return ids, decoded
 
 
@@ -232,7 +250,7 @@ def _agreement(texts: list[str], ids: list[bytes], decoded: list[str], model: by
     library = _library(model)
     theirs = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
     texts_back = library.decode(theirs, num_threads=1) if theirs else []
-    same = [np.array_equal(np.frombuffer(a, "<u4"), b) for a, b in zip(ids, theirs)]
+    same = [a == array("I", b).tobytes() for a, b in zip(ids, theirs)]
     return [s and a == b for s, a, b in zip(same, decoded, texts_back)]
 
 
