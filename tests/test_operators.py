@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import FLOW_DDL, flow
+from flow_rows import FLOW_DDL, flow
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -4,7 +4,7 @@ import json
 import re
 
 import pytest
-from conftest import FLOW_DDL, flow
+from flow_rows import FLOW_DDL, flow
 from pyspark.sql.types import StructType
 
 import __spark_entry__ as contract

@@ -1,5 +1,5 @@
 import pytest
-from conftest import FLOW_DDL, flow
+from flow_rows import FLOW_DDL, flow
 
 from flowsight.operators.features import STREAM_FEATURE_COLUMNS, select_features, stream_features
 from flowsight.schema import FLOW_SCHEMA, STREAM_SCHEMA
