@@ -1,12 +1,11 @@
 """Three outlier detectors over standardised features, and their vote.
 
 * isolation forest: trees grown from small hash-chosen samples, one task per tree;
-* kernel density: random Fourier features of an RBF kernel, averaged over all rows (the limit that
-  a one-class SVM approaches as its outlier share goes to 1);
-* reconstruction error of a principal-component projection, in place of an autoencoder.
+* one-class SVM: ``kernel_score`` is positive outside its boundary, which leaves a share nu of the rows out;
+* reconstruction error of a network with a bottleneck.
 
-Fitting moves only samples and small matrices to the driver. Python runs in two full passes: one that averages the
-kernel features while fitting and one that scores, both vectorised.
+Fitting moves only samples and vectors of fixed size to the driver. Python runs vectorised: in the passes over all rows
+that fit boundary and network together (``descents``) and in the one that scores.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle, inheritable_thread_target
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +27,7 @@ from ..functions.rules import outlier_vote
 from ..operators.features import MODEL_FEATURES
 from ..schema import FLOW_KEY, quoted
 from ..sources.scratch import staged
+from .descents import features_of, fit_descents, layers_of, reconstruction_errors
 from .settings import PRESETS, Settings
 
 # Ship this module's functions with the tasks: executors need not have the package installed.
@@ -50,8 +48,10 @@ class Detectors:
     tree_norm: float
     directions: np.ndarray
     phases: np.ndarray
-    kernel_mean: np.ndarray
-    components: np.ndarray
+    boundary: np.ndarray
+    rho: float
+    network: np.ndarray
+    layers: tuple[int, ...]
 
 
 def _standardisation(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -150,30 +150,6 @@ def _fit_trees(df: DataFrame, columns: Sequence[str], key: Sequence[str], rows:
     return tuple(packed)
 
 
-def _kernel_mean(df: DataFrame, columns: Sequence[str], mean, scale, directions, phases) -> np.ndarray:
-    """Average random-Fourier feature vector: summed per task, then a sum over tasks."""
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(len(phases)), 0
-        for batch in batches:
-            scaled = (batch.to_numpy(dtype=float) - mean) / scale
-            total += np.cos(scaled @ directions + phases).sum(axis=0)
-            n += len(batch)
-        if n:
-            yield pd.DataFrame({"item": np.arange(len(phases)), "total": total, "n": n})
-
-    parts = df.select(*[quoted(c) for c in columns]).mapInPandas(sums, "item int, total double, n long")
-    rows = parts.groupBy("item").agg((F.sum("total") / F.sum("n")).alias("m")).orderBy("item").collect()
-    return np.array([r["m"] for r in rows])
-
-
-def _components(df: DataFrame, columns: Sequence[str], mean, scale, settings: Settings) -> np.ndarray:
-    """Leading principal directions of the standardised features, one per column."""
-    scaled = F.array(*[(quoted(c) - float(m)) / float(s) for c, m, s in zip(columns, mean, scale)])
-    k = min(settings.components, len(columns))
-    return PCA(k=k, inputCol="x", outputCol="y").fit(df.select(array_to_vector(scaled).alias("x"))).pc.toArray()
-
-
 def fit_detectors(
     df: DataFrame,
     columns: Sequence[str] = MODEL_FEATURES,
@@ -188,10 +164,10 @@ def fit_detectors(
     phases = rng.uniform(0.0, 2.0 * math.pi, settings.kernel_features)
     sample = min(settings.isolation_sample, rows)
     bound = inheritable_thread_target(df.sparkSession)
-    with ThreadPoolExecutor(3) as pool:  # three independent passes over the data
+    with ThreadPoolExecutor(2) as pool:  # neither waits for the other
         trees = pool.submit(bound(_fit_trees), df, columns, key, rows, settings)
-        kernel = pool.submit(bound(_kernel_mean), df, columns, mean, scale, directions, phases)
-        components = pool.submit(bound(_components), df, columns, mean, scale, settings)
+        descents = pool.submit(bound(fit_descents), df, columns, mean, scale, directions, phases, rows, settings)
+        boundary, rho, network = descents.result()
         return Detectors(
             columns=columns,
             mean=mean,
@@ -200,12 +176,16 @@ def fit_detectors(
             tree_norm=max(_expected_depth(sample), 1e-9),
             directions=directions,
             phases=phases,
-            kernel_mean=kernel.result(),
-            components=components.result(),
+            boundary=boundary,
+            rho=rho,
+            network=network,
+            layers=(len(columns), *settings.network_layers, len(columns)),
         )
 
 
 def _scorer(d: Detectors):
+    layers = layers_of(d.network, d.layers)
+
     def score(raw: np.ndarray) -> pd.DataFrame:
         feature, cut, low, high, depth = d.trees
         x = (raw - d.mean) / d.scale
@@ -221,8 +201,8 @@ def _scorer(d: Detectors):
                 node = np.where(raw[lines, np.maximum(f, 0)] <= cut[t, node], low[t, node], high[t, node])
             reached += depth[t, node]
         isolation = np.exp2(-reached / feature.shape[0] / d.tree_norm)
-        kernel = -(np.cos(x @ d.directions + d.phases) @ d.kernel_mean) / len(d.phases)
-        error = ((x - (x @ d.components) @ d.components.T) ** 2).mean(axis=1)
+        kernel = d.rho - features_of(x, d.directions, d.phases) @ d.boundary
+        error = reconstruction_errors(x, layers)
         return pd.DataFrame(dict(zip(SCORES, (isolation, kernel, error))))
 
     return score
@@ -242,13 +222,14 @@ def score_outliers(df: DataFrame, detectors: Detectors) -> DataFrame:
 
 
 def flag_outliers(scored: DataFrame, settings: Settings = PRESETS["detection"]) -> DataFrame:
-    """Cut each score at its upper ``contamination`` quantile and let the settings' detectors vote.
+    """Cut two scores at their upper ``contamination`` quantile, the SVM's at its own boundary; the settings' detectors vote.
 
-    The quantile is approximate: its rank is right to one ten-thousandth of the rows.
+    The quantiles are approximate: their rank is right to one ten-thousandth of the rows.
     """
-    cuts = [F.percentile_approx(c, 1.0 - settings.contamination, 10_000).alias(c) for c in SCORES]
-    at = scored.agg(*cuts).select(F.struct(*SCORES).alias("c")).scalar()
-    flags = {f"{c}_flag": F.col(c) >= at[c] for c in SCORES}
+    ranked = [c for c in SCORES if c != "kernel_score"]
+    cuts = [F.percentile_approx(c, 1.0 - settings.contamination, 10_000).alias(c) for c in ranked]
+    at = scored.agg(*cuts).select(F.struct(*ranked).alias("c")).scalar()
+    flags = {f"{c}_flag": F.col(c) >= at[c] if c in ranked else F.col(c) > 0 for c in SCORES}
     flagged = scored.withColumns(flags)
     voting = [f"{c}_flag" for c in settings.detectors]
     return flagged.withColumn("anomaly_flag", outlier_vote(*voting, min_votes=settings.min_votes))

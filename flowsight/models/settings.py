@@ -17,7 +17,10 @@ class Settings:
     isolation_trees: int = 180
     isolation_sample: int = 256
     kernel_features: int = 128
-    components: int = 6
+    # hidden layers of the reconstruction network, and steps (passes over all rows) that fit it and the one-class SVM
+    network_layers: tuple[int, ...] = (32, 16, 32)
+    descent_passes: int = 24
+    # share of rows that each detector leaves out; the SVM's nu
     contamination: float = 0.1
     min_votes: int = 2
     # the scores that vote
@@ -39,6 +42,7 @@ PRESETS: dict[str, Settings] = {
         isolation_trees=150, contamination=0.12, min_votes=1, detectors=("isolation_score", "kernel_score")
     ),
     "quick": replace(
-        Settings(), forest_trees=20, forest_depth=6, boost_rounds=6, boost_depth=4, boost_step=0.3, isolation_trees=60
+        Settings(), forest_trees=20, forest_depth=6, boost_rounds=6, boost_depth=4, boost_step=0.3, isolation_trees=60,
+        descent_passes=16,
     ),
 }

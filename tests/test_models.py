@@ -93,7 +93,7 @@ def test_report_is_honest(spark, sf_dir):
 
 def test_task_functions_load_without_the_package(tmp_path):
     fitted = outliers.Detectors(("a",), *[np.ones((1, 1))] * 2, tuple(np.full((1, 1), v) for v in (-1, 0, 0, 0, 1)), 1.0,
-                                np.ones((1, 2)), np.ones(2), np.ones(2), np.ones((1, 1)))
+                                np.ones((1, 2)), np.ones(2), np.ones(2), 0.5, np.ones(7), (1, 2, 1))
     blob = tmp_path / "f.pkl"
     blob.write_bytes(cloudpickle.dumps((outliers._grow(1, 8), outliers._scorer(fitted))))
     code = f"import pickle; g, s = pickle.load(open({str(blob)!r}, 'rb')); import numpy as np; print(len(s(np.ones((3, 1)))))"
