@@ -16,6 +16,7 @@ from .outliers import outlier_scores
 from .settings import PRESETS, Settings
 from .supervised import (
     VECTOR,
+    WEIGHT,
     Boosted,
     Forest,
     assemble,
@@ -24,6 +25,7 @@ from .supervised import (
     fit_forest,
     label_index,
     score_threats,
+    stratified,
 )
 
 RULE_LABEL = "threat_type_rule"
@@ -51,14 +53,13 @@ def labeled_flows(features: DataFrame) -> DataFrame:
 def fit_models(vectors: DataFrame, settings: Settings) -> tuple[Forest, Boosted]:
     """Both classifiers. Each learner bins its input once and caches that, so nothing is cached here.
 
-    All rows are used unless ``fit_rows`` asks for fewer; scoring always covers every row.
+    All rows are used unless ``fit_rows`` asks for a stratified sample of about so many, which holds rows of every label;
+    scoring always covers every row.
     """
     training = vectors
     if settings.fit_rows is not None:
-        rows = max(1, vectors.count())
-        draw = F.pmod(F.xxhash64(F.lit(settings.seed + 1), *FLOW_KEY), F.lit(1 << 30))
-        training = vectors.where(draw < int((1 << 30) * min(1.0, settings.fit_rows / rows)))
-    training = training.select(VECTOR, RULE_LABEL)
+        training = stratified(vectors, RULE_LABEL, FLOW_KEY, settings.fit_rows, settings)
+    training = training.select(VECTOR, RULE_LABEL, *[WEIGHT] * (WEIGHT in training.columns))
     return fit_forest(training, RULE_LABEL, settings), fit_boosted(training, RULE_LABEL, settings)
 
 

@@ -26,7 +26,7 @@ class Settings:
     # the scores that vote
     detectors: tuple[str, ...] = ("isolation_score", "kernel_score", "autoencoder_error")
     seed: int = 42
-    # classifiers learn from about this many rows, chosen by hash; None: from all rows
+    # classifiers learn from about this many rows, chosen by hash within each label; None: from all rows
     fit_rows: int | None = None
     # labels a classifier accepts, and one-against-rest fits that run side by side
     most_classes: int = 100

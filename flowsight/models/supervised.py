@@ -23,6 +23,8 @@ from ..operators.features import MODEL_FEATURES, model_inputs
 from .settings import PRESETS, Settings
 
 VECTOR = "features"
+WEIGHT = "_weight"  # rows of the table that a row of a stratified sample stands for
+HASH_SPAN = float(2**63)
 
 
 @dataclass(frozen=True)
@@ -43,27 +45,57 @@ def assemble(df: DataFrame) -> DataFrame:
 
 
 def class_counts(df: DataFrame, label: str, most: int = 100) -> dict[str, int]:
-    """Label -> rows, in label order. Labels are a short fixed vocabulary; more than ``most`` are an error."""
-    rows = df.groupBy(F.coalesce(F.col(label), F.lit("normal")).alias("k")).count().limit(most + 1).collect()
+    """Label -> rows, in label order. Labels are a short fixed vocabulary; more than ``most`` are an error.
+
+    In a stratified sample the rows that it stands for are counted.
+    """
+    rows = F.sum(WEIGHT) if WEIGHT in df.columns else F.count(F.lit(1))
+    rows = df.groupBy(F.coalesce(F.col(label), F.lit("normal")).alias("k")).agg(rows.alias("count")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"column {label!r} has more than {most} classes")
     return {r["k"]: r["count"] for r in sorted(rows, key=lambda r: r["k"])}
 
 
+def label_shares(counts: dict[str, int], most_rows: int) -> dict[str, float]:
+    """Share of each label's rows to draw for about ``most_rows`` in all.
+
+    Labels get equal parts; what small ones leave over goes to the larger ones, so a label with fewer rows than its part
+    is taken whole, however rare it is.
+    """
+    shares, left = {}, float(most_rows)
+    for place, label in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
+        taken = min(float(counts[label]), left / (len(counts) - place))
+        shares[label], left = taken / counts[label], left - taken
+    return shares
+
+
+def stratified(vectors: DataFrame, label: str, key: Sequence[str], most_rows: int, settings: Settings) -> DataFrame:
+    """A sample of about ``most_rows`` rows, chosen by the hash of their key within each label, with weights 1 / share."""
+    shares = label_shares(class_counts(vectors, label, settings.most_classes), most_rows)
+    if not shares:
+        return vectors.withColumn(WEIGHT, F.lit(1.0))
+    place = label_index(F.coalesce(F.col(label), F.lit("normal")), tuple(shares)).cast("int")
+    share = F.get(F.array(*[F.lit(x) for x in shares.values()]), place)
+    draw = F.abs(F.xxhash64(F.lit(settings.seed + 1), *[F.col(c) for c in key]).cast("double")) / HASH_SPAN
+    return vectors.where((share >= 1.0) | (draw < share)).withColumn(WEIGHT, 1.0 / share)
+
+
 def label_index(label: Column | str, labels: Sequence[str]) -> Column:
     """Position of a label in the sorted list, as a CASE expression."""
     return (F.array_position(F.array(*[F.lit(k) for k in labels]), as_column(label)) - 1).cast("double")
 
 
 def fit_forest(vectors: DataFrame, label: str, settings: Settings = PRESETS["detection"]) -> Forest:
-    """Forest with balanced class weights n / (classes * rows of the class)."""
-    counts = class_counts(vectors, label)
+    """Forest with balanced class weights n / (classes * rows of the class), times the weights of a stratified sample."""
+    counts = class_counts(vectors, label, settings.most_classes)
     labels, total = tuple(counts), sum(counts.values())
     if len(labels) < 2:
         return Forest(labels, None)
     index = label_index(F.coalesce(F.col(label), F.lit("normal")), labels)
     weights = F.array(*[F.lit(total / (len(labels) * n)) for n in counts.values()])
-    training = vectors.select(VECTOR, index.alias("label")).withColumn("weight", F.get(weights, F.col("label").cast("int")))
+    drawn = F.col(WEIGHT) if WEIGHT in vectors.columns else F.lit(1.0)
+    training = vectors.select(VECTOR, index.alias("label"), drawn.alias("weight"))
+    training = training.withColumn("weight", F.col("weight") * F.get(weights, F.col("label").cast("int")))
     learner = RandomForestClassifier(
         featuresCol=VECTOR,
         labelCol="label",
@@ -76,8 +108,8 @@ def fit_forest(vectors: DataFrame, label: str, settings: Settings = PRESETS["det
 
 
 def fit_boosted(vectors: DataFrame, label: str, settings: Settings = PRESETS["detection"]) -> Boosted:
-    """Boosted trees, one binary model per class."""
-    counts = class_counts(vectors, label)
+    """Boosted trees, one binary model per class, with the weights of a stratified sample."""
+    counts = class_counts(vectors, label, settings.most_classes)
     labels = tuple(counts)
     if len(labels) < 2:
         return Boosted(labels, ())
@@ -91,10 +123,13 @@ def fit_boosted(vectors: DataFrame, label: str, settings: Settings = PRESETS["de
         featureSubsetStrategy=str(settings.boost_columns),
         seed=settings.seed,
     )
+    drawn = F.col(WEIGHT) if WEIGHT in vectors.columns else F.lit(1.0)
+    if WEIGHT in vectors.columns:
+        learner = learner.setWeightCol("weight")
     name = F.coalesce(F.col(label), F.lit("normal"))
 
     def fit(label_name: str) -> GBTClassificationModel:
-        return learner.fit(vectors.select(VECTOR, F.when(name == label_name, 1.0).otherwise(0.0).alias("label")))
+        return learner.fit(vectors.select(VECTOR, F.when(name == label_name, 1.0).otherwise(0.0).alias("label"), drawn.alias("weight")))
 
     # A fit is a chain of short jobs, and fits side by side keep the executors busy; each caches its own binned input.
     side_by_side = max(1, min(settings.parallel_fits, len(labels)))

@@ -1,9 +1,11 @@
 import subprocess
 import sys
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from flowsight.catalog import fixtures as fx
@@ -42,6 +44,32 @@ def test_one_class_only(labeled):
 def test_too_many_classes_are_refused(spark):
     with pytest.raises(ValueError):
         supervised.class_counts(spark.range(200).selectExpr("cast(id AS string) AS k"), "k")
+    few = spark.range(20).selectExpr("cast(id AS string) AS k", "id")
+    with pytest.raises(ValueError):
+        supervised.stratified(few, "k", ["id"], 10, replace(QUICK, most_classes=19))
+
+
+def test_shares_take_rare_labels_whole():
+    shares = supervised.label_shares({"a": 10**12, "b": 5, "c": 2000, "d": 10**6}, 9005)
+    assert shares["b"] == 1.0 and shares["c"] == 2000 / 2000
+    assert shares["a"] * 10**12 == pytest.approx(3500) and shares["d"] * 10**6 == pytest.approx(3500)
+    assert supervised.label_shares({"a": 3, "b": 4}, 100) == {"a": 1.0, "b": 1.0}
+
+
+def test_one_row_in_a_hundred_thousand_is_learned(spark):
+    rows = spark.range(100_000).selectExpr(
+        "id", "CASE WHEN id = 77777 THEN 'rare' WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind",
+        "array(CASE WHEN id = 77777 THEN 50D ELSE id % 7 END, cast(id % 2 AS double)) AS x",
+    )
+    vectors = staged(rows, "rare").select("id", "kind", array_to_vector("x").alias(supervised.VECTOR))
+    settings = replace(QUICK, fit_rows=2000)
+    sample = supervised.stratified(vectors, "kind", ["id"], 2000, settings)
+    assert 1700 <= sample.count() <= 2300 and sample.agg(F.sum(supervised.WEIGHT)).first()[0] == pytest.approx(100_000, rel=0.1)
+    training = sample.select(supervised.VECTOR, "kind", supervised.WEIGHT)
+    forest, boosted = supervised.fit_forest(training, "kind", settings), supervised.fit_boosted(training, "kind", settings)
+    assert forest.labels == boosted.labels == ("even", "odd", "rare")
+    scored = supervised.score_threats(vectors, forest, boosted)
+    assert scored.where("threat_type != kind OR forest_type != kind").count() == 0
 
 
 def test_planted_outliers_rank_high_and_votes_are_few(spark):
