@@ -129,14 +129,21 @@ _WINDOW_SQL = f"""SELECT window_start, window_start + {{size}} AS window_end, sr
   round(avg(request_rate), 6) AS avg_request_rate, round(stddev_pop(request_rate), 6) AS std_request_rate, max(connection_duration) AS session_duration
 FROM (SELECT {_FILLED}, cast(floor(epoch(cast(timestamp AS timestamp)) / {{size}}) AS bigint) * {{size}} AS window_start FROM fx_flows) f
 {{where}} GROUP BY 1, 2, 3"""
-_CLOSED = "WHERE window_start + 3600 <= (SELECT epoch(max(cast(timestamp AS timestamp))) - 600 FROM fx_flows)"
 
 
-@register("window_ip_stats", fx.with_fixtures(_WINDOW_SQL.format(size=3600, where=_CLOSED)))
+def _closed_table_of(spark, stream, windows):
+    """Run windows of a stream to the end of its input, close those still open and read the table they wrote."""
+    path, options = scratch_path(spark, "stream-table"), _options(spark)
+    end = st.StreamEnd(scratch_path(spark, "stream-end"))
+    st.run_to_end(stream, end, lambda df: st.write_stream_features(windows(df), path, options), options)
+    return spark.read.schema(windows(stream).schema).parquet(path)
+
+
+@register("window_ip_stats", fx.with_fixtures(_WINDOW_SQL.format(size=3600, where="")))
 def window_ip_stats(spark, sf_dir):
-    """As a stream: windows the watermark has not passed by the end of the input stay open and are not emitted."""
-    windows = st.window_ip_stats(st.clean_stream(event_stream(spark, sf_dir)))
-    return rounded(_table_of(spark, windows))
+    """As a stream; the windows that the watermark has not passed by the end of the input are closed by its end."""
+    windows = lambda df: st.window_ip_stats(st.clean_stream(df))
+    return rounded(_closed_table_of(spark, event_stream(spark, sf_dir), windows))
 
 
 @register("window_ip_stats_batch", fx.with_fixtures(_WINDOW_SQL.format(size=3600, where="")))
@@ -146,8 +153,12 @@ def window_ip_stats_batch(spark, sf_dir):
 
 @register(
     "traffic_windows",
-    """SELECT cast(epoch(date_trunc('minute', ts)) AS bigint) AS minute_start, count(*) AS requests FROM events
-WHERE epoch(date_trunc('minute', ts)) + 60 <= (SELECT floor(epoch(max(ts))) - 600 FROM events) GROUP BY 1""",
+    """SELECT minute_start, strftime(make_timestamp(minute_start * 1000000), '%H:%M') AS time, requests,
+  requests > 1.6 * avg(requests) OVER (ORDER BY minute_start ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS "isAnomaly"
+FROM (SELECT cast(epoch(date_trunc('minute', ts)) AS bigint) AS minute_start, count(*) AS requests FROM events GROUP BY 1) t""",
 )
 def traffic_windows(spark, sf_dir):
-    return _table_of(spark, st.traffic_windows(event_stream(spark, sf_dir)))
+    """As two streams: flows to closed minutes, and these judged by the 36 latest ones with requests."""
+    minutes = _closed_table_of(spark, event_stream(spark, sf_dir), st.traffic_windows)
+    [path] = {f.rsplit("/", 1)[0] for f in minutes.inputFiles()}
+    return _table_of(spark, st.anomalous_minutes(st.stream_flows(spark, path, minutes.schema, "parquet")))

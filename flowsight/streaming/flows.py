@@ -7,21 +7,25 @@ window (``window_ip_stats``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.parsing import event_time
+from ..functions.parsing import clock_label, event_time
 from ..operators.clean import cast_flows, fill_defaults
 from ..operators.features import STREAM_FEATURE_COLUMNS, select_features, stream_features
 from ..operators.skew import TASK_ROWS, join_per_key
 from ..schema import CORRUPT, FLOW_KEY, STREAM_ALIASES, canonicalize
+from ..sources.scratch import hadoop_path
 
 SPIKE_FROM = 2.0
+END_OF_TIME = "2200-01-01T00:00:00Z"
 
 
 @dataclass(frozen=True)
@@ -143,6 +147,38 @@ def traffic_windows(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return counted.select(F.unix_seconds("window.start").alias("minute_start"), "requests")
 
 
+def _flag_minutes(points: int, factor: float):
+    """Function that judges the minutes of a micro-batch, in order, by the latest ``points`` ones; these are the state."""
+
+    def flag(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        minutes = pd.concat(list(parts)).sort_values("minute_start")
+        latest = list(state.get[0]) if state.exists else []
+        flags = []
+        for requests in minutes["requests"]:
+            latest = [*latest, int(requests)][-points:]
+            flags.append(bool(requests > factor * (sum(latest) / len(latest))))
+        state.update((latest,))
+        yield pd.DataFrame({"minute_start": minutes["minute_start"], "requests": minutes["requests"], "isAnomaly": flags})
+
+    return flag
+
+
+def anomalous_minutes(minutes: DataFrame, points: int = 36, factor: float = 1.6) -> DataFrame:
+    """Minutes with ``time`` and ``isAnomaly``: more than ``factor`` times the mean of the latest ``points`` minutes that have
+    requests, itself included.
+
+    ``minutes`` is the table that ``traffic_windows`` appends to, read as a stream without a limit of files (Spark allows no
+    such state right behind an aggregate). Minutes leave their window in order, so each is judged once and for good; what
+    is kept of the past are ``points`` numbers. The series is one sequence, hence one group, which gets a row a minute
+    however many flows there are.
+    """
+    flagged = minutes.withColumn("series", F.lit(0)).groupBy("series").applyInPandasWithState(
+        _flag_minutes(points, factor), "minute_start bigint, requests bigint, isAnomaly boolean", "latest array<bigint>",
+        "append", GroupStateTimeout.NoTimeout,
+    )
+    return flagged.select("minute_start", clock_label(F.col("minute_start")).alias("time"), "requests", "isAnomaly")
+
+
 def write_stream_features(df: DataFrame, path: str, options: StreamOptions, fmt: str = "parquet") -> StreamingQuery:
     """Append a stream to a table, exactly once by the sink's own log."""
     return options.apply(df.writeStream.format(fmt).outputMode("append").option("path", path)).start()
@@ -184,6 +220,38 @@ def start_feature_stream(
     return options.apply(df.writeStream.foreachBatch(_write_batch(path, reports, transform, quarantine))).start()
 
 
+@dataclass(frozen=True)
+class StreamEnd:
+    """End of event time of a stream that is known to end: a folder that holds one late row once everything has been read.
+
+    ``attach`` joins the folder's rows to the stream of raw flows, whose columns may all be null; the row moves the watermark
+    past all windows, and its own one stays open for ever, so it shows up nowhere. Flows after the end are late and dropped.
+    """
+
+    folder: str
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        fs, target = hadoop_path(df.sparkSession, self.folder)
+        fs.mkdirs(target)
+        return df.unionByName(df.sparkSession.readStream.schema(df.schema).parquet(stream_path(self.folder)))
+
+    def mark(self, df: DataFrame) -> None:
+        row = [F.lit(END_OF_TIME if f.name == "timestamp" else None).cast(f.dataType).alias(f.name) for f in df.schema]
+        df.sparkSession.range(1).select(*row).write.mode("append").parquet(self.folder)
+
+
+def run_to_end(df: DataFrame, end: StreamEnd, start: Callable[[DataFrame], StreamingQuery], options: StreamOptions) -> None:
+    """Run a windowed query over all that is available, then close the windows that are still open.
+
+    ``start`` starts the query on the stream it is given. It is started twice with one checkpoint: the second run reads
+    nothing but the end, and a run that failed between the two is simply repeated.
+    """
+    whole = replace(options, trigger_seconds=None)
+    run_bounded(start(end.attach(df)), whole)
+    end.mark(df)
+    run_bounded(start(end.attach(df)), whole)
+
+
 def run_bounded(query: StreamingQuery, options: StreamOptions) -> None:
     """Wait for the run limit, or for the end of the available data, then stop."""
     try:

@@ -98,3 +98,35 @@ def test_bounded_run_stops(spark, tmp_path):
     query = st.write_stream_features(stream, str(tmp_path / "out"), limited)
     st.run_bounded(query, limited)
     assert not query.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_end_closes_open_windows_once(spark, tmp_path, options):
+    source, out, end = tmp_path / "in", str(tmp_path / "out"), st.StreamEnd(str(tmp_path / "end"))
+    put(spark, source, rows(0, 4, minute=1))
+    put(spark, source, rows(0, 2, minute=40))
+    stream = st.stream_flows(spark, str(source), FLOW_SCHEMA, max_files=1)
+
+    def start(df):
+        windows = st.window_ip_stats(st.clean_stream(df), "10 minutes", delay="5 minutes")
+        return st.write_stream_features(windows, out, options)
+
+    for _ in range(2):  # a repeated run finds everything closed
+        st.run_to_end(stream, end, start, options)
+        got = sorted((r["window_start"] % 3600 // 60, r["src_ip"], r["flows"]) for r in spark.read.parquet(out).collect())
+        assert got == [(0, "a", 4), (40, "a", 2)]
+
+
+def test_minutes_are_judged_by_the_latest_ones_across_batches(spark, tmp_path, options):
+    source, out = str(tmp_path / "minutes"), str(tmp_path / "out")
+    sizes = {0: 2, 1: 2, 3: 9, 4: 2, 20: 3, 21: 4, 22: 1}
+    for minutes in ((3, 0, 1), (20, 4), (21, 22)):
+        data = [(60 * m, sizes[m]) for m in minutes]
+        spark.createDataFrame(data, "minute_start bigint, requests bigint").write.mode("append").parquet(source)
+        stream = st.stream_flows(spark, source, spark.read.parquet(source).schema, "parquet")
+        st.run_bounded(st.write_stream_features(st.anomalous_minutes(stream, points=3), out, options), options)
+    got = {r["minute_start"] // 60: (r["time"], r["requests"], r["isAnomaly"]) for r in spark.read.parquet(out).collect()}
+    latest, want = [], {}
+    for minute, n in sizes.items():
+        latest = [*latest, n][-3:]
+        want[minute] = (f"00:{minute:02d}", n, n > 1.6 * sum(latest) / len(latest))
+    assert got == want and want[3][2] and not want[4][2]
