@@ -279,9 +279,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, k: int = K, rounds:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group of near duplicates, that with the smallest id; of repeated rows with that id one stays."""
+    """One row of each group of near duplicates, that with the smallest id; of repeated rows one stays.
+
+    Rows with that id and another text stay too, as do different texts without an id: an id alone makes no duplicate.
+    """
     kept = near_duplicates(docs, **options).where("kept OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 SQL = r"""

@@ -95,3 +95,10 @@ def test_components(spark):
     found = {r.node: r.comp for r in n.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(found.values()) == {1, 100} and len(found) == 44
     assert n.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_keep_first_loses_no_text_that_shares_an_id(make_docs):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[0] + " a b c"), (5, texts[1] + " d e f"), (5, texts[1] + " d e f")]
+    kept = n.keep_first(make_docs(rows))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted({(i or 0, t) for i, t in rows})
