@@ -259,7 +259,10 @@ def estimate(rows: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> DataF
     sizes = staged(sizes.withColumn("salts", (SALTS + F.floor(F.col("total") / SALT_ROWS)).cast("int")), "group-sizes")
     salt = F.pmod(F.xxhash64("doc_id", "x", F.lit(1)), F.col("salts")).cast("int")
     rows = staged(rows.join(sizes, "key").withColumn("salt", salt).drop("salts"), "group-rows")
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < float(sample) / F.col("total") * (1 << 30)).select("key", "x")
+    # equal rows are picked together, so they count once here; a group of which none is picked starts from one row
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < float(sample) / F.col("total") * (1 << 30))
+    first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "x"), "doc_id", "x")).alias("r")).select("key", "r.doc_id", "r.x")
+    picked = picked.select("key", "doc_id", "x").unionByName(first).distinct().select("key", "x")
     ship(rows.sparkSession)
     fits = staged(picked.groupBy("key").applyInPandas(_start, _FIT), "mcd-start")
     p = len(STATS)

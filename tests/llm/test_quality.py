@@ -74,3 +74,12 @@ def test_keep_good_and_empty_tables(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1]
     assert q.judge(docs.limit(0)).collect() == []
     assert q.judge(make_docs([(2, "x")])).first().base_failed
+
+
+def test_a_group_of_equal_rows_loses_none(spark, make_docs):
+    """More equal rows than the sample holds, whether their hash is picked or not."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(7, text, "en", "hot")] * 900 + [(8, f"{text} more", "fr", "hot")] * 900 + [(100 + i, f"{text} {i}", "en", "cold") for i in range(30)]
+    judged = q.judge(make_docs(rows), least_rows=20, sample=5)
+    assert judged.count() == len(rows)
+    assert judged.where("doc_id < 9").select("doc_id", "kept").distinct().count() == 2
