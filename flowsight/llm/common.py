@@ -62,15 +62,28 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def sliced(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in order, halved until a part has at most ``most_bytes`` or one row."""
+    parts = [batch]
+    while parts:
+        part = parts.pop()
+        half = part.num_rows // 2
+        if half and part.nbytes > most_bytes:
+            parts += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def pooled(batches: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
-    """The batches of a task in pools of about ``most_bytes``; one larger batch is a pool of its own."""
+    """The rows of a task in pools of at most twice ``most_bytes``, whatever the size of its batches; one longer row is a part of its own."""
     pool: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        pool.append(batch)
-        size += batch.nbytes
-        if size >= most_bytes:
-            yield pa.Table.from_batches(pool)
-            pool, size = [], 0
+        for part in sliced(batch, most_bytes):
+            pool.append(part)
+            size += part.nbytes
+            if size >= most_bytes:
+                yield pa.Table.from_batches(pool)
+                pool, size = [], 0
     if pool:
         yield pa.Table.from_batches(pool)
