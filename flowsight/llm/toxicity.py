@@ -8,8 +8,9 @@ logistic function of the expected number of toxic tokens and the largest margina
 offending offsets are the runs of tokens with a marginal of at least ``SPAN_AT``.
 
 It learns from a hash-chosen sample of at most about ``TOXIC`` toxic and ``CLEAN`` clean documents; their ids are few
-enough to be sent to every task, so the texts of the others are not moved. Fitting runs in one task over about ``FIT_DOCS``
-documents of that sample.
+enough to be sent to every task, so the texts of the others are not moved. The sample gives the token labels and the
+document score. The field is fitted on about ``FIT_BYTES`` of its text, cut into chains of ``CHAIN`` tokens and chosen by
+chain, so that neither long nor repeated documents change the bound; every step is one pass in which tasks add up gradients.
 
 Null and empty texts have no token and get the score of a document with nothing toxic in it. Words are kept whole
 however long. Without a label of either kind every score is the share of toxic labels, 0 without any. A document labelled
@@ -18,9 +19,10 @@ twice counts twice; null labels and labels of unknown documents don't count. Rep
 
 from __future__ import annotations
 
-import pickle
+import math
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,10 @@ LIFT, LEAST = 12.0, 3
 STEPS, RATE, PENALTY = 60, 0.5, 1e-4
 CHAIN = 200  # tokens of the chains that a training text is cut into
 SPAN_AT = 0.5
-FIT_DOCS = 3_000  # of the sample, in expectation, that the field is fitted on; all of it gives the token labels
+FIT_BYTES = 8 << 20  # of the sample's text, in expectation, that the field is fitted on; all of it gives the token labels
+FIT_TASKS = 4
 POOL_BYTES = 6 << 20
-CACHED_WORDS = 400_000
+CACHED_BYTES = 2 << 20  # of words whose potentials a task keeps from one pool to the next
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -54,8 +57,18 @@ def lexical(word: bytes) -> list[str]:
     return [found[0], *(f for f in found[2:4] if len(f) >= 7)]
 
 
-def _bin(feature: str) -> int:
-    return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
+_MASK = (1 << BITS) - 1
+_W, _4, _5, _6, _E = (zlib.crc32(mark) for mark in (b"w=", b"4=", b"5=", b"6=", b"e="))
+
+
+def bins(word: bytes) -> tuple[int, int, int, int, int]:
+    """Hashed ``features`` of a word: the checksum of each, its mark taken in before."""
+    plain = word.decode("utf-8", "replace").strip(_MARKS).lower()
+    crc = zlib.crc32
+    return (
+        crc(plain.encode(), _W) & _MASK, crc(plain[:4].encode(), _4) & _MASK, crc(plain[:5].encode(), _5) & _MASK,
+        crc(plain[:6].encode(), _6) & _MASK, crc(plain[-4:].encode(), _E) & _MASK,
+    )
 
 
 class Chains:
@@ -113,25 +126,31 @@ class Field:
         self.score_weights: np.ndarray | None = None
         self.prior = prior
         self.cache: dict[bytes, float] = {}
+        self.cached = 0
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "cache": {}}
-
-    def odds(self, word: bytes) -> float:
-        found = self.cache.get(word)
-        if found is None:
-            found = float(np.exp(np.clip(sum(self.weights[_bin(f)] for f in features(word)), -30, 30)))
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
+        return {**self.__dict__, "cache": {}, "cached": 0}
+
+    def odds(self, texts: list[list[bytes]]) -> Iterator[float]:
+        """Exp potentials of all tokens in order; each distinct word is worked out once a pool, most once a task."""
+        distinct = set().union(*texts)
+        size = sum(map(len, distinct))
+        if self.cached + size > CACHED_BYTES:
+            self.cache.clear()
+            self.cached = 0
+        weights = self.weights.tolist()
+        for word in distinct - self.cache.keys():
+            a, b, c, d, e = bins(word)
+            self.cache[word] = math.exp(min(max(weights[a] + weights[b] + weights[c] + weights[d] + weights[e], -30.0), 30.0))
+            self.cached += len(word)
+        return map(self.cache.__getitem__, chain.from_iterable(texts))
 
     def tag(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
         """Marginals of every text's tokens, and its (log of expected toxic tokens, largest marginal)."""
         sizes = np.array([len(t) for t in texts], np.int64)
         if not sizes.sum():
             return [np.zeros(0) for _ in texts], np.zeros((len(texts), 2))
-        flat = np.fromiter((self.odds(w) for t in texts for w in t), float, int(sizes.sum()))
+        flat = np.fromiter(self.odds(texts), float, int(sizes.sum()))
         chains = Chains(sizes)
         packed = np.empty(len(flat))
         packed[chains.place] = flat
@@ -145,51 +164,93 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(found)), found]) @ self.score_weights, -40, 40)))
 
 
-def fit_field(texts: list[list[bytes]], toxic: np.ndarray, lexicon: set[str], prior: float) -> Field:
-    """The field from labelled tokens and the score from labelled documents; ``prior`` is the share of toxic labels."""
+_CHAINS = "bins binary, label binary, tokens int, ones long, begun long, s00 long, s01 long, s10 long, s11 long"
+
+
+def _chain_rows(lexicon: set[str], share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chains of at most ``CHAIN`` tokens of labelled texts (doc_id, text, toxic), a hashed ``share`` of them, with what is observed in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pool in pooled(batches, POOL_BYTES):
+            rows: list[tuple] = []
+            texts = byte_texts(pool.column("text").combine_chunks())
+            for doc_id, toxic, text in zip(pool.column("doc_id").to_pylist(), pool.column("toxic").to_pylist(), texts, strict=True):
+                ws = words(text)
+                for at in range(0, len(ws), CHAIN):
+                    if zlib.crc32(b"%d:%d" % (doc_id, at)) >= share * (1 << 32):
+                        continue
+                    part = ws[at : at + CHAIN]
+                    hashed = np.array([bins(w) for w in part], "<i4")
+                    label = np.array([toxic and any(f in lexicon for f in lexical(w)) for w in part], np.uint8)
+                    pairs = np.bincount(2 * label[:-1] + label[1:], minlength=4).tolist()
+                    rows.append((hashed.tobytes(), label.tobytes(), len(part), int(label.sum()), int(label[0]), *pairs))
+            if rows:
+                names = [c.split()[0] for c in _CHAINS.split(", ")]
+                types = [pa.binary(), pa.binary(), pa.int32(), *[pa.int64()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _gradients(weights: np.ndarray, step: np.ndarray, first: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per task: observed less expected features of its chains, their expected transitions and starts."""
+    used = np.flatnonzero(weights).astype(np.int32)
+    values = weights[used].astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, missing = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS)
+        dense[used] = values
+        pairs, begun = np.zeros((2, 2)), 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chains = Chains(batch.column("tokens").to_numpy().astype(np.int64))
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8)
+            hashed = np.frombuffer(b"".join(batch.column("bins").to_pylist()), "<i4").reshape(len(label), -1)
+            packed = np.empty(len(label))
+            packed[chains.place] = np.exp(np.clip(dense[hashed].sum(1), -30, 30))
+            marginal, expected = chains.marginals(packed, step, first)
+            missing += np.bincount(hashed.ravel(), np.repeat(label - marginal[chains.place], hashed.shape[1]), minlength=1 << BITS)
+            pairs += expected
+            begun += float(marginal[: chains.live[0]].sum())
+        at = np.flatnonzero(missing).astype("<i4")
+        arrays = [at.tobytes(), missing[at].astype("<f4").tobytes(), pairs.astype("<f8").tobytes()]
+        yield pa.RecordBatch.from_arrays([*(pa.array([a], pa.binary()) for a in arrays), pa.array([begun], pa.float64())], ["at", "missing", "pairs", "begun"])
+
+    return run
+
+
+def fit_field(chains: DataFrame, prior: float) -> Field:
+    """The field from labelled chains, by gradient steps whose sums Spark's tasks add up; ``prior`` is the share of toxic labels."""
     field = Field(prior)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    known: dict[bytes, tuple[list[int], bool]] = {}
-    for t in texts:
-        for w in t:
-            if w not in known:
-                known[w] = ([_bin(f) for f in features(w)], any(f in lexicon for f in lexical(w)))
-    listed = list(known)
-    index = {w: k for k, w in enumerate(listed)}
-    rows = np.array([known[w][0] for w in listed], np.int64).reshape(len(listed), -1)
-    bad = np.array([known[w][1] for w in listed], bool)
-    flat = np.fromiter((index[w] for t in texts for w in t), np.int64, int(sizes.sum()))
-    label = bad[flat] & np.repeat(toxic, sizes)
-    # Chains of bounded length, so that a few long texts don't set the number of time steps.
-    chains = Chains(np.array([min(CHAIN, n - at) for n in sizes.tolist() for at in range(0, n, CHAIN)], np.int64))
-    packed_words, packed_label = np.empty_like(flat), np.empty(len(flat))
-    packed_words[chains.place], packed_label[chains.place] = flat, label
-    seen = np.zeros((2, 2))
-    for t in range(1, len(chains.live)):
-        n = chains.live[t]
-        a, b = packed_label[chains.at[t - 1] : chains.at[t - 1] + n].astype(int), packed_label[chains.at[t] : chains.at[t] + n].astype(int)
-        seen += np.bincount(2 * a + b, minlength=4).reshape(2, 2)
-    start_seen = packed_label[: chains.live[0]].sum()
+    o = chains.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "ones", "begun", "s00", "s01", "s10", "s11"))).first()
+    if not o.tokens:
+        return field
+    seen = np.array([[o.s00, o.s01], [o.s10, o.s11]], float)
+    rate_of_one = max(o.ones / o.tokens, 1e-6)
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
-    log_step, log_first = np.zeros((2, 2)), 0.0
+    log_step, log_first = np.zeros((2, 2)), float(np.log(rate_of_one))
+    log_step[:, 1] = log_first
     step_squares, first_squares = np.full((2, 2), 1e-8), 1e-8
-    rate_of_one = max(label.mean(), 1e-6)
-    log_step[:, 1] = log_first = np.log(rate_of_one)
     for _ in range(STEPS):
-        by_word = np.exp(np.clip(weights[rows].sum(1), -30, 30))
-        marginal, pairs = chains.marginals(by_word[packed_words], np.exp(log_step), float(np.exp(log_first)))
-        missing = np.bincount(packed_words, packed_label - marginal, minlength=len(listed))
-        g = np.bincount(rows.ravel(), np.repeat(missing, rows.shape[1]), minlength=1 << BITS) - PENALTY * len(flat) * rate_of_one * weights
+        g, gs, gf = -PENALTY * o.tokens * rate_of_one * weights, seen.copy(), float(o.begun)
+        sums = map_arrow(chains.select("bins", "label", "tokens"), _gradients(weights, np.exp(log_step), float(np.exp(log_first))), "at binary, missing binary, pairs binary, begun double")
+        for r in sums.collect():  # a row per task, about FIT_TASKS of them
+            g[np.frombuffer(r.at, "<i4")] += np.frombuffer(r.missing, "<f4")
+            gs -= np.frombuffer(r.pairs, "<f8").reshape(2, 2)
+            gf -= r.begun
         squares += g * g
         weights += RATE * g / np.sqrt(squares)
-        gs = seen - pairs
         step_squares += gs * gs
         log_step += RATE * gs / np.sqrt(step_squares)
-        gf = start_seen - marginal[: chains.live[0]].sum()
         first_squares += gf * gf
         log_first += RATE * gf / np.sqrt(first_squares)
     field.weights, field.step, field.first = weights.astype(np.float32), np.exp(log_step), float(np.exp(log_first))
-    _, found = field.tag(texts)
+    return field
+
+
+def fit_score(found: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
+    """Weights of the logistic document score over what ``Field.tag`` says of labelled documents."""
     x, y = np.column_stack([np.ones(len(found)), found]), toxic.astype(float)
     # The sample holds more toxic documents than the labels do.
     share = max(y.mean(), 1e-9)
@@ -199,11 +260,10 @@ def fit_field(texts: list[list[bytes]], toxic: np.ndarray, lexicon: set[str], pr
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
         beta += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 1e-2 * beta)
-    field.score_weights = beta
-    return field
+    return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Field:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, fit_bytes: int = FIT_BYTES) -> Field:
     """A field from the documents that ``labels`` (doc_id, toxic) knows."""
     given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     n = {r.toxic: r.n for r in given.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -213,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     share = F.when(F.col("toxic") == 1, toxic / n[1]).otherwise(clean / n[0])
     ids = staged(given.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_003)) < share * 1_000_003), "toxic-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = staged(texts.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxic-sample")  # toxic + clean ids, bounded
+    sample = staged(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")  # toxic + clean ids, bounded
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,24 +281,27 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
                 found = sorted({f for w in set(words(text)) for f in lexical(w)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([bad] * len(found), pa.int64())], ["feature", "toxic"])
 
-    counted = map_arrow(sample, seen, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counted = map_arrow(sample.select("text", "toxic"), seen, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    totals = {r.toxic: r for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).collect()}
     if len(totals) < 2:
         return Field(prior)
-    strong = counted.where((F.col("a") >= LEAST) & (F.col("a") * float(totals[0]) >= LIFT * (F.col("b") + 0.5) * float(totals[1])))
+    strong = counted.where((F.col("a") >= LEAST) & (F.col("a") * float(totals[0].n) >= LIFT * (F.col("b") + 0.5) * float(totals[1].n)))
     lexicon = {r.feature for r in strong.select("feature").collect()}  # of a bounded sample
+    part = min(1.0, fit_bytes / max(totals[0].bytes + totals[1].bytes, 1))
+    chains = staged(map_arrow(sample, _chain_rows(lexicon, part), _CHAINS).repartition(FIT_TASKS), "toxic-chains")
+    field = fit_field(chains, prior)
+    tagged = map_arrow(sample, _found(field), "expected double, largest double, toxic int").collect()  # of a bounded sample
+    field.score_weights = fit_score(np.array([(r.expected, r.largest) for r in tagged]), np.array([r.toxic for r in tagged]), prior)
+    return field
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
-        for batch in batches:
-            texts += [words(t) for t in byte_texts(batch.column("text"))]
-            marks += batch.column("toxic").to_pylist()
-        field = fit_field(texts, np.array(marks, bool), lexicon, prior)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], ["field"])
-
-    chance = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_003))
-    part = staged(sample.where(chance < 1_000_003 * FIT_DOCS / sum(totals.values())), "toxic-fit")
-    return pickle.loads(map_arrow(part.coalesce(1), fit, "field binary").first().field)
+
+def _found(field: Field) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pool in pooled(batches, POOL_BYTES):
+            _, found = field.tag([words(t) for t in byte_texts(pool.column("text").combine_chunks())])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pool.column("toxic").combine_chunks()], ["expected", "largest", "toxic"])
+
+    return run
 
 
 _OUT = "doc_id long, score double, expected double, spans array<struct<start: long, stop: long>>"
