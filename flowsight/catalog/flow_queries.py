@@ -8,7 +8,7 @@ from ..functions import rules as R
 from ..functions import scores as S
 from ..functions.parsing import safe_int, to_float, to_int
 from ..operators import clean, features as ft
-from ..plans.batch import build_features, canonical_flows
+from ..plans.batch import build_features, canonical_files, canonical_flows
 from ..schema import FLOW_COLUMNS, STREAM_ALIASES, STREAM_COLUMNS, canonicalize
 from ..sources import files, messages, scratch, sinks
 from ..streaming.flows import high_spike
@@ -417,6 +417,27 @@ def read_flows_csv(spark, sf_dir):
     return canonicalize(rows)
 
 
+_OTHER_HEADERS = {"src_ip": "Source_IP", "dst_ip": "Destination_IP", "port": " Destination_Port"}
+
+
+@register(
+    "read_flow_layouts",
+    fx.with_fixtures(
+        "SELECT timestamp, src_ip, dst_ip, protocol, cast(port AS double) AS port, event_id % 3 = 0 AS other FROM fx_raw"
+    ),
+)
+def read_flow_layouts(spark, sf_dir):
+    """Two exports in one folder, their columns differing in name, order and number; flows of the second have no request rate."""
+    path = scratch.scratch_path(spark, "flow-layouts")
+    kept = ["timestamp", "src_ip", "dst_ip", "protocol", "port", "request_rate"]
+    flows = fx.raw_flows(spark, sf_dir).withColumn("request_rate", F.lit(1.0))
+    sinks.write_csv(flows.where("event_id % 3 <> 0").select(*kept), f"{path}/first")
+    second = flows.where("event_id % 3 = 0").select(*reversed(kept[:-1]))
+    sinks.write_csv(second.withColumnsRenamed(_OTHER_HEADERS), f"{path}/second")
+    rows = canonical_files(spark, [f"{path}/first", f"{path}/second"])
+    return rows.where("_corrupt_record IS NULL").select(*kept[:-1], F.col("request_rate").isNull().alias("other"))
+
+
 _LINE = (
     "CASE WHEN event_id % 59 = 0 THEN concat(timestamp, ',', dst_ip) "
     "WHEN event_id % 61 = 0 THEN concat(timestamp, ',', dst_ip, ',', cast(port AS string), ',x,y') "

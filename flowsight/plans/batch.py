@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import cast_flows, heal, quality_report, split_corrupt
 from ..operators.features import flow_features, select_features
 from ..schema import CORRUPT, canonicalize
-from ..sources.files import read_flows_csv
+from ..sources.files import read_flow_layouts
 from ..sources.scratch import Workspace
 from ..sources.sinks import append_event, append_log, utc_now, write_audit, write_features, write_quarantine, write_report
 
@@ -47,6 +48,11 @@ def canonical_flows(raw: DataFrame) -> DataFrame:
     return cast_flows(canonicalize(raw, keep=(CORRUPT,)))
 
 
+def canonical_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``canonical_flows`` of CSV files that may differ in their headers, each layout mapped by its own."""
+    return reduce(DataFrame.unionByName, map(canonical_flows, read_flow_layouts(spark, path)))
+
+
 def build_features(clean: DataFrame) -> DataFrame:
     """Feature table of clean canonical rows."""
     return select_features(flow_features(heal(clean)))
@@ -61,7 +67,7 @@ def run_batch(spark: SparkSession, dataset: str, out: BatchOutputs) -> DataFrame
     """
     started, clock = utc_now(), time.monotonic()
     with Workspace(spark, "batch") as work:
-        flows = work.stage(canonical_flows(read_flows_csv(spark, dataset)))
+        flows = work.stage(canonical_files(spark, dataset))
         clean, corrupt = split_corrupt(flows)
         write_quarantine(corrupt, out.quarantine)
         healed = work.stage(heal(clean))

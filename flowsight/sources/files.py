@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,9 @@ from .scratch import path_exists
 
 DATASET_FORMATS = ("csv", "json", "parquet")
 NORMALIZED_NAME = "active_dataset_normalized.csv"
+# Layouts of one folder, each a parse of its own in the plan; and files whose first lines are asked for side by side.
+MOST_LAYOUTS = 100
+HEADER_READERS = 32
 LISTING_SCHEMA = "name string, path string, updated_at timestamp, size_bytes bigint, is_active boolean"
 
 
@@ -38,6 +45,56 @@ def read_flows_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """First line of a file, unpacked where its suffix says so; None of an empty one. Only its first block is read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, utf8)).readLine()
+    finally:
+        stream.close()
+
+
+def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files below ``path`` grouped by their first line; empty files are in no group.
+
+    What is read is one line a file, by ``HEADER_READERS`` threads; the list of files is the one that Spark makes for a scan.
+    """
+    found = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        lines = list(pool.map(inheritable_thread_target(spark)(lambda file: _first_line(spark, file)), found))
+    groups: dict[str, list[str]] = defaultdict(list)
+    for file, line in zip(found, lines, strict=True):
+        if line is not None:
+            groups[line.removeprefix("\ufeff").rstrip("\r")].append(file)
+    if len(groups) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} different headers below {path}")
+    return list(groups.values())
+
+
+def _pattern_of(spark: SparkSession, file: str) -> str:
+    """A pattern that matches the file of this URI and nothing else."""
+    jvm = spark.sparkContext._jvm
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).toString())
+
+
+def read_flow_layouts(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """``read_flows_csv`` of each group of files that share a header, for folders that gather several exports.
+
+    The columns of a group are its own; map each onto the canonical ones before uniting them, since one layout's ``src_ip`` may
+    be another one's ``Source IP``. A folder with one header is read as a whole.
+    """
+    groups = files_by_header(spark, path)
+    if len(groups) < 2:
+        return [read_flows_csv(spark, path)]
+    return [read_flows_csv(spark, [_pattern_of(spark, file) for file in group]) for group in groups]
+
+
 def dataset_format(path: str) -> str:
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in DATASET_FORMATS:

@@ -1,3 +1,4 @@
+import gzip
 import json
 import os
 import time
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsight.operators import clean, logs
-from flowsight.plans.batch import canonical_flows
+from flowsight.plans.batch import canonical_files, canonical_flows
 from flowsight.sources import files, messages, scratch, sinks
 from flowsight.sources import logs as log_source
 
@@ -52,6 +53,34 @@ def test_no_record_is_dropped_or_swapped_silently(spark, tmp_path):
         files.read_flows_csv(spark, str(headers)).collect()
 
 
+def test_layouts_of_a_folder_are_read_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "lay [1] outs"
+    write(folder / "a.csv", "src_ip,dst_ip,port\na,b,1\na,b\n")
+    write(folder / "b.csv", "dst_ip,src_ip,port\r\nb,c,2\r\n")
+    write(folder / "c {x}.csv", "src_ip,dst_ip,port\nd,b,3\n")
+    write(folder / "empty.csv", "")
+    with gzip.open(folder / "d.csv.gz", "wt") as out:
+        out.write('Destination,"Source"\nb,"e"\n')
+    path = str(folder).replace("[", "\\[").replace("]", "\\]")
+    groups = files.files_by_header(spark, path)
+    assert sorted(len(g) for g in groups) == [1, 1, 2]
+    parsed = scratch.staged(canonical_files(spark, path), "layouts")
+    good, bad = clean.split_corrupt(parsed)
+    got = {(r["src_ip"], r["dst_ip"], r["port"]) for r in good.collect()}
+    assert got == {("a", "b", 1.0), ("c", "b", 2.0), ("d", "b", 3.0), ("e", "b", None)}
+    assert [r["_corrupt_record"] for r in bad.collect()] == ["a,b"]
+    one = write(tmp_path / "one.csv", "src_ip,port\na,1\n")
+    assert canonical_files(spark, one).count() == 1 and len(files.files_by_header(spark, one)) == 1
+
+
+def test_too_many_layouts_fail(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_LAYOUTS", 2)
+    for k in range(3):
+        write(tmp_path / "m" / f"{k}.csv", f"src_ip,x{k}\na,1\n")
+    with pytest.raises(ValueError, match="different headers"):
+        files.read_flow_layouts(spark, str(tmp_path / "m"))
+
+
 def test_datasets_by_suffix(spark, tmp_path):
     spark.range(3).selectExpr("cast(id AS string) AS x").write.parquet(str(tmp_path / "d.parquet"))
     spark.range(3).selectExpr("cast(id AS string) AS x").write.json(str(tmp_path / "d.json"))
