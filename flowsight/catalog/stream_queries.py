@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.features import stream_features as stream_formulas
 from ..plans.stream import StreamOutputs, run_stream_of
 from ..schema import CORRUPT, STREAM_COLUMNS
+from ..sources.batches import read_batches
 from ..sources.messages import read_flow_messages
 from ..sources.scratch import scratch_path
 from ..streaming import flows as st
@@ -79,8 +80,8 @@ def stream_quarantine(spark, sf_dir):
     )
     out = StreamOutputs.below(scratch_path(spark, "stream-job"))
     run_stream_of(read_flow_messages(named.select(text.alias("value"))), out, _options(spark))
-    kept = spark.read.parquet(out.features).select(F.lit("kept").alias("kind"), F.col("dst_ip").alias("what"))
-    return kept.unionByName(spark.read.parquet(out.quarantine).select(F.lit("rejected").alias("kind"), F.col(CORRUPT).alias("what")))
+    kept = read_batches(spark, out.features).select(F.lit("kept").alias("kind"), F.col("dst_ip").alias("what"))
+    return kept.unionByName(read_batches(spark, out.quarantine).select(F.lit("rejected").alias("kind"), F.col(CORRUPT).alias("what")))
 
 
 @register(
@@ -93,6 +94,24 @@ def enrich_stream(spark, sf_dir):
     return _table_of(spark, st.enrich_stream(events.selectExpr("event_id", "user_id AS user_key"), customers, "user_key"))
 
 
+@register(
+    "enrich_stream_job",
+    fx.with_fixtures(
+        "SELECT f.event_id, coalesce(f.src_ip, 'UNKNOWN_SRC') AS src_ip, c.c_name, c.c_mktsegment FROM fx_flows f "
+        "LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON c.c_custkey = f.event_id % 7"
+    ),
+)
+def enrich_stream_job(spark, sf_dir):
+    """The whole job on flows of seven ports, whose owners it looks up; three of ten of the ports have none. Hot ports are spread."""
+    ports = (F.col("event_id") % 7).cast("double")
+    flows = event_stream(spark, sf_dir).withColumns({"port": ports, "dst_ip": F.col("event_id").cast("string")})
+    owners = fx.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    owners = owners.select(F.col("c_custkey").cast("double").alias("port"), "c_name", "c_mktsegment")
+    out = StreamOutputs.below(scratch_path(spark, "enriched-job"))
+    run_stream_of(flows.withColumn(CORRUPT, F.lit(None).cast("string")), out, _options(spark), st.Enrichment(owners, "port", 1000))
+    return read_batches(spark, out.features).select(F.col("dst_ip").cast("long").alias("event_id"), "src_ip", "c_name", "c_mktsegment")
+
+
 _STREAM_STATS = (
     f"(SELECT src_ip, count(*) AS n, count(DISTINCT port) AS ports, avg(request_rate) AS m, stddev_pop(request_rate) AS sd, "
     f"max(connection_duration) AS longest FROM (SELECT {_FILLED} FROM fx_flows) f GROUP BY src_ip)"
@@ -111,7 +130,7 @@ def stream_features(spark, sf_dir):
     path, reports = scratch_path(spark, "stream-features"), scratch_path(spark, "stream-reports")
     options = _options(spark)
     st.run_bounded(st.start_feature_stream(st.clean_stream(event_stream(spark, sf_dir)), path, reports, options), options)
-    return rounded(spark.read.parquet(path).drop("processed_at", "batch_id"))
+    return rounded(read_batches(spark, path).drop("processed_at", "batch_id"))
 
 
 @register(

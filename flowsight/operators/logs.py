@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import clock_label
 from ..functions.rules import contains_any
 from ..schema import quoted
+from ..sources.batches import MANIFEST, read_batches
 from ..sources.logs import LINE_ORDER, read_lines
 from ..sources.scratch import path_exists, pattern_exists
 
@@ -106,10 +107,12 @@ def traffic_series(df: DataFrame, at: str = "event_ts", points: int = 36) -> Dat
 
 
 def table_ready(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
-    """Has the table been committed, and does it hold a row? The batches of a stream lie in folders of their own."""
+    """Has the table been committed, and does it hold a row? Of a stream's numbered batches the committed ones count."""
     if not path_exists(spark, path):
         return False
-    marks = ("_SUCCESS", "_spark_metadata", "_delta_log", "batch_id=*/_SUCCESS")
+    if pattern_exists(spark, f"{path.rstrip('/')}/{MANIFEST}/*"):
+        return not read_batches(spark, path).isEmpty()
+    marks = ("_SUCCESS", "_spark_metadata", "_delta_log")
     if not any(pattern_exists(spark, f"{path.rstrip('/')}/{m}") for m in marks):
         return False
     return not spark.read.format(fmt).load(path).isEmpty()

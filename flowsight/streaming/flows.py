@@ -19,9 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.parsing import clock_label, event_time
 from ..operators.clean import cast_flows, fill_defaults
-from ..operators.features import STREAM_FEATURE_COLUMNS, select_features, stream_features
+from ..operators.features import STAT_COLUMNS, STREAM_FEATURE_COLUMNS, select_features, stream_features
 from ..operators.skew import TASK_ROWS, join_per_key
 from ..schema import CORRUPT, FLOW_KEY, STREAM_ALIASES, canonicalize
+from ..sources.batches import batch_folder, commit, is_committed
 from ..sources.scratch import hadoop_path
 
 SPIKE_FROM = 2.0
@@ -91,9 +92,31 @@ def enrich_stream(df: DataFrame, static: DataFrame, key: str, salts: int = 8) ->
 
 
 def enrich_batch(batch: DataFrame, static: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
-    """LEFT join of a micro-batch, or any table, with one row per key; keys are spread by their rows in this batch."""
+    """LEFT join of a micro-batch, or any table, with one row per key; keys are spread by their rows in this batch.
+
+    Also keys that ``static`` lacks are spread; they get nulls.
+    """
     counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_flows"))
-    return join_per_key(batch, counts.join(static, key), key, "_flows", task_rows)
+    return join_per_key(batch, counts.join(static, key, "left"), key, "_flows", task_rows)
+
+
+@dataclass(frozen=True)
+class Enrichment:
+    """A table with one row per key whose columns every flow of a job gets, such as the owners of addresses."""
+
+    static: DataFrame
+    key: str = "src_ip"
+    task_rows: int = TASK_ROWS
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(c for c in self.static.columns if c != self.key)
+
+    def apply(self, batch: DataFrame) -> DataFrame:
+        clash = sorted({c.lower() for c in self.columns} & {c.lower() for c in (*batch.columns, *STREAM_FEATURE_COLUMNS, *STAT_COLUMNS)})
+        if clash:
+            raise ValueError(f"enrichment columns already belong to the flows: {', '.join(clash)}")
+        return enrich_batch(batch, self.static, self.key, self.task_rows)
 
 
 def high_spike(df: DataFrame, threshold: float = SPIKE_FROM) -> DataFrame:
@@ -184,24 +207,35 @@ def write_stream_features(df: DataFrame, path: str, options: StreamOptions, fmt:
     return options.apply(df.writeStream.format(fmt).outputMode("append").option("path", path)).start()
 
 
-def _write_batch(path: str, reports: str, transform: Callable[[DataFrame], DataFrame], quarantine: str | None = None):
+def _write_batch(
+    path: str, reports: str, transform: Callable[[DataFrame], DataFrame], quarantine: str | None = None,
+    enrichment: Enrichment | None = None,
+):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folder = f"{path.rstrip('/')}/batch_id={batch_id}"
+        owner = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        if is_committed(spark, path, batch_id, owner):
+            return
+        folder = batch_folder(path, batch_id)
+        columns = STREAM_FEATURE_COLUMNS
         rows = batch.persist()
         try:
-            if quarantine is not None:
+            if quarantine is not None and not is_committed(spark, quarantine, batch_id, owner):
                 rejected = corrupt_rows(rows).withColumn("quarantined_at", F.current_timestamp())
-                rejected.write.mode("overwrite").parquet(f"{quarantine.rstrip('/')}/batch_id={batch_id}")
+                rejected.write.mode("overwrite").parquet(batch_folder(quarantine, batch_id))
+                commit(spark, quarantine, batch_id, owner)
             clean = rows if quarantine is None else clean_stream(rows)
-            features = select_features(transform(clean), STREAM_FEATURE_COLUMNS)
+            if enrichment is not None:
+                clean, columns = enrichment.apply(clean), (*columns, *enrichment.columns)
+            features = select_features(transform(clean), columns)
             features.withColumn("processed_at", F.current_timestamp()).write.mode("overwrite").parquet(folder)
         finally:
             rows.unpersist()
         report = stream_batch_metrics(spark.read.parquet(folder)).select(
             F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("generated_at"), "records", "high_spike_rows"
         )
-        report.coalesce(1).write.mode("overwrite").json(f"{reports.rstrip('/')}/batch_id={batch_id}")
+        report.coalesce(1).write.mode("overwrite").json(batch_folder(reports, batch_id))
+        commit(spark, path, batch_id, owner)
 
     return write
 
@@ -209,15 +243,18 @@ def _write_batch(path: str, reports: str, transform: Callable[[DataFrame], DataF
 def start_feature_stream(
     df: DataFrame, path: str, reports: str, options: StreamOptions,
     transform: Callable[[DataFrame], DataFrame] = stream_features, quarantine: str | None = None,
+    enrichment: Enrichment | None = None,
 ) -> StreamingQuery:
     """Features and metrics of every micro-batch of clean flows, in one query.
 
-    With a ``quarantine`` folder ``df`` holds raw flows: each batch is cleaned here, and its corrupt rows are kept there.
+    With a ``quarantine`` folder ``df`` holds raw flows: each batch is cleaned here, and its corrupt rows are kept there. With an
+    ``enrichment`` the features carry its columns.
 
-    Each batch goes to a folder of its own number and replaces it when replayed after a failure, so
-    every row is in the table exactly once. The metrics read the written batch, not the source again.
+    Each batch goes to a folder of its own number, is written again if a failure comes before its commit, and left alone
+    after it, so every row is in the table exactly once. ``sources.batches.read_batches`` reads committed batches only. The
+    metrics read the written batch, not the source again.
     """
-    return options.apply(df.writeStream.foreachBatch(_write_batch(path, reports, transform, quarantine))).start()
+    return options.apply(df.writeStream.foreachBatch(_write_batch(path, reports, transform, quarantine, enrichment))).start()
 
 
 @dataclass(frozen=True)

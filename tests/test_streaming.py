@@ -2,7 +2,9 @@ import pytest
 from flow_rows import FLOW_DDL, flow
 
 from flowsight.operators.features import STREAM_FEATURE_COLUMNS, select_features, stream_features
+from flowsight.operators.logs import table_ready
 from flowsight.schema import FLOW_SCHEMA, STREAM_SCHEMA
+from flowsight.sources.batches import committed_batches, read_batches
 from flowsight.streaming import flows as st
 
 
@@ -54,6 +56,73 @@ def test_replayed_batch_replaces_its_folder(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 1
 
 
+def test_readers_see_a_batch_whole_or_not_at_all(spark, tmp_path):
+    out, reports = str(tmp_path / "o"), str(tmp_path / "r")
+    seen = []
+
+    def reading(df):
+        seen.append((committed_batches(spark, out), read_batches(spark, out).count(), table_ready(spark, out)))
+        return stream_features(df)
+
+    batch = st.clean_stream(spark.createDataFrame(rows(0, 4), FLOW_DDL))
+
+    def failing(df):
+        reading(df).write.parquet(st.batch_folder(out, 8))  # half a batch, as a run that died leaves it
+        raise RuntimeError("lost")
+
+    st._write_batch(out, reports, reading)(batch, 7)
+    with pytest.raises(RuntimeError, match="lost"):
+        st._write_batch(out, reports, failing)(batch, 8)
+    assert (committed_batches(spark, out), read_batches(spark, out).count()) == ([7], 4)
+    st._write_batch(out, reports, reading)(batch, 8)
+    st._write_batch(out, reports, failing)(batch, 8)  # committed: not touched again
+    assert seen == [([], 0, False), ([7], 4, True), ([7], 4, True)]
+    assert committed_batches(spark, out) == [7, 8] and read_batches(spark, out).groupBy("batch_id").count().count() == 2
+    assert read_batches(spark, out).count() == 8 and table_ready(spark, out)
+
+
+def test_a_new_checkpoint_does_not_take_over_batches(spark, tmp_path, options):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    put(spark, source, rows(0, 3))
+    for k in range(2):
+        stream = st.clean_stream(st.stream_flows(spark, str(source), FLOW_SCHEMA))
+        st.run_bounded(st.start_feature_stream(stream, out, str(tmp_path / "rep"), options), options)  # same checkpoint: nothing new
+    other = st.StreamOptions(str(tmp_path / "other"), trigger_seconds=None)
+    stream = st.clean_stream(st.stream_flows(spark, str(source), FLOW_SCHEMA))
+    with pytest.raises(Exception, match="another query or checkpoint"):
+        st.run_bounded(st.start_feature_stream(stream, out, str(tmp_path / "rep"), other), other)
+    assert read_batches(spark, out).count() == 3
+
+
+def test_job_enriches_and_spreads_hot_keys(spark, tmp_path, options):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    put(spark, source, rows(0, 40) + rows(0, 30, ip="nobody") + rows(0, 2, ip="b") + rows(0, 5, ip=None))
+    owners = spark.createDataFrame([("a", "alice"), ("b", "bob")], "src_ip string, owner string")
+    stream = st.stream_flows(spark, str(source), FLOW_SCHEMA)
+    query = st.start_feature_stream(
+        stream, out, str(tmp_path / "rep"), options, quarantine=str(tmp_path / "q"), enrichment=st.Enrichment(owners, task_rows=5)
+    )
+    st.run_bounded(query, options)
+    got = read_batches(spark, out).groupBy("src_ip", "owner").count().collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(
+        map(str, [("a", "alice", 40), ("b", "bob", 2), ("nobody", None, 30), ("UNKNOWN_SRC", None, 5)])
+    )
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        flows = spark.createDataFrame(rows(0, 40) + rows(0, 30, ip="nobody") + rows(0, 4, ip="b"), FLOW_DDL)
+        placed = st.enrich_batch(flows, owners, "src_ip", 5).selectExpr("src_ip", "spark_partition_id() AS task").distinct()
+        tasks = {r["src_ip"]: r["count"] for r in placed.groupBy("src_ip").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks["a"] > 1 and tasks["nobody"] > 1 and tasks["b"] == 1
+    with pytest.raises(ValueError, match="port"):
+        st.Enrichment(spark.createDataFrame([("a", 1)], "src_ip string, Port int")).apply(flows)
+
+
 def test_windows_close_and_late_rows_are_dropped(spark, tmp_path, options):
     source, out = tmp_path / "in", str(tmp_path / "out")
     for part in (rows(0, 4, minute=1), rows(0, 2, minute=40), rows(5, 3, minute=2), rows(0, 1, minute=59)):
