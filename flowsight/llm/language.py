@@ -10,6 +10,9 @@ Labelled text is a hash-chosen sample of ``CHARS`` characters of the distinct li
 shorter, and less where there are so many languages that all automata together would have more than ``STATES`` states; it is all a task is sent, and each
 Python worker builds the automata once. All whole texts are parsed, many side by side, one character a step.
 
+The steps of the ``DENSE_LETTERS`` most frequent letters lie in a table; scripts with more letters have theirs in a sorted list beside
+it, so every letter of the labelled text tells languages apart.
+
 Before parsing letters are lower-cased and runs of anything else become one blank. Texts that are null or have no
 letter are ``und`` with score 0. Equal entropies: the first language in order of name. With no labelled text
 everything is ``und``. A null lang labels nothing. Repeated rows are judged each by itself.
@@ -31,12 +34,13 @@ from .common import map_arrow, pooled
 
 CHARS = 40_000
 STATES = 400_000
-MOST_LETTERS = 96
+DENSE_LETTERS = 96  # with a column of the table each; the steps of all others are searched for
 _CANDIDATES = 4
 POOL_BYTES = 24 << 20
 _STEPS = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _BREAK = np.uint32(1 << 31)
+_POINTS = 0x110000
 
 
 def _codes(text: str, classes: np.ndarray) -> np.ndarray:
@@ -48,20 +52,20 @@ def _codes(text: str, classes: np.ndarray) -> np.ndarray:
     return codes[keep] if len(codes) else codes
 
 
-def letter_classes(texts: list[str]) -> tuple[np.ndarray, int]:
-    """(class of each code point, number of classes): 0 blank, 1 unknown letter, then the most frequent letters."""
+def letter_classes(texts: list[str]) -> tuple[np.ndarray, int, int]:
+    """(class of each code point, common letters, rarer letters).
+
+    Classes are 0 blank, 1 a letter that no text has, then the ``DENSE_LETTERS`` most frequent letters, one class that stands for
+    nothing, and all others.
+    """
     points = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), "<u4")
     values, counts = np.unique(points, return_counts=True)
-    letters = [v for _, v in sorted(zip(-counts, values, strict=True)) if chr(v).isalpha()][:MOST_LETTERS]
-    classes = np.zeros(0x30000, np.uint8)
-    for start in range(0, len(classes), 0x10000):  # every other letter is unknown, everything else a blank
-        block = [1 if chr(p).isalpha() else 0 for p in range(start, start + 0x10000)]
-        classes[start : start + 0x10000] = block
-    classes[-1] = 1
+    letters = [int(v) for _, v in sorted(zip(-counts, values, strict=True)) if chr(v).isalpha()]
+    common = min(len(letters), DENSE_LETTERS)
+    classes = np.fromiter((chr(p).isalpha() for p in range(_POINTS)), np.min_scalar_type(len(letters) + 3), _POINTS)
     for k, v in enumerate(letters):
-        if v < len(classes):
-            classes[v] = k + 2
-    return classes, len(letters) + 2
+        classes[v] = k + 2 + (k >= common)
+    return classes, common, len(letters) - common
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -100,30 +104,50 @@ class Parser:
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
-        self.classes, n = letter_classes([text for _, text in samples])
-        self.pad = n  # a class that changes nothing
-        width = n + 1
+        self.classes, common, self.rare = letter_classes([text for _, text in samples])
+        self.pad = common + 2  # a class that changes nothing
+        self.width = self.pad + 1
         tables, offset, roots, lengths = [], 0, [], []
+        rare_roots, rare_steps = [], {}
         for _, text in samples:
             codes = _codes(text, self.classes).tolist()
-            codes = [c if c != 1 else 0 for c in codes]  # letters that the table doesn't know match nothing
             states = suffix_automaton(codes)
-            root = np.full(width, offset, np.uint32)  # an unknown character leads back to the root
+            root = np.full(self.width + self.rare, offset, np.uint32)  # an unknown character leads back to the root
             for c, to in states[0].items():
-                root[c] = offset + to * width
-            table = np.tile(root | _BREAK, (len(states), 1))
+                root[c] = offset + to * self.width
+            table = np.tile(root[: self.width] | _BREAK, (len(states), 1))
             for state, steps in enumerate(states):
                 if state:
                     for c, to in steps.items():
-                        table[state, c] = offset + to * width
-            table[:, self.pad] = offset + np.arange(len(states)) * width
+                        if c < self.width:
+                            table[state, c] = offset + to * self.width
+                        else:
+                            rare_steps[(offset // self.width + state) * self.rare + c - self.width] = offset + to * self.width
+            table[:, self.pad] = offset + np.arange(len(states)) * self.width
             tables.append(table.ravel())
             roots.append(offset)
+            rare_roots.append(root[self.width :] | _BREAK)
             lengths.append(max(len(codes), 2))
             offset += table.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.uint32)
         self.roots = np.array(roots, np.uint32)
         self.bits = np.log2(np.array(lengths, float))
+        self.rare_roots = np.array(rare_roots, np.uint32)
+        self.rare_keys = np.array(sorted(rare_steps), np.int64)
+        self.rare_next = np.array([rare_steps[k] for k in self.rare_keys.tolist()], np.uint32)
+
+    def _step(self, now: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states, one row per language, where some letters are not among the common ones."""
+        rare = codes >= self.width
+        out = self.table[now + np.where(rare, np.uint32(1), codes)]
+        letters = codes[rare].astype(np.int64) - self.width
+        start = self.rare_roots[:, letters]
+        if len(self.rare_keys):
+            keys = (now[:, rare] // self.width).astype(np.int64) * self.rare + letters
+            at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+            start = np.where(self.rare_keys[at] == keys, self.rare_next[at], start)
+        out[:, rare] = start
+        return out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases, one row per text and one column per language."""
@@ -139,11 +163,12 @@ class Parser:
         for at in range(0, int(sizes.max()), _STEPS):
             live = int(np.searchsorted(-sizes[order], -at, side="left"))
             index = starts[:live] + at + np.arange(_STEPS)[:, None]
-            block = np.where(index < ends[:live], flat[np.minimum(index, len(flat) - 1)], np.uint8(self.pad)).astype(np.uint32)
+            block = np.where(index < ends[:live], flat[np.minimum(index, len(flat) - 1)], flat.dtype.type(self.pad)).astype(np.uint32)
+            rare = self.rare and block.max(axis=1, initial=0) >= self.width
             now = np.ascontiguousarray(state[:, :live])
             seen = np.zeros(now.shape, np.uint32)
-            for codes in block[: int(min(_STEPS, sizes.max() - at))]:
-                now = self.table[now + codes]
+            for k, codes in enumerate(block[: int(min(_STEPS, sizes.max() - at))]):
+                now = self._step(now, codes) if self.rare and rare[k] else self.table[now + codes]
                 seen += now >> np.uint32(31)
                 now &= ~_BREAK
             state[:, :live] = now

@@ -23,6 +23,32 @@ def test_phrases_match_brute_force():
         assert [int(x) for x in found[:, k]] == [g.brute_phrases(c.tolist(), trained) for c in codes]
 
 
+def test_scripts_with_thousands_of_letters_match_brute_force():
+    rng = np.random.default_rng(5)
+    letters = [chr(p) for p in [*range(0x4E00, 0x4F80), *range(0x20000, 0x20040), *range(0x30000, 0x30040)]]
+    write = lambda n, shift: "".join(letters[int(k + shift) % len(letters)] for k in rng.zipf(1.2, n) % 400)
+    samples = (("aa", write(500, 0)), ("bb", write(500, 150)), ("cc", prose(rng, "aa", 40)))
+    parser = g.Parser(samples)
+    assert parser.rare > 100
+    texts = [samples[0][1][100:180], write(300, 150), write(50, 0) + " katu " + chr(0x5F00), prose(rng, "aa", 30), "", chr(0x9000) * 3]
+    codes = [g._codes(t, parser.classes) for t in texts]
+    found = parser.phrases(codes)
+    for k, (_, sample) in enumerate(samples):
+        trained = g._codes(sample, parser.classes).tolist()
+        assert [int(x) for x in found[:, k]] == [g.brute_phrases(c.tolist(), trained) for c in codes]
+
+
+def test_languages_that_share_a_large_script_are_told_apart(make_docs):
+    rng = np.random.default_rng(6)
+    common = [chr(0x4E00 + k) for k in range(300)]
+    pairs = {lang: rng.permutation(300) for lang in ("ja", "zh")}  # the same letters, each with its own followers
+    write = lambda lang, n: "".join(common[k] + common[pairs[lang][k]] for k in rng.integers(0, 300, n))
+    train = make_docs([(k, write(lang, 300), lang, "s") for k in range(10) for lang in pairs])
+    test = [(k, write(lang, 20), lang, "s") for k, lang in enumerate(["ja", "zh"] * 15)]
+    found = {r.doc_id: r.lang_pred for r in g.identify(make_docs(test), train).collect()}
+    assert all(found[k] == lang for k, _, lang, _ in test)
+
+
 def test_held_out_accuracy_and_undetermined(make_docs):
     rng = np.random.default_rng(2)
     docs = [(k, prose(rng, lang, int(rng.integers(4, 60))) * int(rng.integers(1, 4)), lang, "s") for k in range(60) for lang in WORDS]
