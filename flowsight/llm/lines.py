@@ -1,16 +1,17 @@
 """Substring dedup by line hashing.
 
 A unit is a line of a text; its digest is the md5 of the line with letters lower-cased and blanks collapsed. Units
-with at least ``least_words`` words are grouped by digest over the whole corpus; the earliest ranked occurrence, by
-(doc_id, start), stays and every other one is removed. Offsets of removed units are kept as code points of the
+with at least ``least_words`` words, by default every line with a word, are grouped by digest over the whole corpus; the
+earliest ranked occurrence, by (doc_id, start), stays and every other one is removed. Offsets of removed units are kept as code points of the
 original text; the newline that ends a unit goes with it.
 
 The digests of repeated units are found by an aggregate with partial sums and written down before they are joined
 back, so both sides of that join are plain exchanges and a very frequent line is split over tasks.
 
-Null texts have no units and stay null; empty texts stay empty. Of rows that share a doc_id and a text the units rank
-equal and stay in all of them; rows that share a doc_id with different texts are not told apart when removed spans
-are applied, so ids should be unique.
+Null texts have no units and stay null; empty texts stay empty, and an empty table gives an empty one. A row is known by its
+doc_id and a hash of its text: of rows that share both the units rank equal and stay in all of them, rows that share a doc_id
+with different texts are documents of their own, ranked by that hash, and a null doc_id ranks first. Very long texts are split in
+one pass and give their units in batches. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from ..sources.scratch import staged
 from .common import byte_texts, map_arrow
 
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 
-_UNITS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())])
+_UNITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())])
 _BATCH = 50_000
 
 
@@ -42,8 +43,14 @@ def line_units(text: bytes, least_words: int) -> Iterator[tuple[int, int, bytes]
         at = end
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``text_key``, which tells texts of one doc_id apart."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.withColumn("text_key", F.xxhash64("text"))
+
+
 def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, stop, digest of the units that are compared."""
+    """doc_id, text_key, start, stop, digest of the units that are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -52,32 +59,32 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
         rows: list[tuple] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            for doc_id, key, text in zip(ids, keys, byte_texts(batch.column("text")), strict=True):
                 for unit in line_units(text, least_words):
-                    rows.append((doc_id, *unit))
+                    rows.append((doc_id, key, *unit))
                     if len(rows) >= _BATCH:
                         yield out()
                         rows = []
         if rows:
             yield out()
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(texts, run, "doc_id long, start long, stop long, digest binary")
+    return map_arrow(keyed(docs), run, "doc_id long, text_key long, start long, stop long, digest binary")
 
 
 def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, stop of every unit that an earlier ranked one repeats."""
+    """doc_id, text_key, start, stop of every unit that an earlier ranked one repeats."""
     all_units = staged(units(docs, least_words), "units")
-    rank = F.struct("doc_id", "start")
+    rank = F.struct("doc_id", "text_key", "start")
     repeated = all_units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last")
     first = staged(repeated.select("digest", "first"), "repeated-units")
-    return all_units.join(first, "digest").where(rank > F.col("first")).select("doc_id", "start", "stop")
+    return all_units.join(first, "digest").where(rank > F.col("first")).select("doc_id", "text_key", "start", "stop")
 
 
 def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id and ``spans``, the removed (start, stop) ranges in order; only documents that lose something."""
+    """doc_id, text_key and ``spans``, the removed (start, stop) ranges in order; only documents that lose something."""
     gone = repeated_units(docs, least_words).distinct()
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +103,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, ``text`` without the repeated units, and the removed ``spans``, for every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = removals(docs, least_words).withColumnRenamed("doc_id", "_gone")
-    joined = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left")
+    gone = removals(docs, least_words).withColumnsRenamed({"doc_id": "_gone", "text_key": "_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("text_key") == F.col("_key"))
+    joined = keyed(docs).join(gone, same, "left")
     spans = F.coalesce("spans", F.expr("CAST(array() AS array<struct<start: bigint, stop: bigint>>)")).alias("spans")
     return map_arrow(joined.select("doc_id", "text", spans), _cut, "doc_id long, text string, spans array<struct<start: long, stop: long>>")
 
@@ -113,7 +120,7 @@ WITH split AS (
 ), unit AS (
   SELECT doc_id, start, start + length(line) + CASE WHEN k < n THEN 1 ELSE 0 END AS stop,
     lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS norm
-  FROM line WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5
+  FROM line WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 1
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS nth FROM unit
 ), gone AS (

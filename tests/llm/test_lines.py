@@ -3,7 +3,7 @@ from __future__ import annotations
 from flowsight.llm import lines
 
 
-def brute(docs, least=5):
+def brute(docs, least=1):
     seen, out = {}, []
     for k, (doc_id, text) in enumerate(docs):
         parts = (text or "").split("\n")
@@ -29,6 +29,8 @@ def test_matches_brute_force(make_docs):
     ]
     found = sorted((r.doc_id, r.text, [(s.start, s.stop) for s in r.spans]) for r in lines.dedup_lines(make_docs(docs)).collect())
     assert found == brute(docs)
+    found = sorted((r.doc_id, r.text, [(s.start, s.stop) for s in r.spans]) for r in lines.dedup_lines(make_docs(docs), 5).collect())
+    assert found == brute(docs, 5)
 
 
 def test_offsets_point_into_the_original(make_docs):
@@ -42,3 +44,11 @@ def test_repeated_rows_and_empty_table(make_docs):
     docs = [(1, "one two three four five"), (1, "one two three four five")]
     assert [r.text for r in lines.dedup_lines(make_docs(docs)).collect()] == ["one two three four five"] * 2
     assert lines.dedup_lines(make_docs(docs).limit(0)).collect() == []
+
+
+def test_texts_that_share_an_id_keep_their_own_lines(make_docs):
+    line, other = "one two three four five", "a text with no line that comes again, of some length"
+    docs = [(1, f"{line}\nfirst"), (2, f"{line}\nsecond"), (2, other), (None, f"{line}\nx"), (None, other.upper() + " twice")]
+    found = sorted((r.text, [(s.start, s.stop) for s in r.spans]) for r in lines.dedup_lines(make_docs(docs)).collect())
+    gone = [(0, len(line) + 1)]
+    assert found == sorted([("first", gone), ("second", gone), (other, []), (f"{line}\nx", []), (other.upper() + " twice", [])])
