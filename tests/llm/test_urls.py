@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 from flowsight.llm import urls
+from pyspark.sql import functions as F
 
 PAGES = "page_id long, url string, score string, rule string"
 
@@ -52,3 +53,30 @@ def test_one_verdict_or_none(spark):
     assert urls.judge(pages, none).first().verdict == "allow"
     assert urls.judge(pages, spark.createDataFrame([("a", "/", 1.0)], none.schema)).first().verdict == "block"
     assert urls.judge(pages.limit(0)).collect() == []
+
+
+def test_labelled_table_is_balanced_over_domains_and_forms(spark):
+    rows = urls.labelled_urls(spark).collect()
+    assert len(rows) == len(set(rows)) == 18 * (len(urls.ALLOWED_WORDS) + len(urls.BLOCKED_WORDS))
+    for domain in urls.DOMAINS:
+        own = [r.label for r in rows if r.host.endswith(f".{domain}")]
+        assert len(own) == len(rows) / 3 and sum(own) == 6 * len(urls.BLOCKED_WORDS)
+
+
+def test_held_out_accuracy_on_the_labelled_table(spark):
+    table = urls.labelled_urls(spark).withColumn("part", F.pmod(F.xxhash64("host", "path"), F.lit(5))).cache()
+    model = urls.train(table.where("part <> 0"))
+    held = model.transform(urls.with_grams(table.where("part = 0"))).select("label", "prediction").collect()
+    assert len(held) > 400
+    for label in (0.0, 1.0):
+        own = [r.prediction == label for r in held if r.label == label]
+        assert sum(own) >= 0.95 * len(own)
+
+
+def test_pages_of_any_domain_are_judged_by_their_words(spark, sf_dir):
+    spam = re.compile("casino|bets|pills|poker|porn|loan")
+    judged = [r for r in urls.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect() if r.rule is None]
+    for block in (True, False):
+        own = [(r.verdict == "block") == block for r in judged if bool(spam.search(r.host + r.path)) == block]
+        assert sum(own) >= 0.95 * len(own), (block, len(own), sum(own))
+    assert {r.host.rsplit(".", 1)[-1] for r in judged} >= {"net", "org"}
