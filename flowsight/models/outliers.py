@@ -37,6 +37,7 @@ SCORES = ("isolation_score", "kernel_score", "autoencoder_error")
 NODE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, depth double"
 HASH_SPAN = float(2**63)
 OVERSAMPLE = 2.0
+BLOCK_ROWS = 2048  # rows that are scored at a time
 
 
 @dataclass(frozen=True)
@@ -183,27 +184,52 @@ def fit_detectors(
         )
 
 
+def _complete(trees: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature and cut of every inner node, a row a tree, and the depths that its lowest nodes stand for.
+
+    Leaves above the lowest level are continued down to it, which adds no more nodes than a tree's limit allows. The children
+    of node i are then 2 i + 1 and 2 i + 2, so a step down needs no list of children and no test whether a row has arrived.
+    """
+    feature, cut, low, high, depth = trees
+    tree, node = np.arange(len(feature))[:, None], np.zeros((len(feature), 1), dtype=int)
+    features, cuts = [np.zeros((len(feature), 0), dtype=int)], [np.zeros((len(feature), 0))]
+    while (feature[tree, node] >= 0).any():
+        leaf = feature[tree, node] < 0
+        features.append(np.where(leaf, 0, feature[tree, node]))
+        cuts.append(np.where(leaf, np.inf, cut[tree, node]))
+        node = np.stack([low[tree, node], high[tree, node]], axis=2).reshape(len(feature), -1)
+    return np.concatenate(features, axis=1), np.concatenate(cuts, axis=1), depth[tree, node]
+
+
+def _depths(raw: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Sum over the trees of the depth that each row reaches."""
+    values, lines, reached = raw.ravel(), np.arange(len(raw)) * raw.shape[1], np.zeros(len(raw))
+    inner = feature.shape[1]
+    for t in range(len(feature)):
+        node = np.zeros(len(raw), dtype=int)
+        for _ in range(inner.bit_length()):
+            high = ~(values.take(lines + feature[t].take(node)) <= cut[t].take(node))
+            node += node
+            node += 1
+            node += high
+        reached += depth[t].take(node - inner)
+    return reached
+
+
 def _scorer(d: Detectors):
     layers = layers_of(d.network, d.layers)
+    trees = _complete(d.trees)
 
-    def score(raw: np.ndarray) -> pd.DataFrame:
-        feature, cut, low, high, depth = d.trees
+    def block(raw: np.ndarray) -> np.ndarray:
         x = (raw - d.mean) / d.scale
-        lines = np.arange(len(raw))
-        reached = np.zeros(len(raw))
-        for t in range(feature.shape[0]):
-            node = np.zeros(len(raw), dtype=np.int32)
-            while True:
-                f = feature[t, node]
-                if (f < 0).all():
-                    break
-                # leaves point to themselves, so rows that have arrived stay put
-                node = np.where(raw[lines, np.maximum(f, 0)] <= cut[t, node], low[t, node], high[t, node])
-            reached += depth[t, node]
-        isolation = np.exp2(-reached / feature.shape[0] / d.tree_norm)
+        isolation = np.exp2(-_depths(raw, *trees) / len(trees[0]) / d.tree_norm)
         kernel = d.rho - features_of(x, d.directions, d.phases) @ d.boundary
-        error = reconstruction_errors(x, layers)
-        return pd.DataFrame(dict(zip(SCORES, (isolation, kernel, error))))
+        return np.column_stack((isolation, kernel, reconstruction_errors(x, layers)))
+
+    def score(raw: np.ndarray) -> pd.DataFrame:
+        raw = np.ascontiguousarray(raw)
+        parts = [block(raw[at : at + BLOCK_ROWS]) for at in range(0, len(raw), BLOCK_ROWS)]
+        return pd.DataFrame(np.concatenate([np.zeros((0, len(SCORES))), *parts]), columns=list(SCORES))
 
     return score
 

@@ -102,3 +102,10 @@ def test_fit_does_not_depend_on_the_split(spark):
         assert np.allclose(fits[0].boundary, other.boundary, atol=1e-9)
         assert np.allclose(fits[0].network, other.network, atol=1e-7)
         assert fits[0].rho == pytest.approx(other.rho, abs=1e-9)
+
+
+def test_quick_features_equal_the_exact_ones():
+    rng = np.random.default_rng(6)
+    x, directions, phases = rng.normal(size=(100, 4)) * 50, rng.normal(size=(4, 16)), rng.uniform(0, 6, 16)
+    quick = descents.quick_features_of(x, directions / (2 * np.pi), phases / (2 * np.pi))
+    assert np.allclose(quick, descents.features_of(x, directions, phases), atol=1e-6, rtol=0)
