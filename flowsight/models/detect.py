@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -29,6 +30,7 @@ from .supervised import (
 )
 
 RULE_LABEL = "threat_type_rule"
+FIT_TASK_ROWS = 5_000  # rows of a bounded training set that one task takes
 PREDICTION_COLUMNS = (
     "timestamp",
     "src_ip",
@@ -54,11 +56,15 @@ def fit_models(vectors: DataFrame, settings: Settings) -> tuple[Forest, Boosted]
     """Both classifiers. Each learner bins its input once and caches that, so nothing is cached here.
 
     All rows are used unless ``fit_rows`` asks for a stratified sample of about so many, which holds rows of every label;
-    scoring always covers every row.
+    scoring always covers every row. The sample is written in parts of ``FIT_TASK_ROWS``: a fit is thousands of short jobs, and
+    on the table's own partitions each of them would have as many tasks, and results for the driver, as the table.
     """
     training = vectors
     if settings.fit_rows is not None:
-        training = stratified(vectors, RULE_LABEL, FLOW_KEY, settings.fit_rows, settings)
+        drawn = stratified(vectors, RULE_LABEL, FLOW_KEY, settings.fit_rows, settings)
+        parts = math.ceil(settings.fit_rows / FIT_TASK_ROWS)
+        drawn = drawn.repartition(parts, *FLOW_KEY).sortWithinPartitions(*FLOW_KEY)
+        training = staged(drawn.select(VECTOR, RULE_LABEL, WEIGHT), "fit-rows")
     training = training.select(VECTOR, RULE_LABEL, *[WEIGHT] * (WEIGHT in training.columns))
     return fit_forest(training, RULE_LABEL, settings), fit_boosted(training, RULE_LABEL, settings)
 

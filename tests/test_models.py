@@ -3,6 +3,7 @@ import sys
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector
@@ -127,3 +128,34 @@ def test_task_functions_load_without_the_package(tmp_path):
     code = f"import pickle; g, s = pickle.load(open({str(blob)!r}, 'rb')); import numpy as np; print(len(s(np.ones((3, 1)))))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert done.stdout.strip() == "3", done.stderr
+
+
+def test_a_bounded_fit_has_as_few_tasks_on_a_table_of_many_parts(labeled, monkeypatch):
+    parts = []
+    monkeypatch.setattr(detect, "fit_forest", lambda df, *_: parts.append(df.rdd.getNumPartitions()))
+    monkeypatch.setattr(detect, "fit_boosted", lambda df, *_: parts.append(df.count()))
+    detect.fit_models(supervised.assemble(labeled.repartition(40)), replace(QUICK, fit_rows=9000))
+    assert parts == [2, 1000]
+
+
+def test_completed_trees_reach_the_same_depths():
+    rng = np.random.default_rng(2)
+    raw = rng.normal(size=(700, 3))
+    raw[5, 1] = np.nan
+    grow, trees = outliers._grow(1, 6), []
+    for t in range(5):
+        chosen = np.nan_to_num(raw[rng.choice(len(raw), 64, replace=False)])
+        trees.append(grow(pd.DataFrame({"tree": t, "x": list(chosen)})))
+    packed = [np.zeros((5, max(map(len, trees))), dtype=kind) for kind in (int, float, int, int, float)]
+    for t, nodes in enumerate(trees):
+        for field, name in zip(packed, ("feature", "cut", "low", "high", "depth")):
+            field[t, : len(nodes)] = nodes[name]
+
+    def walk(row, t):
+        feature, cut, low, high, depth = (field[t] for field in packed)
+        node = 0
+        while feature[node] >= 0:
+            node = low[node] if row[feature[node]] <= cut[node] else high[node]
+        return depth[node]
+
+    assert np.allclose(outliers._depths(raw, *outliers._complete(tuple(packed))), [sum(walk(row, t) for t in range(5)) for row in raw])
