@@ -24,6 +24,7 @@ judged each by itself. Tables without base matches teach nothing: nothing is add
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -64,7 +65,7 @@ POSITIVE = {"email": ("mail: ", "write to ", "contact "), "ip": ("ip: ", "host "
 NEGATIVE = ("serial no. ", "order id ", "invoice #", "version ", "sku: ", "build ", "commit ", "clone ", "part no: ", "isbn ")
 HASHES = ("a3f", "c9d4e", "7b0fe", "e41ad")
 CONTEXT = 16
-SAMPLE_ROWS = 4_000  # base spans that the examples are made from, at most in expectation, equally many of each kind
+FIT_TASK_ROWS = 50_000  # distinct examples that one task of a fit takes
 TREES, DEPTH = 20, 4
 PRECISION = 0.98
 _BLOCK = 256
@@ -295,31 +296,33 @@ def calibrate(bins: list, precision: float) -> tuple[dict[str, float], dict[str,
     return thresholds, reached
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> Scorer | None:
-    """Trees and thresholds from the base spans of ``docs``, rows (doc_id, text); None where there are none."""
+def fit(docs: DataFrame, precision: float = PRECISION) -> Scorer | None:
+    """Trees and thresholds from all base spans of ``docs``, rows (doc_id, text); None where there are none.
+
+    Examples with the same features and label are one weighted row, and the kinds weigh alike, whatever their number.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     each = F.explode(F.concat(*(_named(k, base_matches(text, k)) for k in KINDS)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), each.alias("x"))
-    rows = rows.select("doc_id", "x.kind", "x.m.span", "x.m.before", "x.m.after", F.pmod(F.xxhash64("doc_id", "x.m.start", "x.kind"), F.lit(1_000_003)).alias("h"))
-    rows = staged(rows, "pii-base")
+    rows = staged(rows.select("doc_id", "x.kind", "x.m.span", "x.m.before", "x.m.after"), "pii-base")
     per = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     if not per:
         return None
-    chosen = [rows.where((F.col("kind") == k) & (F.col("h") < sample_rows / len(per) / n * 1_000_003)) for k, n in sorted(per.items())]
-    made = reduce(DataFrame.unionByName, [examples(some, k) for some, (k, _) in zip(chosen, sorted(per.items()), strict=True)])
+    made = reduce(DataFrame.unionByName, [examples(rows.where(F.col("kind") == k), k) for k in sorted(per)])
     made = staged(made, "pii-variants")  # written first: features of all variants are too much code for one expression
-    made = made.select("doc_id", "kind", "label", _features(F.col("kind"), F.struct("span", "before", "after")).alias("f"))
-    made = staged(made.withColumn("features", array_to_vector("f")), "pii-examples")
-    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    training = made.where(~held_out).select("features", "label")
+    held_out = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held_out")
+    made = made.select(held_out, "kind", "label", _features(F.col("kind"), F.struct("span", "before", "after")).alias("f"))
+    made = staged(made.groupBy("held_out", "kind", "label", "f").agg(F.count("*").alias("n")), "pii-examples")
+    training = made.where(~F.col("held_out"))
     if training.isEmpty():  # all base spans are of held-out documents
-        training = made.select("features", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(training.coalesce(4))
+        training = made
+    shares = F.coalesce(*(F.when(F.col("kind") == k, sum(per.values()) / (len(per) * n)) for k, n in sorted(per.items())))
+    training = training.withColumn("weight", F.col("n") * shares).repartition(math.ceil(made.count() / FIT_TASK_ROWS), "f")
+    training = staged(training.sortWithinPartitions("f", "label").select(array_to_vector("f").alias("features"), "label", "weight"), "pii-training")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, weightCol="weight").fit(training)
     sql = score_sql(model)
-    bins = made.where(held_out).groupBy("kind", "label", F.floor(F.expr(sql) * 100).alias("bin")).agg(F.count("*").alias("n")).collect()
-    if not bins:
-        bins = made.groupBy("kind", "label", F.floor(F.expr(sql) * 100).alias("bin")).agg(F.count("*").alias("n")).collect()
-    return Scorer(sql, *calibrate(bins, precision))
+    judged = made.groupBy("held_out", "kind", "label", F.floor(F.expr(sql) * 100).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    return Scorer(sql, *calibrate([r for r in judged if r.held_out] or judged, precision))
 
 
 def _added(scorer: Scorer | None) -> Column:

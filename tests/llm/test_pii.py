@@ -148,3 +148,13 @@ def test_nothing_to_learn_from(make_docs):
     docs = make_docs([(1, "call 729-555-7725"), (2, None)])
     assert pii.fit(docs) is None
     assert {r.spans for r in pii.span_report(pii.find_spans(docs)).collect()} == {""}
+
+
+def test_all_base_spans_teach(make_docs, monkeypatch):
+    judged, plain = [], pii.calibrate
+    monkeypatch.setattr(pii, "calibrate", lambda bins, precision: judged.extend(bins) or plain(bins, precision))
+    docs = make_docs([(k, f"veli write to u{k}.x@mail.org leta") for k in range(6000)])
+    assert pii.fit(docs) is not None
+    held_out = docs.where("pmod(xxhash64(doc_id), 5) = 0").count()
+    variants = len(pii.spoilt("email", F.lit("a@b.c"))) * 4
+    assert sum(r.n for r in judged) == held_out * variants
