@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, byte_texts, map_arrow
+from .common import FOLD, byte_texts, forget, map_arrow
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -168,6 +168,7 @@ def _searcher(queries: Queries, shard_words: int) -> Callable[[Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows: list[tuple] = []
         ids: list[np.ndarray] = []
         size = 0

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .common import FOLD, byte_texts, map_arrow, words
+from .common import FOLD, byte_texts, map_arrow, remembered, sliced, words
 
 SHINGLE = 5
 K = 64
@@ -55,15 +56,12 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
-
-
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
     ws = words(text.translate(FOLD))
     if not ws:
         return np.zeros(0, np.int64)
-    hashed = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+    hashed = np.fromiter(map(remembered("word hashes", WordHashes).__getitem__, ws), np.uint64, len(ws))
     width = min(shingle, len(ws))
     n = len(ws) - width + 1
     out = np.full(n, width, np.uint64)  # a short text never equals a window of a longer one
@@ -89,7 +87,7 @@ def frequent_values(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """The most frequent shingles of a hash-chosen sample of the documents, by rising frequency; at most FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             for text in byte_texts(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle), pa.int64())], ["value"])
 
@@ -121,7 +119,7 @@ def sketches(docs: DataFrame, frequent: np.ndarray, shingle: int = SHINGLE, k: i
     by_value, place = frequent[order], order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             sizes, digests, bottom, kept, firsts = [], [], [], [], []
             for text in byte_texts(batch.column("text")):
                 values = shingle_set(text, shingle)
@@ -144,7 +142,7 @@ def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and its full shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             values = _longs([shingle_set(text, shingle) for text in byte_texts(batch.column("text"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "shingles"])
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .common import byte_texts, map_arrow, ship, words
+from .common import byte_texts, map_arrow, remembered, ship, sliced, words
 
 WINDOW = 4096
 END_ID = 1
@@ -75,9 +75,8 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return remembered(("word ids", path), lambda: WordIds(path))
 
 
 def _cutter(path: str, window: int, end_id: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,7 +85,7 @@ def _cutter(path: str, window: int, end_id: int, keep_ids: bool) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _word_ids(path), TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
                 ids = encoder.of(text) + end

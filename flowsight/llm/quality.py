@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .common import byte_texts, map_arrow, ship, words
+from .common import byte_texts, forget, map_arrow, ship, sliced, words
 
 WINDOW = 8
 PRIOR_WORDS = 60.0
@@ -112,7 +113,8 @@ _LETTERS_OR_MORE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalpha())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    forget()
+    for batch in chain.from_iterable(map(sliced, batches)):
         rows = [text_counts(t) for t in byte_texts(batch.column("text"))]
         columns = list(zip(*rows, strict=True)) or [[] for _ in _COUNTS]
         arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, _COUNTS, strict=True)]
