@@ -50,6 +50,7 @@ RATE = 0.01
 POOL_BYTES = 16 << 20
 _FLUSH = 300_000
 _BLOCK = 4096
+_ROWS, _BESIDE, _TOGETHER = 2048, 512, 8  # states, texts and classes that products are formed of at once, so that they stay in cache
 LN10 = math.log(10)
 
 
@@ -82,7 +83,8 @@ class Vocabulary:
 
     def __init__(self, known: list[tuple[bytes, int]], n: int, v: int, head: int = HEAD, classes: int = CLASSES):
         self.n, self.v = n, v
-        self.counts = dict(known)
+        self.places = {w: k for k, (w, _) in enumerate(known)}
+        self.counts = np.array([c for _, c in known], np.int64)
         top = known[:head]
         self.ids = {w: k for k, (w, _) in enumerate(top)}
         # Classes of falling size in words: each holds about the square root of a share of the mass.
@@ -91,6 +93,7 @@ class Vocabulary:
         self.class_of = np.unique(self.class_of, return_inverse=True)[1] if len(top) else self.class_of
         self.classes = int(self.class_of.max()) + 1 if len(top) else 0
         self.starts = np.searchsorted(self.class_of, np.arange(self.classes + 1))
+        self.group_of = np.append(self.class_of, self.classes).astype(np.int16)  # of every id
         self.rare = len(top)  # the id of every other word
         self.rare_n = n - sum(c for _, c in top)
         self.rare_v = v - len(top)
@@ -117,75 +120,106 @@ def first_weights(vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 5) -
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+def _unshifted(weights: np.ndarray, bias: np.ndarray, starts: np.ndarray) -> bool:
+    """Can no exponential of a product with states in (-1, 1) overflow, nor a sum over the rows from one of ``starts`` to the next vanish?"""
+    if not len(bias):
+        return True
+    reach = np.abs(weights).sum(1)
+    return bool((bias + reach).max() < 75 and np.maximum.reduceat(bias - reach, starts).min() > -75)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _logits(weights: np.ndarray, bias: np.ndarray, hidden: np.ndarray, unshifted: bool) -> np.ndarray:
+    """One column for each row of ``hidden``, so that sums over outcomes run along rows; columns are shifted if they have to be."""
+    out = weights @ hidden.T
+    out += bias[:, None]
+    if not unshifted:
+        out -= out.max(0)
+    return out
 
 
-def _class_rows(target: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each class among the targets."""
-    group = np.append(vocabulary.class_of, vocabulary.classes)[target]
+def _by_class(target: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each target, their order by class, and where each class begins in that order."""
+    group = vocabulary.group_of[target]
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(vocabulary.classes + 1))
-    for k in range(vocabulary.classes):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
-
-
-def _step(w: dict[str, np.ndarray], x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-    h = state.shape[1]
-    inner = state @ w["U"]
-    gates = _sigmoid(x[:, : 2 * h] + inner[:, : 2 * h])
-    update, reset = gates[:, :h], gates[:, h:]
-    new = np.tanh(x[:, 2 * h :] + reset * inner[:, 2 * h :])
-    return new + update * (state - new), update, reset, new, inner[:, 2 * h :]
+    return group, order, np.searchsorted(group[order], np.arange(vocabulary.classes + 1))
+
+
+def _step(inner: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next state, the gates (in place of the first rows of ``inner``) and the new values; one column for each text."""
+    h = len(state)
+    gates, given = inner[: 2 * h], inner[2 * h :]
+    gates += x[: 2 * h]
+    gates *= 0.5  # the logistic function
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    new = gates[h:] * given
+    new += x[2 * h :]
+    np.tanh(new, out=new)
+    out = state - new
+    out *= gates[:h]
+    out += new
+    return out, gates, new
 
 
 def log_likelihoods(w: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logarithms: of the class and, for frequent words, of the word in it."""
-    group = np.append(vocabulary.class_of, vocabulary.classes)[target]
-    out = _log_softmax(hidden @ w["C"] + w["cb"])[np.arange(len(target)), group].astype(np.float64)
-    for k, rows in _class_rows(target, vocabulary):
+    group, order, cuts = _by_class(target, vocabulary)
+    out = np.empty(len(target))
+    classes = np.ascontiguousarray(w["C"].T)
+    plain = _unshifted(classes, w["cb"], np.zeros(1, np.int64))
+    for at in range(0, len(target), _ROWS):
+        part = slice(at, at + _ROWS)
+        logits = _logits(classes, w["cb"], hidden[part], plain)
+        out[part] = logits[group[part], np.arange(logits.shape[1])]
+        out[part] -= np.log(np.exp(logits, out=logits).sum(0))
+    plain = _unshifted(w["O"], w["ob"], vocabulary.starts[:-1])
+    inside, mine = hidden[order[: cuts[-1]]], target[order[: cuts[-1]]]
+    more = np.zeros(cuts[-1])
+    for k in np.flatnonzero(np.diff(cuts)):
         part = slice(vocabulary.starts[k], vocabulary.starts[k + 1])
-        inside = _log_softmax(hidden[rows] @ w["O"][part].T + w["ob"][part])
-        out[rows] += inside[np.arange(len(rows)), target[rows] - part.start]
+        for at in range(cuts[k], cuts[k + 1], _ROWS):
+            rows = slice(at, min(at + _ROWS, cuts[k + 1]))
+            logits = _logits(w["O"][part], w["ob"][part], inside[rows], plain)
+            more[rows] = logits[mine[rows] - part.start, np.arange(logits.shape[1])]
+            more[rows] -= np.log(np.exp(logits, out=logits).sum(0))
+    out[order[: cuts[-1]]] += more
     return out
 
 
 def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np.ndarray], steps: int = 32) -> np.ndarray:
     """Sum of log_likelihoods over each text; the state starts at zero and is carried through the whole text."""
+    out = np.zeros(len(texts))
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    inputs = np.concatenate([w["E"] @ w["W"], np.zeros((1, w["W"].shape[1]), w["W"].dtype)]) + w["b"]  # the last: no token before the first
+    recurrent = np.ascontiguousarray(w["U"].T)
+    for at in range(0, len(texts), _BESIDE):
+        some = order[at : at + _BESIDE]
+        out[some] = _score_beside(w, vocabulary, [texts[k] for k in some], inputs, recurrent, steps)
+    return out
+
+
+def _score_beside(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np.ndarray], inputs: np.ndarray, recurrent: np.ndarray, steps: int) -> np.ndarray:
+    """Scores of texts by falling length, one token of each a step."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
     out = np.zeros(len(texts))
-    if not len(texts):
-        return out
-    flat = np.concatenate([texts[k] for k in order])
+    flat = np.concatenate([*texts, np.full(1, -1, np.int64)])
     starts = np.cumsum(sizes) - sizes
-    inputs = w["E"] @ w["W"] + w["b"]
-    h = w["U"].shape[0]
-    start = np.zeros(3 * h, np.float32) + w["b"]  # no token before the first
-    state = np.zeros((len(texts), h), np.float32)
+    h = len(recurrent) // 3
+    state = np.zeros((h, len(texts)), inputs.dtype)
     for at in range(0, int(sizes[0]), steps):
-        live = int(np.searchsorted(-sizes, -at, side="left"))
-        now = state[:live]
-        hidden, owner, target = [], [], []
-        for t in range(at, min(at + steps, int(sizes[0]))):
-            live = int(np.searchsorted(-sizes, -t, side="left"))
-            now = now[:live]
-            x = inputs[flat[starts[:live] + t - 1]] if t else np.repeat(start[None, :], live, 0)
-            now = _step(w, x, now)[0]
-            hidden.append(now)
-            owner.append(np.arange(live))
-            target.append(flat[starts[:live] + t])
-        state[:live] = now
-        owner_ = np.concatenate(owner)
-        got = log_likelihoods(w, vocabulary, np.concatenate(hidden), np.concatenate(target))
-        out[order] += np.bincount(owner_, got, minlength=len(texts))
+        times = np.arange(at, min(at + steps, int(sizes[0])))
+        lives = np.searchsorted(-sizes, -times, side="left")  # texts that are longer
+        ends = np.cumsum(lives)
+        hidden = np.empty((ends[-1], h), inputs.dtype)
+        owner, target = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int64)
+        for t, live, end in zip(times.tolist(), lives.tolist(), ends.tolist(), strict=True):
+            place = starts[:live] + t
+            x = inputs[flat[place - 1]] if t else inputs[np.full(live, -1)]
+            state = _step(recurrent @ state[:, :live], x.T, state[:, :live])[0]
+            hidden[end - live : end] = state.T
+            owner[end - live : end], target[end - live : end] = np.arange(live), flat[place]
+        out += np.bincount(owner, log_likelihoods(w, vocabulary, hidden, target), minlength=len(texts))
     return out
 
 
@@ -199,65 +233,150 @@ class Trainer:
         self.fill = 1.0  # share of a full window that the present step rests on
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.g, self.some = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+        self.spaces: dict[str, np.ndarray] = {}
+        np.empty(16 << 20, np.uint8)  # freed at once: from then on the C library keeps smaller freed blocks for the next window
+
+    def space(self, name: str, *shape: int) -> np.ndarray:
+        """An array of that shape with any values. It lies where the last one of that name lay: fresh pages in each window cost as much as the arithmetic."""
+        size = math.prod(shape)
+        if name not in self.spaces or self.spaces[name].size < size:
+            self.spaces[name] = np.empty(size, self.w["U"].dtype)
+        return self.spaces[name][:size].reshape(shape)
+
+    def outcomes(self, g: dict[str, np.ndarray], hidden: np.ndarray, target: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Adds the gradients of class and word to ``g`` and puts those of the states into ``out``. All for the sum over the rows."""
+        w, vocabulary = self.w, self.vocabulary
+        group, order, cuts = _by_class(target, vocabulary)
+        hidden, target, group = hidden[order], target[order], group[order]
+        back = np.empty_like(hidden)
+        classes = np.ascontiguousarray(w["C"].T)
+        plain = _unshifted(classes, w["cb"], np.zeros(1, np.int64))
+        for at in range(0, len(target), _ROWS):
+            rows = slice(at, at + _ROWS)
+            d = _logits(classes, w["cb"], hidden[rows], plain)
+            np.exp(d, out=d)
+            d *= 1 / d.sum(0)
+            d[group[rows], np.arange(d.shape[1])] -= 1
+            g["C"] += (d @ hidden[rows]).T
+            g["cb"] += d.sum(1)
+            np.matmul(d.T, classes, out=back[rows])
+        plain = _unshifted(w["O"], w["ob"], vocabulary.starts[:-1])
+        for low in range(0, vocabulary.classes, _TOGETHER):  # classes of about equal size, filled up to the largest
+            high = min(low + _TOGETHER, vocabulary.classes)
+            a, b, first, last = cuts[low], cuts[high], vocabulary.starts[low], vocabulary.starts[high]
+            if a == b:
+                continue
+            counts, sizes = np.diff(cuts[low : high + 1]), np.diff(vocabulary.starts[low : high + 1])
+            row_on, word_on = np.arange(counts.max()) < counts[:, None], np.arange(sizes.max()) < sizes[:, None]
+            mine, words_, bias = np.zeros((*row_on.shape, hidden.shape[1]), hidden.dtype), np.zeros((*word_on.shape, hidden.shape[1]), hidden.dtype), np.full(word_on.shape, -np.inf, hidden.dtype)
+            mine[row_on], words_[word_on], bias[word_on] = hidden[a:b], w["O"][first:last], w["ob"][first:last]
+            d = words_ @ mine.transpose(0, 2, 1)
+            d += bias[:, :, None]
+            if not plain:
+                d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d *= row_on[:, None] / d.sum(1, keepdims=True)
+            which, place = np.nonzero(row_on)
+            d[which, target[a:b] - vocabulary.starts[low + which], place] -= 1
+            g["O"][first:last] = (d @ mine)[word_on]
+            g["ob"][first:last] = d.sum(2)[word_on]
+            back[a:b] += (d.transpose(0, 2, 1) @ words_)[row_on]
+        out[order] = back
+        return out
 
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, state: np.ndarray) -> np.ndarray:
         """One step on inputs x, targets y (both time by stream, input -1: none) from ``state``; returns the next state."""
-        w, h = self.w, state.shape[1]
-        inputs = w["E"] @ w["W"] + w["b"]
-        tape, hidden = [], []
-        for t in range(len(x)):
-            given = inputs[x[t]]
-            given[x[t] < 0] = w["b"]
-            before = state
-            state, update, reset, new, inner = _step(w, given, state)
-            tape.append((before, update, reset, new, inner))
-            hidden.append(state)
-        g = {k: np.zeros_like(v) for k, v in w.items()}
-        flat, target, on = np.concatenate(hidden), y.ravel(), live.ravel()
-        n = max(int(on.sum()), 1)
-        group = np.append(self.vocabulary.class_of, self.vocabulary.classes)[target]
-        d = np.exp(_log_softmax(flat @ w["C"] + w["cb"]))
-        d[np.arange(len(target)), group] -= 1
-        d *= (on / n).astype(np.float32)[:, None]
-        g["C"], g["cb"] = flat.T @ d, d.sum(0)
-        back = d @ w["C"].T
-        for k, rows in _class_rows(np.where(on, target, self.vocabulary.rare), self.vocabulary):
-            part = slice(self.vocabulary.starts[k], self.vocabulary.starts[k + 1])
-            d = np.exp(_log_softmax(flat[rows] @ w["O"][part].T + w["ob"][part]))
-            d[np.arange(len(rows)), target[rows] - part.start] -= 1
-            d /= n
-            g["O"][part], g["ob"][part] = d.T @ flat[rows], d.sum(0)
-            back[rows] += d @ w["O"][part]
-        back = back.reshape(len(x), -1, h)
-        carried = np.zeros_like(state)
-        dxs, dis = np.empty((2, *x.shape, 3 * h), flat.dtype)
-        for t in reversed(range(len(x))):
-            before, update, reset, new, inner = tape[t]
-            dh = back[t] + carried
-            dn = dh * (1 - update) * (1 - new * new)
-            du = dh * (before - new) * update * (1 - update)
-            dr = dn * inner * reset * (1 - reset)
-            np.concatenate([du, dr, dn], 1, out=dxs[t])
-            np.concatenate([du, dr, dn * reset], 1, out=dis[t])
-            carried = dh * update + dis[t] @ w["U"].T
-        dx, given = dxs.reshape(-1, 3 * h), x.ravel()
-        g["U"], g["b"] = np.concatenate([b for b, *_ in tape]).T @ dis.reshape(-1, 3 * h), dx.sum(0)
-        dx, given = dx[given >= 0], given[given >= 0]
-        g["W"] = w["E"][given].T @ dx
-        np.add.at(g["E"], given, dx @ w["W"].T)
+        w, h, (times, streams) = self.w, state.shape[1], x.shape
+        kind = w["U"].dtype
+        embedded = self.space("embedded", times, streams, h)
+        np.take(w["E"], x, 0, out=embedded, mode="clip")
+        embedded[x < 0] = 0
+        # Gates, states and their gradients have one column for each stream.
+        given = np.matmul(w["W"].T, embedded.transpose(0, 2, 1), out=self.space("given", times, 3 * h, streams))
+        given += w["b"][:, None]
+        recurrent = np.ascontiguousarray(w["U"].T)
+        states, inner, new = self.space("states", times + 1, h, streams), self.space("inner", times, 3 * h, streams), self.space("new", times, h, streams)
+        states[0] = state.T
+        for t in range(times):
+            np.matmul(recurrent, states[t], out=inner[t])
+            states[t + 1], _, new[t] = _step(inner[t], given[t], states[t])
+        update, reset, inner = inner[:, :h], inner[:, h : 2 * h], inner[:, 2 * h :]
+        g = self.g
+        for k in g:
+            g[k].fill(0)
+        hidden = self.space("hidden", times, streams, h)
+        hidden[:] = states[1:].transpose(0, 2, 1)
+        hidden = hidden.reshape(-1, h)
+        on = np.flatnonzero(live.ravel())
+        n = max(len(on), 1)
+        rows = self.space("rows", times, streams, h)
+        if len(on) == len(hidden):
+            self.outcomes(g, hidden, y.ravel(), rows.reshape(-1, h))
+        else:
+            rows.fill(0)
+            rows.reshape(-1, h)[on] = self.outcomes(g, hidden[on], y.ravel()[on], np.empty((len(on), h), kind))
+        for k in ("C", "cb", "O", "ob"):
+            g[k] *= 1 / n
+        back = np.multiply(rows.transpose(0, 2, 1), kind.type(1 / n), out=self.space("back", times, h, streams))
+        # Factors of the gradients of new values, update, reset and reset values.
+        of_state, of_new = self.space("factors", 2, times, 2, h, streams)
+        spare = np.subtract(1, update, out=self.space("spare", times, h, streams))
+        np.subtract(states[:-1], new, out=of_state[:, 1])
+        of_state[:, 1] *= update
+        of_state[:, 1] *= spare
+        np.multiply(new, new, out=of_state[:, 0])
+        np.subtract(1, of_state[:, 0], out=of_state[:, 0])
+        of_state[:, 0] *= spare
+        np.subtract(1, reset, out=spare)
+        np.multiply(inner, reset, out=of_new[:, 0])
+        of_new[:, 0] *= spare
+        of_new[:, 1] = reset
+        d = self.space("d", times, 4, h, streams)
+        flat_d = d.reshape(times, 4 * h, streams)
+        carried = np.zeros((h, streams), kind)
+        for t in reversed(range(times)):
+            carried += back[t]
+            np.multiply(carried, of_state[t], out=d[t, :2])
+            np.multiply(d[t, 0], of_new[t], out=d[t, 2:])
+            carried *= update[t]
+            carried += w["U"] @ flat_d[t, h:]
+        g["U"][:] = np.matmul(states[:-1], flat_d[:, h:].transpose(0, 2, 1)).sum(0)
+        dx = self.space("dx", times, streams, 3 * h)
+        dx[:] = flat_d[:, : 3 * h].transpose(0, 2, 1)
+        dx = dx.reshape(-1, 3 * h)
+        turn = np.roll(np.arange(3 * h), -h)  # new values stand first in dx and last in W and b
+        g["b"][:] = (np.ones(len(dx), kind) @ dx)[turn]
+        g["W"][:] = (embedded.reshape(-1, h).T @ dx)[:, turn]
+        # Rows of one word are added up as differences of running sums, in double precision.
+        np.matmul(dx, w["W"].T[turn.argsort()], out=(rows := rows.reshape(-1, h)))
+        ids = x.ravel()
+        order = np.argsort(ids.astype(np.int16 if len(w["E"]) < 1 << 15 else np.int64), kind="stable")
+        last = np.flatnonzero(np.append(ids[order][1:] != ids[order][:-1], True))
+        sums = np.cumsum(rows[order], 0, np.float64)[last]
+        sums[1:] -= sums[:-1].copy()
+        ids = ids[order][last]
+        g["E"][ids[ids >= 0]] = sums[ids >= 0]
         self.apply(g)
-        return state
+        return states[-1].T.copy()
 
     def apply(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        rate = self.rate * self.fill * math.sqrt(1 - 0.995**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
-            x = x * scale
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.v[k] += np.float32(0.005) * (x * x - self.v[k])
-            rate = self.rate * self.fill * math.sqrt(1 - 0.995**self.t) / (1 - 0.9**self.t)
-            self.w[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+            m, v, some, kind = self.m[k], self.v[k], self.some[k], x.dtype.type
+            m *= kind(0.9)
+            m += np.multiply(x, kind(0.1 * scale), out=some)
+            x *= x
+            v *= kind(0.995)
+            v += np.multiply(x, kind(0.005 * scale * scale), out=some)
+            np.sqrt(v, out=some)
+            some += kind(1e-8)
+            np.divide(m, some, out=some)
+            some *= kind(rate)
+            self.w[k] -= some
 
     def texts(self, texts: Iterable[np.ndarray]) -> None:
         """Truncated backpropagation over whole texts; a stream that ends takes up the next text with a fresh state."""
@@ -266,27 +385,31 @@ class Trainer:
         state = np.zeros((self.streams, h), np.float32)
         now: list[np.ndarray | None] = [None] * self.streams
         at = [0] * self.streams
+        last = np.full(self.streams, -1, np.int64)
         while True:
-            x = np.full((UNROLL, self.streams), -1, np.int64)
-            y = np.zeros((UNROLL, self.streams), np.int64)
-            live = np.zeros((UNROLL, self.streams), bool)
-            for s in range(self.streams):
-                if now[s] is None:
-                    now[s], at[s] = next(waiting, None), 0
-                    state[s] = 0
-                if now[s] is not None:
-                    part = now[s][at[s] : at[s] + UNROLL]
-                    y[: len(part), s] = part
-                    live[: len(part), s] = True
-                    x[: len(part), s] = now[s][at[s] - 1 : at[s] - 1 + len(part)] if at[s] else np.concatenate([[-1], part[:-1]])
-                    at[s] += UNROLL
-                    if at[s] >= len(now[s]):
-                        now[s] = None
-            on = np.flatnonzero(live.any(0))
+            y = np.zeros((self.streams, UNROLL), np.int64)
+            sizes = [0] * self.streams
+            for s, text in enumerate(now):
+                if text is None:
+                    text = now[s] = next(waiting, None)
+                    at[s], state[s], last[s] = 0, 0, -1
+                    if text is None:
+                        continue
+                part = text[at[s] : at[s] + UNROLL]
+                sizes[s] = size = len(part)
+                y[s, :size] = part
+                at[s] += UNROLL
+                if at[s] >= len(text):
+                    now[s] = None
+            live = np.arange(UNROLL) < np.array(sizes)[:, None]
+            x = np.concatenate([last[:, None], y[:, :-1]], 1)
+            x[~live] = -1
+            last = y[:, -1].copy()
+            on = np.flatnonzero(live[:, 0])
             if not len(on):
                 return
             self.fill = live.sum() / live.size
-            state[on] = self.window(x[:, on], y[:, on], live[:, on], state[on])
+            state[on] = self.window(*(np.ascontiguousarray(a[on].T) for a in (x, y, live)), state[on])
 
 
 def pack_weights(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -353,18 +476,19 @@ _SCORED = "task int, place long, doc_id long, n_tokens long, n_known long, base
 def _scorer(vocabulary: Vocabulary, weights: dict[str, np.ndarray], pool_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, place = TaskContext.get().partitionId(), 0
-        count, ids, rare_id = vocabulary.counts, vocabulary.ids, vocabulary.rare
+        places, rare_id = vocabulary.places, vocabulary.rare
         rare_total = math.log10(max(vocabulary.rare_n + 0.5 * (vocabulary.rare_v + 1), 0.5))
         for pool in pooled(batches, pool_bytes):
             texts, rows = [], []
             for doc_id, text in zip(pool.column("doc_id").to_pylist(), byte_texts(pool.column("text").combine_chunks()), strict=True):
                 ws = tokens(text)
-                coded = np.fromiter(map(ids.get, ws, repeat(rare_id)), np.int32, len(ws))
-                found = np.fromiter(map(count.get, ws, repeat(-1)), np.int64, len(ws))
-                known, outside = found >= 0, coded == rare_id
+                place_of = np.fromiter(map(places.get, ws, repeat(-1)), np.int32, len(ws))  # the first places are the ids
+                known, outside = place_of >= 0, (place_of < 0) | (place_of >= rare_id)
+                coded = np.where(outside, np.int32(rare_id), place_of)
+                found = vocabulary.counts[place_of[known]]
                 # log10 within the last class of the words the task knows; the others follow from the join.
-                inside = np.log10(found[known & outside] + 0.5).sum() - rare_total * int(outside.sum())
-                base = vocabulary.base(found[known]).sum()
+                inside = np.log10(found[outside[known]] + 0.5).sum() - rare_total * int(outside.sum())
+                base = vocabulary.base(found).sum()
                 texts.append(coded)
                 rows.append((task, place, doc_id, len(ws), int(known.sum()), float(base), float(inside), [ws[k] for k in np.flatnonzero(~known)]))
                 place += 1

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import resource
 from collections import Counter
 
 import numpy as np
@@ -113,6 +114,44 @@ def test_texts_of_unequal_length_are_trained_on_whole(small):
     assert all(fill == n / (lm.UNROLL * lm.STREAMS) for n, fill in seen)
 
 
+def test_a_training_window_takes_no_new_pages(small):
+    """Large arrays of a window lie where those of the last one lay; fresh pages in each cost as much as the arithmetic."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, small.rare + 1, (2, lm.UNROLL, lm.STREAMS))
+    trainer = lm.Trainer(lm.first_weights(small), small)
+    step = lambda: trainer.window(x, y, np.ones_like(x, bool), np.zeros((lm.STREAMS, lm.HIDDEN), np.float32))
+    for _ in range(5):
+        step()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(20):
+        step()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 20 * 20
+
+
+def test_steps_match_plain_formulas(small):
+    """Segments of words and batches of classes give the gradients of one token at a time; large weights take the shifted way."""
+    for size in (1, 300):
+        w = {k: v.astype(np.float64) * (size if k in "CO" else 1) for k, v in lm.first_weights(small, hidden=4).items()}
+        rng = np.random.default_rng(4)
+        x, y = rng.integers(0, small.rare + 1, (2, 9, 5))
+        x[0], live = -1, rng.random((9, 5)) < 0.8
+        got, sums = {}, {}
+        trainer = lm.Trainer(w, small)
+        trainer.apply = lambda g: got.update({k: v.copy() for k, v in g.items()})  # noqa: B023
+        hidden = rng.uniform(-1, 1, (45, 4))
+        back = trainer.outcomes(sums := {k: np.zeros_like(v) for k, v in w.items()}, hidden, y.ravel(), np.empty_like(hidden))
+        one = {k: np.zeros_like(v) for k, v in w.items()}
+        for k in range(45):
+            mine = {j: np.zeros_like(v) for j, v in w.items()}
+            assert np.allclose(trainer.outcomes(mine, hidden[k : k + 1], y.ravel()[k : k + 1], np.empty((1, 4))), back[k])
+            one = {j: one[j] + mine[j] for j in one}
+        assert all(np.allclose(one[k], sums[k]) for k in one)
+        trainer.window(x, y, live, np.zeros((5, 4)))
+        assert all(np.isfinite(v).all() for v in got.values())
+        unseen = np.setdiff1d(np.arange(small.rare + 1), x)
+        assert not got["E"][unseen].any() and (size > 1 or got["E"][np.unique(x[x >= 0])].any(1).all())
+
+
 def test_empty_tables(make_docs):
     docs = make_docs([(1, "a")])
     row = lm.score_documents(docs, docs.limit(0)).first()
