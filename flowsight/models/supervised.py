@@ -1,26 +1,18 @@
-"""Random forest and boosted trees on the rule labels, fitted and scored by Spark ML."""
+"""Random forest and boosted trees on the rule labels, fitted on all rows in passes of ``trees`` and scored by its kernels."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import as_column
 from ..operators.features import MODEL_FEATURES, model_inputs
 from .settings import PRESETS, Settings
+from .trees import Trees, binned, chances_against_rest, chances_of, grow_boosted, grow_forest, label_shares_of
 
 VECTOR = "features"
 WEIGHT = "_weight"  # rows of the table that a row of a stratified sample stands for
@@ -30,13 +22,13 @@ HASH_SPAN = float(2**63)
 @dataclass(frozen=True)
 class Forest:
     labels: tuple[str, ...]
-    model: RandomForestClassificationModel | None  # None when there is one class only
+    model: Trees | None  # None when there is one class only
 
 
 @dataclass(frozen=True)
 class Boosted:
     labels: tuple[str, ...]
-    models: tuple[GBTClassificationModel, ...]  # one against the rest, per label
+    models: tuple[Trees, ...]  # one against the rest, per label
 
 
 def assemble(df: DataFrame) -> DataFrame:
@@ -91,78 +83,51 @@ def fit_forest(vectors: DataFrame, label: str, settings: Settings = PRESETS["det
     labels, total = tuple(counts), sum(counts.values())
     if len(labels) < 2:
         return Forest(labels, None)
-    index = label_index(F.coalesce(F.col(label), F.lit("normal")), labels)
-    weights = F.array(*[F.lit(total / (len(labels) * n)) for n in counts.values()])
-    drawn = F.col(WEIGHT) if WEIGHT in vectors.columns else F.lit(1.0)
-    training = vectors.select(VECTOR, index.alias("label"), drawn.alias("weight"))
-    training = training.withColumn("weight", F.col("weight") * F.get(weights, F.col("label").cast("int")))
-    learner = RandomForestClassifier(
-        featuresCol=VECTOR,
-        labelCol="label",
-        weightCol="weight",
-        numTrees=settings.forest_trees,
-        maxDepth=settings.forest_depth,
-        seed=settings.seed,
-    )
-    return Forest(labels, learner.fit(training))
+    weights = [total / (len(labels) * n) for n in counts.values()]
+    rows, limits = _binned(vectors, label, labels)
+    model = grow_forest(rows, limits, weights, settings.forest_trees, settings.forest_depth, settings.seed)
+    rows.drop()
+    return Forest(labels, model)
 
 
 def fit_boosted(vectors: DataFrame, label: str, settings: Settings = PRESETS["detection"]) -> Boosted:
     """Boosted trees, one binary model per class, with the weights of a stratified sample."""
-    counts = class_counts(vectors, label, settings.most_classes)
-    labels = tuple(counts)
+    labels = tuple(class_counts(vectors, label, settings.most_classes))
     if len(labels) < 2:
         return Boosted(labels, ())
-    learner = GBTClassifier(
-        featuresCol=VECTOR,
-        labelCol="label",
-        maxIter=settings.boost_rounds,
-        maxDepth=settings.boost_depth,
-        stepSize=settings.boost_step,
-        subsamplingRate=settings.boost_rows,
-        featureSubsetStrategy=str(settings.boost_columns),
-        seed=settings.seed,
-    )
-    drawn = F.col(WEIGHT) if WEIGHT in vectors.columns else F.lit(1.0)
-    if WEIGHT in vectors.columns:
-        learner = learner.setWeightCol("weight")
-    name = F.coalesce(F.col(label), F.lit("normal"))
-
-    def fit(label_name: str) -> GBTClassificationModel:
-        return learner.fit(vectors.select(VECTOR, F.when(name == label_name, 1.0).otherwise(0.0).alias("label"), drawn.alias("weight")))
-
-    # A fit is a chain of short jobs, and fits side by side keep the executors busy; each caches its own binned input.
-    side_by_side = max(1, min(settings.parallel_fits, len(labels)))
-    with ThreadPoolExecutor(side_by_side) as pool:
-        fitted = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), labels))
-    return Boosted(labels, tuple(fitted))
+    rows, limits = _binned(vectors, label, labels)
+    models: list[Trees] = []
+    # A round is a chain of short passes, and the trees of several labels grow in the same ones.
+    side_by_side = max(1, settings.parallel_fits)
+    for at in range(0, len(labels), side_by_side):
+        models += grow_boosted(
+            rows, limits, range(len(labels))[at : at + side_by_side], settings.boost_rounds, settings.boost_depth,
+            settings.boost_step, settings.boost_rows, settings.boost_columns, settings.seed,
+        )
+    rows.drop()
+    return Boosted(labels, tuple(models))
+
+
+def _binned(vectors: DataFrame, label: str, labels: Sequence[str]):
+    index = label_index(F.coalesce(F.col(label), F.lit("normal")), labels)
+    return binned(vectors, VECTOR, index, F.col(WEIGHT) if WEIGHT in vectors.columns else None)
 
 
 def with_forest(vectors: DataFrame, forest: Forest) -> DataFrame:
     """Adds ``forest_type`` and ``forest_score``, the largest class probability."""
     if forest.model is None:
         return vectors.withColumns({"forest_type": F.lit(forest.labels[0]), "forest_score": F.lit(1.0)})
-    model = forest.model.copy()
-    model.setRawPredictionCol("").setProbabilityCol("_forest").setPredictionCol("")
-    chances = vector_to_array("_forest")
-    return _best(model.transform(vectors).withColumn("_forest", chances), "_forest", forest.labels, "forest")
+    chances = chances_of(VECTOR, [forest.model], label_shares_of)
+    return _best(vectors.withColumn("_forest", chances), "_forest", forest.labels, "forest")
 
 
 def with_boosted(vectors: DataFrame, boosted: Boosted) -> DataFrame:
     """Adds ``boosted_type`` and ``boosted_score`` from the normalised one-against-rest probabilities."""
     if not boosted.models:
         return vectors.withColumns({"boosted_type": F.lit(boosted.labels[0]), "boosted_score": F.lit(1.0)})
-    names = []
-    scored = vectors
-    for i, fitted in enumerate(boosted.models):
-        name = f"_boosted{i}"
-        model = fitted.copy()
-        model.setRawPredictionCol("").setProbabilityCol(name).setPredictionCol("")
-        scored = model.transform(scored)
-        names.append(name)
-    raw = F.array(*[vector_to_array(n)[1] for n in names])
+    chances = chances_of(VECTOR, boosted.models, chances_against_rest)
     total = F.aggregate("_boosted", F.lit(0.0), lambda a, x: a + x)
-    shares = scored.withColumn("_boosted", raw).drop(*names)
+    shares = vectors.withColumn("_boosted", chances)
     return _best(shares.withColumn("_boosted", F.transform("_boosted", lambda x: x / total)), "_boosted", boosted.labels, "boosted")
 
 
@@ -191,5 +156,5 @@ def score_threats(vectors: DataFrame, forest: Forest, boosted: Boosted) -> DataF
 def feature_importance(forest: Forest) -> list[tuple[str, float]]:
     if forest.model is None:
         return [(c, 0.0) for c in MODEL_FEATURES]
-    ranked = zip(MODEL_FEATURES, forest.model.featureImportances.toArray().tolist())
+    ranked = zip(MODEL_FEATURES, forest.model.importance.tolist())
     return sorted(ranked, key=lambda item: (-item[1], item[0]))
