@@ -55,9 +55,9 @@ def labeled_flows(features: DataFrame) -> DataFrame:
 def fit_models(vectors: DataFrame, settings: Settings) -> tuple[Forest, Boosted]:
     """Both classifiers. Each learner bins its input once and caches that, so nothing is cached here.
 
-    All rows are used unless ``fit_rows`` asks for a stratified sample of about so many, which holds rows of every label;
-    scoring always covers every row. The sample is written in parts of ``FIT_TASK_ROWS``: a fit is thousands of short jobs, and
-    on the table's own partitions each of them would have as many tasks, and results for the driver, as the table.
+    All rows are used, as every query and job of this repository but ``rare_labels`` does. Only a caller that sets ``fit_rows``
+    gets a stratified sample of about so many, which holds rows of every label; scoring always covers every row. Such a
+    sample is written in parts of ``FIT_TASK_ROWS``, since on the table's own partitions a pass would have as many tasks.
     """
     training = vectors
     if settings.fit_rows is not None:
